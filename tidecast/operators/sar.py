@@ -13,7 +13,7 @@ Column names are ``p, d, q, sp, sd, sq, season`` because Spark does not tell ``p
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -379,24 +379,39 @@ FIT_SCHEMA = (
 )
 
 
-def fit_candidates(grams: DataFrame, candidates: DataFrame, shape: Shape) -> DataFrame:
+def fit_candidates(
+    grams: DataFrame, candidates: DataFrame | Sequence[Sequence[int]], shape: Shape
+) -> DataFrame:
     """One row per candidate, failed ones included with their error text.
 
-    ``candidates`` holds order columns, and ``series_id`` when they differ by series. They are
-    gathered to one short list per (d, D) so the matrices are not copied per candidate.
+    ``candidates`` is a list of orders tried on every series, or a table of orders per series. A
+    table is gathered to one short list per series and (d, D), so that no matrix is copied per
+    candidate.
     """
-    keys = [c for c in (SERIES, "d", "sd") if c in candidates.columns]
-    lists = candidates.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("p", "q", "sp", "sq"))).alias("_orders")
-    )
+    shared: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+    if isinstance(candidates, DataFrame):
+        keys = [SERIES, "d", "sd"]
+        lists = candidates.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct("p", "q", "sp", "sq"))).alias("_orders")
+        )
+        work = grams.join(lists, keys)
+    else:
+        for p, d, q, sp, sd, sq in candidates:
+            shared.setdefault((d, sd), []).append((p, q, sp, sq))
+        wanted = [(F.col("d") == d) & (F.col("sd") == sd) for d, sd in shared]
+        work = grams.where(_any(wanted))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [part.split()[0] for part in FIT_SCHEMA.split(", ")]
         for pdf in batches:
             out = []
             for _, row in pdf.iterrows():
                 g = numeric.square(row["gram"])
-                for c in row["_orders"]:
-                    order = (c["p"], row["d"], c["q"], c["sp"], row["sd"], c["sq"])
+                orders = shared.get((row["d"], row["sd"])) or [
+                    (c["p"], c["q"], c["sp"], c["sq"]) for c in row["_orders"]
+                ]
+                for p, q, sp, sq in orders:
+                    order = (p, row["d"], q, sp, row["sd"], sq)
                     record = {SERIES: row[SERIES], **dict(zip(ORDER, order))}
                     record |= {"season": shape.season, "long_beta": row["long_beta"]}
                     record |= {"converged": False, "error": ""}
@@ -405,12 +420,16 @@ def fit_candidates(grams: DataFrame, candidates: DataFrame, shape: Shape) -> Dat
                     except (ValueError, np.linalg.LinAlgError) as problem:
                         record["error"] = str(problem)
                     out.append(record)
-            names = [part.split()[0] for part in FIT_SCHEMA.split(", ")]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"observations": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"observations": "Int64"})
+
+    return work.mapInPandas(fit, FIT_SCHEMA)
 
-    # The joined side is one short row per key: small when shared by all series, else per series.
-    return grams.join(lists, keys).mapInPandas(fit, FIT_SCHEMA)
+
+def _any(conditions):
+    combined = F.lit(False)
+    for condition in conditions:
+        combined = combined | condition
+    return combined
 
 
 def rank_candidates(search: DataFrame) -> DataFrame:
@@ -437,11 +456,12 @@ def require_success(search: DataFrame) -> DataFrame:
 
 def search_orders(
     split: DataFrame,
-    candidates: DataFrame,
+    candidates: Sequence[Sequence[int]],
     shape: Shape,
-    variants: Iterable[tuple[int, int]] | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
+    """Fit a list of orders on every series."""
+    variants = sorted({(c[1], c[4]) for c in candidates})
     return fit_candidates(model_grams(split, shape, variants, chunk), candidates, shape)
 
 
@@ -450,13 +470,16 @@ def two_stage_search(
     shape: Shape,
     stage_one: dict | None = None,
     seasonal: Sequence[tuple[int, int, int]] = SEASONAL_STAGE,
+    grams: DataFrame | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Short orders with a fixed seasonal part, then seasonal parts around each series' winner."""
-    axes = stage_one or STAGE_ONE
-    spark = split.sparkSession
-    grams = model_grams(split, shape, None, chunk)
-    first = fit_candidates(grams, grid_table(spark, **axes, season=shape.season), shape)
+    """Short orders with a fixed seasonal part, then seasonal parts around each series' winner.
+
+    Both stages read ``grams``; pass a stored table to build it once.
+    """
+    if grams is None:
+        grams = model_grams(split, shape, None, chunk)
+    first = fit_candidates(grams, order_grid(**(stage_one or STAGE_ONE)), shape)
     winners = best_candidates(first).select(SERIES, "p", "d", "q")
     parts = F.array(
         *[
@@ -572,6 +595,8 @@ def residuals(split: DataFrame, best: DataFrame, shape: Shape, chunk: int = CHUN
                 pos = np.asarray(row["pos"])
                 keep = (pos > row["start"]) & (pos >= shape.first_row)
                 keep &= np.isfinite(matrix).all(axis=1)
+                if not keep.any():
+                    continue
                 frames.append(
                     pd.DataFrame(
                         {
