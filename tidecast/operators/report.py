@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tidecast.functions.numeric import NORMAL
 from tidecast.functions.scalar import pretty_name
@@ -124,7 +125,7 @@ def histogram(df: DataFrame, column: str = Y, bins: int = 25) -> DataFrame:
     )
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(NORMAL.inv_cdf)
 

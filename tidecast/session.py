@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def build_session(app: str = "tidecast", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow on. Cluster sizes stay with spark-submit."""
@@ -34,3 +38,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tidecast-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, like ``--py-files`` does."""
+    context = spark.sparkContext
+    if getattr(context, "_tidecast_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tidecast-"), "tidecast")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(PACKAGE), "tidecast")
+    context.addPyFile(archive)
+    context._tidecast_shipped = True
