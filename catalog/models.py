@@ -60,8 +60,7 @@ def sar_forecast(spark, d):
 def sar_diagnostics(spark, d):
     s = weekly_split(spark, d)
     best = sar.best_candidates(sar.search_orders(s, ORDERS, SHAPE))
-    left = sar.residuals(s, best, SHAPE)
-    return stats.residual_summary(left).join(stats.ljung_box(left), "series_id")
+    return stats.residual_diagnostics(sar.residuals(s, best, SHAPE))
 
 
 @query("sarx_forecast")

@@ -117,14 +117,24 @@ def blocks(
     )
 
 
-def sum_arrays(df: DataFrame, keys: Sequence[str], array: str, counts: Sequence[str]) -> DataFrame:
-    """Element-wise sum of equally long arrays per key, with partial aggregation in the JVM."""
+def sum_arrays(
+    df: DataFrame,
+    keys: Sequence[str],
+    array: str,
+    counts: Sequence[str],
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Element-wise sum of equally long arrays per key, with partial aggregation in the JVM.
+
+    ``counts`` are summed too; ``keep`` names columns that are the same on all rows of a key.
+    """
     return (
         df.withColumn("_vector", array_to_vector(F.col(array)))
         .groupBy(*keys)
         .agg(
             Summarizer.sum(F.col("_vector")).alias("_sum"),
             *[F.sum(c).alias(c) for c in counts],
+            *[F.first(c).alias(c) for c in keep],
         )
         .withColumn(array, vector_to_array("_sum"))
         .drop("_sum")

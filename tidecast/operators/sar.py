@@ -362,14 +362,14 @@ def model_grams(
                     matrix = _model_rows(y, x, d, sd, shape, beta)
                     keep = own & np.isfinite(matrix).all(axis=1)
                     flat = numeric.gram(matrix[keep])
-                    out.append((row[SERIES], d, sd, int(keep.sum()), flat))
-            yield pd.DataFrame(out, columns=[SERIES, "d", "sd", "rows", "gram"])
+                    out.append((row[SERIES], d, sd, int(keep.sum()), flat, beta))
+            yield pd.DataFrame(out, columns=[SERIES, "d", "sd", "rows", "gram", "long_beta"])
 
     parts = cut.mapInPandas(
-        partial, f"{SERIES} string, d int, sd int, rows long, gram array<double>"
+        partial,
+        f"{SERIES} string, d int, sd int, rows long, gram array<double>, long_beta array<double>",
     )
-    summed = sum_arrays(parts, [SERIES, "d", "sd"], "gram", ["rows"])
-    return summed.join(betas, [SERIES, "d", "sd"])
+    return sum_arrays(parts, [SERIES, "d", "sd"], "gram", ["rows"], ["long_beta"])
 
 
 FIT_SCHEMA = (

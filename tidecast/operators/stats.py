@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import numeric
 from tidecast.functions.scalar import Z_95, chi_square_tail_even, stationarity_text
+from tidecast.operators.clean import finite_only
 from tidecast.operators.layout import (
     CHUNK,
     blocks,
@@ -80,7 +81,9 @@ def exact_percentiles(
         .groupBy(SERIES, "p", "h", "_slot")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    w = Window.partitionBy(SERIES, "p").orderBy(F.col("_slot").asc_nulls_first())
+    w = Window.partitionBy(SERIES, "p").orderBy(F.col("_slot").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     placed = counted.withColumn("_last", F.sum("_c").over(w) - 1).withColumn(
         "_first", F.col("_last") - F.col("_c") + 1
     )
@@ -143,11 +146,16 @@ def centred(df: DataFrame, target: str = Y, grain: str = "week") -> DataFrame:
 
 
 def autocorrelation_wide(
-    df: DataFrame, lags: int, target: str = Y, grain: str = "week"
+    df: DataFrame,
+    lags: int,
+    target: str = Y,
+    grain: str = "week",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """``series_id, n, acf`` with the array of biased autocorrelations at lags 0..lags.
 
-    One window pass adds the lag columns; the products are summed with partial aggregation.
+    One window pass adds the lag columns; the products are summed with partial aggregation, and
+    ``extra`` aggregates over the value ``_y`` ride along.
     """
     base = centred(df, target, grain)
     moved = over_series(
@@ -157,9 +165,12 @@ def autocorrelation_wide(
         F.max("_n").alias("n"),
         F.sum(F.col("_c") * F.col("_c")).alias("_s0"),
         *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lags + 1)],
+        *extra,
     )
+    sums_only = {SERIES, "n", *(f"_s{k}" for k in range(lags + 1))}
+    others = [c for c in sums.columns if c not in sums_only]
     ratio = [F.try_divide(F.col(f"_s{k}"), F.col("_s0")) for k in range(lags + 1)]
-    return sums.select(SERIES, "n", F.array(*ratio).alias("acf"))
+    return sums.select(SERIES, "n", F.array(*ratio).alias("acf"), *others)
 
 
 def acf_table(
@@ -209,11 +220,35 @@ def pacf_table(
     )
 
 
+def _residual_moments(column: str) -> list[Column]:
+    return [
+        F.avg(column).alias("residual_mean"),
+        F.stddev_samp(column).alias("residual_standard_deviation"),
+    ]
+
+
+def residual_summary(df: DataFrame, target: str = Y) -> DataFrame:
+    return df.groupBy(SERIES).agg(*_residual_moments(target))
+
+
+def residual_diagnostics(
+    df: DataFrame, lags: int = 20, target: str = Y, grain: str = "week"
+) -> DataFrame:
+    """Mean, deviation and Ljung-Box test of the finite residuals, in one pass."""
+    wide = autocorrelation_wide(
+        finite_only(df, target), lags, target, grain, _residual_moments("_y")
+    )
+    return _ljung_box(wide, lags, ["residual_mean", "residual_standard_deviation"])
+
+
 def ljung_box(
     df: DataFrame, lags: int = 20, target: str = Y, grain: str = "week"
 ) -> DataFrame:
     """``series_id, ljung_box_lag, ljung_box_statistic, ljung_box_p_value`` for an even lag count."""
-    wide = autocorrelation_wide(df, lags, target, grain)
+    return _ljung_box(autocorrelation_wide(df, lags, target, grain), lags, [])
+
+
+def _ljung_box(wide: DataFrame, lags: int, carry: Sequence[str]) -> DataFrame:
     n = F.col("n")
     total = F.lit(0.0)
     for k in range(1, lags + 1):
@@ -221,19 +256,13 @@ def ljung_box(
     statistic = n * (n + 2) * total
     return wide.select(
         SERIES,
+        *carry,
         F.lit(lags).alias("ljung_box_lag"),
         statistic.alias("ljung_box_statistic"),
         chi_square_tail_even(statistic, lags).alias("ljung_box_p_value"),
     )
 
 
-def residual_summary(df: DataFrame, target: str = Y) -> DataFrame:
-    return df.groupBy(SERIES).agg(
-        F.avg(target).alias("residual_mean"),
-        F.stddev_samp(target).alias("residual_standard_deviation"),
-    )
-
-
 def _unit_root_rows(values: np.ndarray, max_lag: int) -> np.ndarray:
     """Columns: difference, constant, previous level, differences at lags 1..max_lag."""
     change = numeric.difference(values, 1, 0, 1)
