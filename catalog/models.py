@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.base import hourly_split, model_rows, query, weekly_split
-from tidecast.operators import features, sar, sequence, split, stats, trees
+from tidecast.operators import evaluate, features, sar, sequence, split, stats, trees
 from tidecast.schema import WEATHER_COLUMNS, predictors
 
 SHAPE = sar.Shape()
@@ -98,30 +98,28 @@ def gbt_search(spark, d):
     return trees.search_trees(s, names, "gradient_boosting", BOOST, splits=2)[1]
 
 
-def _fit(spark, s, names, kind, grid):
-    point = trees.grid_points(grid)[0]
-    train = trees.assemble(split.train_rows(s), names)
-    return trees.ESTIMATORS[kind](point).fit(train)
+POINTS = {
+    "random_forest": trees.grid_points(FOREST)[0],
+    "gradient_boosting": trees.grid_points(BOOST)[0],
+}
 
 
 @query("tree_forecast")
 def tree_forecast(spark, d):
     s, names = _tree_rows(spark, d)
-    models = {
-        "random_forest": _fit(spark, s, names, "random_forest", FOREST),
-        "gradient_boosting": _fit(spark, s, names, "gradient_boosting", BOOST),
-    }
-    return trees.tree_forecasts(s, names, models)
+    return trees.tree_forecasts(s, names, trees.fit_trees(s, names, POINTS))
+
+
+def importance_table(spark, d):
+    s, names = _tree_rows(spark, d)
+    models = trees.fit_trees(s, names, POINTS)
+    tables = [trees.importances(spark, m, names, kind) for kind, m in models.items()]
+    return evaluate.union_tables(*tables)
 
 
 @query("tree_importance")
 def tree_importance(spark, d):
-    s, names = _tree_rows(spark, d)
-    forest = _fit(spark, s, names, "random_forest", FOREST)
-    boost = _fit(spark, s, names, "gradient_boosting", BOOST)
-    return trees.importances(spark, forest, names, "random_forest").unionByName(
-        trees.importances(spark, boost, names, "gradient_boosting")
-    )
+    return importance_table(spark, d)
 
 
 LENGTH = 24

@@ -14,9 +14,9 @@ from catalog.base import (
     with_sql,
 )
 from catalog.comparison import COMPARED
-from catalog.models import _fit, _tree_rows, FOREST
+from catalog.models import importance_table
 from catalog.windows import W
-from tidecast.operators import baselines, evaluate, features, report, trees
+from tidecast.operators import baselines, evaluate, features, report
 
 NONE = "CAST(NULL AS DOUBLE) AS lower_95, CAST(NULL AS DOUBLE) AS upper_95"
 
@@ -106,9 +106,8 @@ def qq(spark, d):
 
 @query("top_importance")
 def top_importance(spark, d):
-    s, names = _tree_rows(spark, d)
-    table = trees.importances(spark, _fit(spark, s, names, "random_forest", FOREST), names, "rf")
-    return report.top_rows(table, "importance", 15)
+    forest = importance_table(spark, d).where("model = 'random_forest'")
+    return report.top_rows(forest, "importance", 15)
 
 
 @query(

@@ -126,7 +126,7 @@ def sum_arrays(
 ) -> DataFrame:
     """Element-wise sum of equally long arrays per key, with partial aggregation in the JVM.
 
-    ``counts`` are summed too; ``keep`` names columns that are the same on all rows of a key.
+    ``counts`` are summed too; ``keep`` names columns with one value per key, missing on some rows.
     """
     return (
         df.withColumn("_vector", array_to_vector(F.col(array)))
@@ -134,7 +134,7 @@ def sum_arrays(
         .agg(
             Summarizer.sum(F.col("_vector")).alias("_sum"),
             *[F.sum(c).alias(c) for c in counts],
-            *[F.first(c).alias(c) for c in keep],
+            *[F.first(c, ignorenulls=True).alias(c) for c in keep],
         )
         .withColumn(array, vector_to_array("_sum"))
         .drop("_sum")

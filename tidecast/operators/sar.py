@@ -414,7 +414,7 @@ def fit_candidates(
                     order = (p, row["d"], q, sp, row["sd"], sq)
                     record = {SERIES: row[SERIES], **dict(zip(ORDER, order))}
                     record |= {"season": shape.season, "long_beta": row["long_beta"]}
-                    record |= {"converged": False, "error": ""}
+                    record |= {"converged": False, "error": "", "estimates": None, "errors": None}
                     try:
                         record |= _fit(g, int(row["rows"]), order, shape)
                     except (ValueError, np.linalg.LinAlgError) as problem:
@@ -506,6 +506,7 @@ def search_display(search: DataFrame) -> DataFrame:
         "season",
         "aic",
         "bic",
+        "log_likelihood",
         "converged",
         "error",
         *tail,
@@ -513,9 +514,8 @@ def search_display(search: DataFrame) -> DataFrame:
 
 
 def best_summary(best: DataFrame) -> DataFrame:
-    return search_display(best).select(SERIES, "order", "seasonal_order", *ORDER, "season").join(
-        best.select(SERIES, "aic", "bic", "log_likelihood"), SERIES
-    )
+    """Orders, as numbers and as text, with the scores of the chosen model."""
+    return search_display(best).drop("search_stage", "converged", "error")
 
 
 def forecast(

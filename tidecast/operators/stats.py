@@ -272,26 +272,30 @@ def _unit_root_rows(values: np.ndarray, max_lag: int) -> np.ndarray:
     )
 
 
-def _unit_root_gram(placed: DataFrame, first: str, chunk: int) -> DataFrame:
-    """Summed cross products per series over the rows at positions >= ``first``.
+def _unit_root_gram(placed: DataFrame, chunk: int) -> DataFrame:
+    """Summed cross products per series on the sample all its lag counts share.
 
-    ``_lags`` says how many lagged differences a series has.
+    ``_lags`` is the largest lag count of the series. ``head`` keeps the ``_lags + 1`` values
+    before that sample, which a shorter lag count can use as well.
     """
-    cut = blocks(placed, F.col("_lags") + 2, [Y], ["_lags", first], chunk)
+    cut = blocks(placed, F.col("_lags") + 2, [Y], ["_lags"], chunk)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                sid, start, n, max_lag, lowest, pos, _, values = row
-                matrix = _unit_root_rows(np.asarray(values, dtype=float), int(max_lag))
-                mine = (np.asarray(pos) > start) & (np.asarray(pos) >= lowest)
-                rows = matrix[mine]
-                out.append((sid, int(max_lag), len(rows), numeric.gram(rows)))
-            yield pd.DataFrame(out, columns=[SERIES, "_lags", "rows", "gram"])
-
-    parts = cut.mapInPandas(partial, f"{SERIES} string, _lags int, rows long, gram array<double>")
-    return sum_arrays(parts, [SERIES, "_lags"], "gram", ["rows"])
+            for sid, start, _, max_lag, pos, _, values in pdf.itertuples(index=False):
+                values, pos = np.asarray(values, dtype=float), np.asarray(pos)
+                matrix = _unit_root_rows(values, int(max_lag))
+                rows = matrix[(pos > start) & (pos >= max_lag + 2)]
+                head = values[: max_lag + 1] if start == 0 else None
+                out.append((sid, int(max_lag), len(rows), numeric.gram(rows), head))
+            yield pd.DataFrame(out, columns=[SERIES, "_lags", "rows", "gram", "head"])
+
+    parts = cut.mapInPandas(
+        partial,
+        f"{SERIES} string, _lags int, rows long, gram array<double>, head array<double>",
+    )
+    return sum_arrays(parts, [SERIES, "_lags"], "gram", ["rows"], ["head"])
 
 
 def _solve(g: np.ndarray, size: int):
@@ -302,6 +306,24 @@ def _solve(g: np.ndarray, size: int):
     return beta, max(ssr, 0.0), inverse
 
 
+def _best_lag_count(g: np.ndarray, rows: int) -> int | None:
+    """Lag count with the lowest AIC; none when no regression can be solved."""
+    best, chosen = np.inf, None
+    for size in range(2, g.shape[0]):
+        if rows <= size:
+            break
+        try:
+            ssr = _solve(g, size)[1]
+        except np.linalg.LinAlgError:
+            continue
+        if ssr <= 1e-12 * g[0, 0] or ssr <= 0:
+            continue
+        aic = numeric.gaussian_scores(ssr, rows, size)[1]
+        if aic < best:
+            best, chosen = aic, size - 2
+    return chosen
+
+
 def adf_test(
     df: DataFrame,
     target: str = Y,
@@ -311,62 +333,39 @@ def adf_test(
 ) -> DataFrame:
     """Unit-root test with a constant; the lag count minimises AIC on a common sample.
 
-    Two passes over blocks of the series: the first compares lag counts, the second refits the
-    chosen one on its own longer sample. Only cross-product matrices leave the blocks.
+    One pass over blocks of the series: only cross-product matrices leave them. The chosen lag
+    count is refitted on its own longer sample by adding its few earlier rows to the matrix.
     """
     clean = df.where(F.col(target).isNotNull()).select(SERIES, TS, F.col(target).alias(Y))
     n = F.col("n")
     limit = F.greatest(
         F.least(F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0)
     ).cast("int")
-    placed = positions(clean, grain)
-    placed = placed.withColumn("_lags", limit).withColumn("_first", F.col("_lags") + 2)
-    common = _unit_root_gram(placed, "_first", chunk)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for sid, rows, flat in zip(pdf[SERIES], pdf["rows"], pdf["gram"]):
-                g = numeric.square(flat)
-                best = (np.inf, None)
-                for size in range(2, g.shape[0]):
-                    if rows <= size:
-                        break
-                    try:
-                        ssr = _solve(g, size)[1]
-                    except np.linalg.LinAlgError:
-                        continue
-                    if ssr <= 0:
-                        continue
-                    aic = numeric.gaussian_scores(ssr, rows, size)[1]
-                    best = min(best, (aic, size - 2), key=lambda pair: pair[0])
-                out.append((sid, best[1]))
-            yield pd.DataFrame(out, columns=[SERIES, "used_lags"]).astype({"used_lags": "Int32"})
-
-    chosen = common.mapInPandas(choose, f"{SERIES} string, used_lags int")
-    refit_rows = (
-        placed.drop("_lags", "_first")
-        .join(chosen.where("used_lags IS NOT NULL"), SERIES)
-        .withColumnRenamed("used_lags", "_lags")
-        .withColumn("_first", F.col("_lags") + 2)
-    )
-    refit = _unit_root_gram(refit_rows, "_first", chunk)
+    placed = positions(clean, grain).withColumn("_lags", limit)
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for sid, lags, rows, flat in zip(pdf[SERIES], pdf["_lags"], pdf["rows"], pdf["gram"]):
+            for sid, top, rows, flat, head in zip(
+                pdf[SERIES], pdf["_lags"], pdf["rows"], pdf["gram"], pdf["head"]
+            ):
                 g = numeric.square(flat)
-                size = g.shape[0] - 1
+                lags = _best_lag_count(g, rows)
+                if lags is None:
+                    out.append((sid, None, None, None, None))
+                    continue
+                size = lags + 2
+                early = _unit_root_rows(np.asarray(head, dtype=float), lags)[lags + 1 :]
+                g = g[: size + 1, : size + 1] + early.T @ early
+                seen = int(rows + len(early))
                 beta, ssr, inverse = _solve(g, size)
-                error = np.sqrt(ssr / (rows - size) * inverse[1, 1])
-                tau = float(beta[1] / error)
-                out.append((sid, tau, numeric.unit_root_p_value(tau), lags, rows))
+                tau = float(beta[1] / np.sqrt(ssr / (seen - size) * inverse[1, 1]))
+                out.append((sid, tau, numeric.unit_root_p_value(tau), lags, seen))
             yield pd.DataFrame(
                 out, columns=[SERIES, "adf_statistic", "p_value", "used_lags", "observations"]
-            )
+            ).astype({"used_lags": "Int32", "observations": "Int64"})
 
-    tested = refit.mapInPandas(
+    tested = _unit_root_gram(placed, chunk).mapInPandas(
         report,
         f"{SERIES} string, adf_statistic double, p_value double, used_lags int, observations long",
     )

@@ -133,6 +133,17 @@ def search_trees(
     return model, split.sparkSession.createDataFrame(rows, SEARCH_SCHEMA)
 
 
+def fit_trees(
+    split: DataFrame, features: Sequence[str], points: dict[str, dict], seed: int = SEED
+) -> dict:
+    """Fit one model per kind with given parameters; the training vectors are built once."""
+    train = assemble(train_rows(split), features).select(Y, "features").persist()
+    try:
+        return {kind: ESTIMATORS[kind](p, seed).fit(train) for kind, p in points.items()}
+    finally:
+        train.unpersist()
+
+
 def tree_forecasts(split: DataFrame, features: Sequence[str], models: dict) -> DataFrame:
     """``series_id, ts, step, actual`` and one column per model, in one pass over the test rows."""
     rows = assemble(test_rows(split), features)
