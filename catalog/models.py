@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.base import hourly_split, model_rows, query, weekly_split
-from tidecast.operators import evaluate, features, sar, sequence, split, stats, trees
+from tidecast.operators import evaluate, features, report, sar, sequence, split, stats, trees
 from tidecast.schema import WEATHER_COLUMNS, predictors
 
 SHAPE = sar.Shape()
@@ -28,7 +28,7 @@ FROM (SELECT DISTINCT l_returnflag AS series_id FROM lineitem) s,
 def sar_grid(spark, d):
     """Candidate orders of every series in the data."""
     series = weekly_split(spark, d).select("series_id").distinct()
-    return series.crossJoin(F.broadcast(sar.grid_table(spark, **GRID)))
+    return sar.with_orders(series, **GRID)
 
 
 @query("sar_search")
@@ -150,3 +150,33 @@ def seq_metrics(spark, d):
     s = hourly_split(spark, d)
     best = sequence.best_fit(_sequence_fits(s))
     return sequence.hourly_metrics(sequence.rolling_forecast(s, best, LENGTH))
+
+
+@query("history_panel")
+def history_panel(spark, d):
+    best = sequence.best_fit(_sequence_fits(hourly_split(spark, d)))
+    return report.history_panel(sequence.training_history(best))
+
+
+@query("residual_panel")
+def residual_panel(spark, d):
+    """The four residual views stacked: series, histogram, Q-Q and autocorrelation."""
+    s = weekly_split(spark, d)
+    best = sar.best_candidates(sar.search_orders(s, ORDERS, SHAPE))
+    views = report.residual_panel(sar.residuals(s, best, SHAPE))
+    pick = {
+        "series": ("pos", "y"),
+        "histogram": ("lower", "frequency"),
+        "qq": ("theoretical", "ordered"),
+        "acf": ("lag", "acf"),
+    }
+    parts = [
+        views[v].select(
+            "series_id",
+            F.lit(v).alias("view"),
+            F.col(x).cast("double").alias("x"),
+            F.col(y).cast("double").alias("y"),
+        )
+        for v, (x, y) in pick.items()
+    ]
+    return evaluate.union_tables(*parts)

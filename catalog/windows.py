@@ -365,3 +365,8 @@ def tail_slice(spark, d):
     from tidecast.operators.report import train_tail
 
     return train_tail(weekly_split(spark, d), 104).select("series_id", "ts", "pos", "y")
+
+
+@query("sort_time", with_sql(WEEKLY, f"SELECT series_id, ts, {rounded('y')} FROM weekly ORDER BY 1, 2"))
+def sort_time(spark, d):
+    return weekly(spark, d).orderBy("series_id", "ts")

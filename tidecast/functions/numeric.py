@@ -108,3 +108,34 @@ def partial_autocorrelations(acf: np.ndarray) -> np.ndarray:
         error *= 1.0 - value * value
         out[k] = value
     return out
+
+
+class Partials:
+    """Sums arrays per key inside one task, holding at most ``limit`` keys at a time.
+
+    What a task emits then grows with the keys it sees, not with its blocks. Keys that come back
+    after a drain are simply emitted again and summed by Spark.
+    """
+
+    def __init__(self, limit: int = 64) -> None:
+        self.limit = limit
+        self.cells: dict = {}
+
+    def add(self, key: tuple, counts: tuple, flat: np.ndarray, kept: tuple = ()) -> None:
+        found = self.cells.get(key)
+        if found is None:
+            self.cells[key] = (np.asarray(counts), flat, kept)
+            return
+        merged = tuple(b if a is None else a for a, b in zip(found[2], kept))
+        self.cells[key] = (found[0] + counts, found[1] + flat, merged)
+
+    def full(self) -> bool:
+        return len(self.cells) >= self.limit
+
+    def drain(self) -> list[tuple]:
+        rows = [
+            (*key, *(int(c) for c in counts), flat, *kept)
+            for key, (counts, flat, kept) in self.cells.items()
+        ]
+        self.cells = {}
+        return rows

@@ -101,15 +101,17 @@ def order_grid(p, d, q, sp, sd, sq) -> list[tuple[int, ...]]:
     return list(product(p, d, q, sp, sd, sq))
 
 
-def grid_table(
-    spark: SparkSession, p, d, q, sp, sd, sq, season: int = 52
-) -> DataFrame:
-    """Cartesian product of the six value lists, with the season length."""
-    axes = zip(ORDER, (p, d, q, sp, sd, sq))
-    row = spark.range(1).select(F.lit(season).alias("season"))
-    for name, values in axes:
-        row = row.withColumn(name, F.explode(F.array(*[F.lit(int(v)) for v in values])))
-    return row.select(*ORDER, "season")
+def with_orders(df: DataFrame, p, d, q, sp, sd, sq, season: int = 52) -> DataFrame:
+    """Every row of a table once per candidate: the product of the six value lists."""
+    out = df.withColumn("season", F.lit(season))
+    for name, values in zip(ORDER, (p, d, q, sp, sd, sq)):
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(int(v)) for v in values])))
+    return out.select(*df.columns, *ORDER, "season")
+
+
+def grid_table(spark: SparkSession, p, d, q, sp, sd, sq, season: int = 52) -> DataFrame:
+    """The candidate grid as a table."""
+    return with_orders(spark.range(1).select(), p, d, q, sp, sd, sq, season)
 
 
 # ------------------------------------------------------------------------------------ task helpers
@@ -306,8 +308,8 @@ def long_regression(
     pairs = list(variants or shape.variants)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, sums = [SERIES, "d", "sd", "rows", "gram"], numeric.Partials()
         for pdf in batches:
-            out = []
             for _, row in pdf.iterrows():
                 y, x = np.asarray(row[Y], dtype=float), _stack(row, shape)
                 own = np.asarray(row["pos"]) > row["start"]
@@ -316,8 +318,10 @@ def long_regression(
                     matrix = np.column_stack([w, predictors])
                     keep = own & np.isfinite(matrix).all(axis=1)
                     flat = numeric.gram(matrix[keep])
-                    out.append((row[SERIES], d, sd, int(keep.sum()), flat))
-            yield pd.DataFrame(out, columns=[SERIES, "d", "sd", "rows", "gram"])
+                    sums.add((row[SERIES], d, sd), (int(keep.sum()),), flat)
+                if sums.full():
+                    yield pd.DataFrame(sums.drain(), columns=names)
+        yield pd.DataFrame(sums.drain(), columns=names)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -351,8 +355,9 @@ def model_grams(
     cut = _train_blocks(split, shape, chunk).join(_betas_by_series(betas), SERIES)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [SERIES, "d", "sd", "rows", "gram", "long_beta"]
+        sums = numeric.Partials()
         for pdf in batches:
-            out = []
             for _, row in pdf.iterrows():
                 y, x = np.asarray(row[Y], dtype=float), _stack(row, shape)
                 pos = np.asarray(row["pos"])
@@ -362,8 +367,10 @@ def model_grams(
                     matrix = _model_rows(y, x, d, sd, shape, beta)
                     keep = own & np.isfinite(matrix).all(axis=1)
                     flat = numeric.gram(matrix[keep])
-                    out.append((row[SERIES], d, sd, int(keep.sum()), flat, beta))
-            yield pd.DataFrame(out, columns=[SERIES, "d", "sd", "rows", "gram", "long_beta"])
+                    sums.add((row[SERIES], d, sd), (int(keep.sum()),), flat, (beta,))
+                if sums.full():
+                    yield pd.DataFrame(sums.drain(), columns=names)
+        yield pd.DataFrame(sums.drain(), columns=names)
 
     parts = cut.mapInPandas(
         partial,

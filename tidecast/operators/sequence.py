@@ -71,8 +71,9 @@ def sequence_grams(
     cut = blocks(rows, length, ["scaled"], [], chunk)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [SERIES, "train_rows", "validation_rows", "gram"]
+        sums = numeric.Partials()
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 sid, start, n, pos, _, scaled = row
                 held = int(max(n - length, 0) * fraction)
@@ -82,8 +83,10 @@ def sequence_grams(
                 late = target > n - held
                 train, tail = matrix[own & ~late], matrix[own & late]
                 flat = np.concatenate([numeric.gram(train), numeric.gram(tail)])
-                out.append((sid, len(train), len(tail), flat))
-            yield pd.DataFrame(out, columns=[SERIES, "train_rows", "validation_rows", "gram"])
+                sums.add((sid,), (len(train), len(tail)), flat)
+                if sums.full():
+                    yield pd.DataFrame(sums.drain(), columns=names)
+        yield pd.DataFrame(sums.drain(), columns=names)
 
     parts = cut.mapInPandas(
         partial, f"{SERIES} string, train_rows long, validation_rows long, gram array<double>"

@@ -281,15 +281,17 @@ def _unit_root_gram(placed: DataFrame, chunk: int) -> DataFrame:
     cut = blocks(placed, F.col("_lags") + 2, [Y], ["_lags"], chunk)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, sums = [SERIES, "_lags", "rows", "gram", "head"], numeric.Partials()
         for pdf in batches:
-            out = []
             for sid, start, _, max_lag, pos, _, values in pdf.itertuples(index=False):
                 values, pos = np.asarray(values, dtype=float), np.asarray(pos)
                 matrix = _unit_root_rows(values, int(max_lag))
                 rows = matrix[(pos > start) & (pos >= max_lag + 2)]
                 head = values[: max_lag + 1] if start == 0 else None
-                out.append((sid, int(max_lag), len(rows), numeric.gram(rows), head))
-            yield pd.DataFrame(out, columns=[SERIES, "_lags", "rows", "gram", "head"])
+                sums.add((sid, int(max_lag)), (len(rows),), numeric.gram(rows), (head,))
+                if sums.full():
+                    yield pd.DataFrame(sums.drain(), columns=names)
+        yield pd.DataFrame(sums.drain(), columns=names)
 
     parts = cut.mapInPandas(
         partial,
