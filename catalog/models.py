@@ -2,7 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import hourly_split, model_rows, query, weekly_split
+from catalog.base import (
+    HOURLY_SPLIT,
+    SPLIT,
+    hourly_split,
+    model_rows,
+    query,
+    weekly_split,
+    with_sql,
+)
 from tidecast.operators import evaluate, features, report, sar, sequence, split, stats, trees
 from tidecast.schema import WEATHER_COLUMNS, predictors
 
@@ -37,6 +45,68 @@ def sar_search(spark, d):
     return sar.search_display(search)
 
 
+# First-order autoregressions have a closed form, so SQL can check fit, scores and forecasts.
+FIRST_ORDER = [(1, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0)]
+
+FIRST_ORDER_SQL = (
+    SPLIT
+    + f""", w AS (
+  SELECT series_id, pos, n_train, 0 AS d, y AS w FROM split WHERE role = 'train'
+  UNION ALL
+  SELECT series_id, pos, n_train, 1, y - lag(y, 1) OVER (PARTITION BY series_id ORDER BY pos)
+  FROM split WHERE role = 'train'),
+l AS (SELECT *, lag(w, 1) OVER (PARTITION BY series_id, d ORDER BY pos) AS b FROM w),
+g AS (
+  SELECT series_id, d, count(*) AS n, sum(w * b) / sum(b * b) AS phi,
+         sum(w * w) - sum(w * b) * sum(w * b) / sum(b * b) AS ssr
+  FROM l WHERE pos >= {SHAPE.first_row} GROUP BY 1, 2)"""
+)
+
+
+@query(
+    "sar_first_order",
+    with_sql(
+        FIRST_ORDER_SQL,
+        """SELECT series_id, CAST(d AS BIGINT) AS d, n AS observations, round(phi, 6) AS estimate,
+  round(ssr / n, 6) AS sigma2, round(-0.5 * n * (ln(2 * pi() * ssr / n) + 1), 6) AS log_likelihood,
+  round(n * (ln(2 * pi() * ssr / n) + 1) + 4, 6) AS aic,
+  round(n * (ln(2 * pi() * ssr / n) + 1) + 2 * ln(n), 6) AS bic FROM g""",
+    ),
+)
+def sar_first_order(spark, d):
+    fits = sar.search_orders(weekly_split(spark, d), FIRST_ORDER, SHAPE)
+    return fits.select(
+        "series_id",
+        "d",
+        "observations",
+        F.col("estimates")[0].alias("estimate"),
+        "sigma2",
+        "log_likelihood",
+        "aic",
+        "bic",
+    )
+
+
+@query(
+    "sar_first_order_forecast",
+    with_sql(
+        FIRST_ORDER_SQL,
+        """, f AS (
+  SELECT t.series_id, t.ts, t.step, t.y AS actual, power(phi, t.step) * s.y AS sarima,
+    1.959963984540054 * sqrt(ssr / g.n * (1 - power(phi, 2 * t.step)) / (1 - phi * phi)) AS half
+  FROM split t JOIN g ON g.series_id = t.series_id AND g.d = 0
+  JOIN split s ON s.series_id = t.series_id AND s.pos = t.n_train
+  WHERE t.role = 'test')
+SELECT series_id, ts, step, round(actual, 6) AS actual, round(sarima, 6) AS sarima,
+  round(sarima - half, 6) AS lower_95, round(sarima + half, 6) AS upper_95 FROM f""",
+    ),
+)
+def sar_first_order_forecast(spark, d):
+    s = weekly_split(spark, d)
+    best = sar.best_candidates(sar.search_orders(s, FIRST_ORDER[:1], SHAPE))
+    return sar.forecast(s, best, SHAPE, 104)
+
+
 @query("sar_two_stage")
 def sar_two_stage(spark, d):
     axes = dict(p=range(3), d=range(2), q=range(3), sp=[1], sd=[0], sq=[1])
@@ -129,6 +199,37 @@ def _sequence_fits(s):
     return sequence.search(sequence.sequence_grams(s, LENGTH), LENGTH)
 
 
+@query(
+    "seq_grams",
+    with_sql(
+        HOURLY_SPLIT,
+        """, scales AS (
+  SELECT series_id, min(y) AS mn, max(y) - min(y) AS rg FROM split WHERE role = 'train' GROUP BY 1),
+x AS (
+  SELECT series_id, pos, n_train, (y - mn) / rg AS v,
+    lag((y - mn) / rg, 1) OVER (PARTITION BY series_id ORDER BY pos) AS b1,
+    lag((y - mn) / rg, 2) OVER (PARTITION BY series_id ORDER BY pos) AS b2
+  FROM split JOIN scales USING (series_id) WHERE role = 'train'),
+p AS (SELECT *, pos > n_train - floor((n_train - 2) * 0.15) AS held FROM x WHERE pos > 2)
+SELECT series_id, count(*) FILTER (NOT held) AS train_rows,
+  count(*) FILTER (held) AS validation_rows, round(sum(v * v) FILTER (NOT held), 6) AS train_yy,
+  round(sum(v * b1) FILTER (NOT held), 6) AS train_y1, round(sum(v * b2) FILTER (NOT held), 6) AS train_y2,
+  round(sum(v * v) FILTER (held), 6) AS held_yy, round(sum(b1 * b2) FILTER (held), 6) AS held_12
+FROM p GROUP BY 1""",
+    ),
+)
+def seq_grams(spark, d):
+    """Cross products of two-step sequences; columns are target, constant, older, newer value."""
+    g = sequence.sequence_grams(hourly_split(spark, d), 2)
+    cells = {"train_yy": 0, "train_y1": 3, "train_y2": 2, "held_yy": 16, "held_12": 16 + 11}
+    return g.select(
+        "series_id",
+        "train_rows",
+        "validation_rows",
+        *[F.col("gram")[i].alias(name) for name, i in cells.items()],
+    )
+
+
 @query("seq_search")
 def seq_search(spark, d):
     return sequence.search_table(_sequence_fits(hourly_split(spark, d)))

@@ -42,11 +42,55 @@ def pacf(spark, d):
     return stats.pacf_table(weekly(spark, d))
 
 
+@query(
+    "pacf_short",
+    with_sql(
+        LAGGED,
+        """, r AS (
+  SELECT series_id, max(n) AS n, max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2,
+         max(acf) FILTER (lag = 3) AS r3 FROM acf GROUP BY 1),
+p AS (
+  SELECT series_id, n, 0 AS lag, 1.0 AS pacf FROM r
+  UNION ALL SELECT series_id, n, 1, r1 FROM r
+  UNION ALL SELECT series_id, n, 2, (r2 - r1 * r1) / (1 - r1 * r1) FROM r
+  UNION ALL SELECT series_id, n, 3,
+    (r3 - 2 * r1 * r2 + r1 * r1 * r1 - r1 * r1 * r3 + r1 * r2 * r2)
+    / (1 - 2 * r1 * r1 + 2 * r1 * r1 * r2 - r2 * r2) FROM r)
+SELECT series_id, CAST(lag AS BIGINT) AS lag, round(pacf, 6) AS pacf,
+  round(pacf - CASE WHEN lag = 0 THEN 0 ELSE 1.959963984540054 / sqrt(n) END, 6) AS lower_95,
+  round(pacf + CASE WHEN lag = 0 THEN 0 ELSE 1.959963984540054 / sqrt(n) END, 6) AS upper_95
+FROM p""",
+    ),
+)
+def pacf_short(spark, d):
+    """Lags with a closed form."""
+    return stats.pacf_table(weekly(spark, d), 3)
+
+
 @query("adf")
 def adf(spark, d):
     return stats.adf_test(weekly(spark, d))
 
 
+@query(
+    "adf_zero_lags",
+    with_sql(
+        WEEKLY,
+        f""", c AS (SELECT series_id, y - lag(y, 1) OVER {W} AS dy, lag(y, 1) OVER {W} AS b FROM weekly),
+r AS (
+  SELECT series_id, regr_count(dy, b) AS n, regr_slope(dy, b) AS slope, regr_sxx(dy, b) AS sxx,
+         regr_syy(dy, b) - regr_slope(dy, b) * regr_sxy(dy, b) AS ssr FROM c GROUP BY 1)
+SELECT series_id, round(slope / sqrt(ssr / (n - 2) / sxx), 6) AS adf_statistic,
+  CAST(0 AS BIGINT) AS used_lags, CAST(n AS BIGINT) AS observations FROM r""",
+    ),
+)
+def adf_zero_lags(spark, d):
+    """Without lagged differences the test is one simple regression."""
+    return stats.adf_test(weekly(spark, d), max_lags=0).select(
+        "series_id", "adf_statistic", "used_lags", "observations"
+    )
+
+
 @query("adf_differences")
 def adf_differences(spark, d):
     return stats.adf_of_differences(features.differences(weekly(spark, d)))

@@ -54,7 +54,9 @@ def main() -> None:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    settings = {"spark.sql.shuffle.partitions": "8"}
+    settings |= dict(kv.split("=") for kv in os.environ.get("COMPARE_CONF", "").split(",") if kv)
+    spark = build_session(master="local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(folder), entry.oracle_sql(), 0
     for name, run in entry.queries().items():

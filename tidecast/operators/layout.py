@@ -51,10 +51,12 @@ def positions(df: DataFrame, grain: str = "week") -> DataFrame:
         F.sum("_rows").over(Window.partitionBy(SERIES)).alias("n"),
     )
     inside = Window.partitionBy(SERIES, "_bucket").orderBy(TS)
+    # Numbered before the join: narrower rows are shuffled, and the join finds them placed.
     return (
-        bucketed.join(offsets, [SERIES, "_bucket"])
-        .withColumn("pos", F.row_number().over(inside) + F.col("_before"))
-        .drop("_bucket", "_before")
+        bucketed.withColumn("_inside", F.row_number().over(inside))
+        .join(offsets, [SERIES, "_bucket"])
+        .withColumn("pos", F.col("_inside") + F.col("_before"))
+        .drop("_bucket", "_before", "_inside")
     )
 
 

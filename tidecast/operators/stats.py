@@ -331,10 +331,13 @@ def adf_test(
     target: str = Y,
     name: Column | str | None = None,
     grain: str = "week",
+    max_lags: int | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Unit-root test with a constant; the lag count minimises AIC on a common sample.
 
+    ``max_lags`` lowers the largest lag count tried, which otherwise follows the series length.
+
     One pass over blocks of the series: only cross-product matrices leave them. The chosen lag
     count is refitted on its own longer sample by adding its few earlier rows to the matrix.
     """
@@ -343,6 +346,8 @@ def adf_test(
     limit = F.greatest(
         F.least(F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0)
     ).cast("int")
+    if max_lags is not None:
+        limit = F.least(limit, F.lit(max_lags))
     placed = positions(clean, grain).withColumn("_lags", limit)
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
