@@ -2,12 +2,23 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
-from conftest import golden_csv
+from conftest import METRIC_COLUMNS, published_path, published_table
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalar import coerce_timestamp
 from tidecast.operators import baselines, evaluate, report, split
 
+BENCHMARK = ("timestamp", "actual", *baselines.BASELINES)
+LIMITS = ("lower_95", "upper_95")
+OTHERS = ("sarima", "sarimax", "random_forest", "gradient_boosting", "lstm_weekly")
+COMPARISON = (
+    *METRIC_COLUMNS,
+    "frequency",
+    "forecast_type",
+    "RMSE_improvement_percent",
+    "MAE_improvement_percent",
+)
+
 
 def fc(weekly_frame, actual, forecast):
     f = weekly_frame(forecast).withColumnRenamed("y", "m")
@@ -47,29 +58,22 @@ def test_flat_series_has_no_scale(weekly_frame):
         evaluate.mase_scale(marked, strict=True).collect()
 
 
-def test_published_benchmark_numbers(golden_weekly):
-    marked = split.split_last(golden_weekly.select("series_id", "ts", "y"), 104)
+def test_published_benchmark_numbers(published_weekly):
+    marked = split.split_last(published_weekly, 104)
     got = evaluate.rank_models(evaluate.evaluate(baselines.baseline_forecasts(marked), marked))
     got = got.orderBy("rank").toPandas()
-    want = golden_csv("metrics/benchmark_metrics.csv")
+    want = published_table(METRIC_COLUMNS, "drift")
     assert list(got["model"]) == list(want["model"])
     for c in ("MAE", "RMSE", "MASE", "Bias"):
         assert np.allclose(got[c], want[c], rtol=0, atol=1e-12)
     table = baselines.baseline_forecasts(marked).orderBy("ts").toPandas()
-    expected = golden_csv("forecasts/benchmark_forecasts.csv")
+    expected = published_table(BENCHMARK)
     for c in ("actual", *baselines.BASELINES):
         assert np.allclose(table[c], expected[c], atol=1e-12)
 
 
-def read_forecasts(spark, name):
-    import os
-
-    from conftest import GOLDEN
-
-    path = f"{GOLDEN}/forecasts/{name}.csv"
-    if not os.path.exists(path):
-        pytest.skip(f"{name} not present")
-    raw = spark.read.csv(path, header=True)
+def read_forecasts(spark, *columns):
+    raw = spark.read.csv(published_path(("timestamp", "actual", *columns)), header=True)
     numbers = [F.col(c).cast("double").alias(c) for c in raw.columns if c != "timestamp"]
     return raw.select(
         F.lit("s").alias("series_id"), coerce_timestamp(F.col("timestamp")).alias("ts"), *numbers
@@ -77,27 +81,27 @@ def read_forecasts(spark, name):
 
 
 def test_published_comparison(spark):
-    benchmark = read_forecasts(spark, "benchmark_forecasts")
-    weekly = read_forecasts(spark, "lstm_weekly_forecast")
+    benchmark = read_forecasts(spark, *baselines.BASELINES)
+    weekly = read_forecasts(spark, "lstm")
     row = evaluate.sequence_weekly_metrics(weekly, benchmark).collect()[0]
-    want = golden_csv("metrics/lstm_weekly_metrics.csv").iloc[0]
+    want = published_table(METRIC_COLUMNS, "lstm_weekly").iloc[0]
     for c in ("MAE", "RMSE", "MASE", "Bias"):
         assert abs(row[c] - want[c]) < 1e-12
     combined = evaluate.combine_forecasts(
         benchmark,
-        read_forecasts(spark, "sarima_forecast").select("series_id", "ts", "sarima"),
-        read_forecasts(spark, "sarimax_forecast").select("series_id", "ts", "sarimax"),
-        read_forecasts(spark, "feature_model_forecasts").drop("actual"),
+        read_forecasts(spark, "sarima", *LIMITS).select("series_id", "ts", "sarima"),
+        read_forecasts(spark, "sarimax", *LIMITS).select("series_id", "ts", "sarimax"),
+        read_forecasts(spark, "random_forest", "gradient_boosting").drop("actual"),
         weekly.select("series_id", "ts", F.col("lstm").alias("lstm_weekly")),
     )
     got = combined.orderBy("ts").toPandas()
-    expected = golden_csv("forecasts/all_forecasts.csv")
+    expected = published_table((*BENCHMARK, *OTHERS))
     assert list(got.columns[2:]) == list(expected.columns[1:])
     assert np.allclose(got[expected.columns[1:]], expected[expected.columns[1:]], atol=1e-12)
 
 
 def test_published_improvements(spark):
-    want = golden_csv("metrics/model_comparison.csv")
+    want = published_table(COMPARISON)
     metrics = spark.createDataFrame(want[["model", "MAE", "RMSE", "MASE", "Bias"]]).withColumn(
         "series_id", F.lit("s")
     )

@@ -161,6 +161,8 @@ def test_sequences(hourly_frame):
     assert len(got) == 7
     assert got[0].sequence == [0, 1, 2] and got[0].y == 3
     assert features.sequences(hourly_frame(range(3)), 3).count() == 0
+    with pytest.raises(Exception, match="sequence length"):
+        features.sequences(hourly_frame(range(3)), 3, strict=True).collect()
 
 
 def test_rolling_sequences(hourly_frame):
@@ -168,6 +170,9 @@ def test_rolling_sequences(hourly_frame):
     got = sequence.rolling_sequences(marked, 5).orderBy("ts").collect()
     assert len(got) == 5
     assert np.allclose(np.array(got[0].sequence) * 14, [10, 11, 12, 13, 14])
+    assert sequence.rolling_sequences(marked, 15, strict=True).count() == 5
+    with pytest.raises(Exception, match="Insufficient history"):
+        sequence.rolling_sequences(marked, 16, strict=True).collect()
 
 
 def test_baselines(weekly_frame):

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidecast.functions.scalar import cycle_angle
-from tidecast.operators.layout import over_series
+from tidecast.functions.scalar import checked, cycle_angle
+from tidecast.operators.layout import over_series, positions
 from tidecast.schema import (
     ROLLING_WINDOWS,
     SERIES,
@@ -119,9 +119,16 @@ def differences(df: DataFrame, season: int = 52, target: str = Y, grain: str = "
 
 
 def sequences(
-    df: DataFrame, length: int, target: str = Y, grain: str = "hour"
+    df: DataFrame, length: int, target: str = Y, grain: str = "hour", strict: bool = False
 ) -> DataFrame:
-    """The previous ``length`` values as an array, for every row that has that many before it."""
+    """The previous ``length`` values as an array, for every row that has that many before it.
+
+    Strict: a series of ``length`` rows or fewer is an error.
+    """
+    if strict:
+        placed = df if {"pos", "n"} <= set(df.columns) else positions(df, grain)
+        message = "Series must contain more values than the sequence length."
+        df = placed.withColumn(target, checked(F.col("n") > length, F.col(target), message, True))
 
     def columns(w: WindowSpec) -> dict[str, Column]:
         return {"sequence": F.collect_list(target).over(w.rowsBetween(-length, -1))}

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions import numeric
+from tidecast.functions.scalar import checked
 from tidecast.operators.evaluate import error_metrics
 from tidecast.operators.features import best_row, sequences
 from tidecast.operators.layout import CHUNK, blocks, sum_arrays
-from tidecast.operators.split import range_scales, scale_range, train_rows, unscale, validation_tail
+from tidecast.operators.split import scale_range, train_rows, validation_tail
 from tidecast.schema import SEQUENCE_LENGTH, SERIES, TS, Y
 
 # Training limits.
@@ -44,9 +45,19 @@ def supervised_sequences(
     )
 
 
-def rolling_sequences(split: DataFrame, length: int, grain: str = "hour") -> DataFrame:
-    """For every test row, the ``length`` scaled values before it."""
-    cut = sequences(scale_range(split), length, "scaled", grain)
+def rolling_sequences(
+    split: DataFrame, length: int, grain: str = "hour", strict: bool = False
+) -> DataFrame:
+    """For every test row, the ``length`` scaled values before it.
+
+    Strict: a test row with fewer values before it is an error.
+    """
+    rows = scale_range(split)
+    if strict:
+        known = (F.col("role") != "test") | (F.col("pos") > length)
+        message = "Insufficient history for the requested sequence."
+        rows = rows.withColumn("scaled", checked(known, F.col("scaled"), message, True))
+    cut = sequences(rows, length, "scaled", grain)
     return cut.where(F.col("role") == "test").select(
         SERIES, TS, "step", "sequence", F.col("scaled").alias("target")
     )
@@ -196,19 +207,19 @@ def rolling_forecast(
 
     ``series_id, ts, actual, <name>`` in the units of the series.
     """
-    scaled = scale_range(split)
-    cut = blocks(scaled, length, ["scaled"], ["n_train"], chunk)
+    carry = ["n_train", "scale_min", "scale_range"]
+    cut = blocks(scale_range(split), length, ["scaled"], carry, chunk)
     work = cut.join(best.select(SERIES, "weights"), SERIES)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                sid, start, _, n_train, pos, ts, values, weights = row
-                pos = np.asarray(pos)
+                sid, start, _, n_train, low, span, pos, ts, values, weights = row
+                pos, values = np.asarray(pos), np.asarray(values, dtype=float)
                 keep = (pos > start) & (pos > n_train)
                 if not keep.any():
                     continue
-                matrix = _windows(np.asarray(values, dtype=float), length)
+                matrix = _windows(values, length)
                 guess = np.full(len(pos), np.nan)
                 if len(matrix):
                     guess[length:] = matrix[:, 1:] @ np.asarray(weights)
@@ -216,18 +227,13 @@ def rolling_forecast(
                     {
                         SERIES: sid,
                         TS: np.asarray(ts)[keep],
-                        "target": np.asarray(values, dtype=float)[keep],
-                        "guess": pd.array(guess[keep], dtype="Float64"),
+                        "actual": values[keep] * span + low,
+                        name: guess[keep] * span + low,
                     }
                 )
 
-    rows = work.mapInPandas(
-        predict, f"{SERIES} string, {TS} timestamp_ntz, target double, guess double"
-    )
-    back = rows.join(range_scales(split), SERIES)
-    guess = F.nullif(F.col("guess"), F.lit(float("nan")))
-    return back.select(
-        SERIES, TS, unscale(F.col("target")).alias("actual"), unscale(guess).alias(name)
+    return work.mapInPandas(
+        predict, f"{SERIES} string, {TS} timestamp_ntz, actual double, `{name}` double"
     )
 
 
