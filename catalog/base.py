@@ -63,7 +63,7 @@ def orders(spark, folder) -> DataFrame:
 
 
 def events(spark, folder) -> DataFrame:
-    return to_long(table(spark, folder, "events"), "event_type", "ts", "value")
+    return to_long(table(spark, folder, "events"), "event_type", "ts", F.col("value") / 9.7)
 
 
 def weekly(spark, folder) -> DataFrame:
@@ -75,12 +75,12 @@ def hourly(spark, folder) -> DataFrame:
 
 
 def readings(spark, folder) -> DataFrame:
-    """Temperature-like readings: one series, from all orders."""
+    """Temperature-like readings around 18 degrees: one series, from all orders."""
     t = table(spark, folder, "orders")
     return t.select(
         F.lit("all").alias("series_id"),
         F.col("o_orderdate").alias("ts"),
-        (F.col("o_totalprice") / 9700.0).alias("temperature_2m"),
+        (F.col("o_totalprice") / 14065.0).alias("temperature_2m"),
     )
 
 
@@ -121,7 +121,7 @@ def raw_events(spark, folder) -> DataFrame:
 SHIPMENTS = """shipments AS (
   SELECT l_returnflag AS series_id, l_shipdate AS ts, l_extendedprice / 970.0 AS y FROM lineitem)"""
 
-EVENTS = "ev AS (SELECT event_type AS series_id, ts, value AS y FROM events)"
+EVENTS = "ev AS (SELECT event_type AS series_id, ts, value / 9.7 AS y FROM events)"
 
 WEEK = "(CAST(date_trunc('week', {0}) AS TIMESTAMP) + INTERVAL 6 DAY)"
 
@@ -139,7 +139,7 @@ HOURLY = (
 )
 
 READINGS = """readings AS (
-  SELECT 'all' AS series_id, o_orderdate AS ts, o_totalprice / 9700.0 AS temperature_2m
+  SELECT 'all' AS series_id, o_orderdate AS ts, o_totalprice / 14065.0 AS temperature_2m
   FROM orders)"""
 
 WEATHER = (

@@ -17,7 +17,7 @@ from catalog.base import (
     with_sql,
 )
 from tidecast.functions import scalar
-from tidecast.operators import clean, features
+from tidecast.operators import clean, features, resample
 from tidecast.sources import readers, sinks
 
 RAW = """raw AS (
@@ -236,14 +236,12 @@ def pretty_name(spark, d):
         """, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY ingest_seq) AS k
   FROM typed WHERE ts IS NOT NULL),
-kept AS (SELECT series_id, ts, load_mw / 1000.0 AS y FROM ranked WHERE k = 1 AND load_mw IS NOT NULL)
+kept AS (SELECT series_id, ts, load_mw / 970.0 AS y FROM ranked WHERE k = 1 AND load_mw IS NOT NULL)
 SELECT series_id, CAST(date_trunc('week', ts) AS TIMESTAMP) + INTERVAL 6 DAY AS ts,
        round(avg(y), 6) AS y FROM kept GROUP BY 1, 2""",
     ),
 )
 def clean_hourly_to_weekly(spark, d):
-    from tidecast.operators.resample import weekly_mean
-
-    return weekly_mean(clean.clean_load(raw_events(spark, d)))
+    return resample.weekly_mean(clean.clean_load(raw_events(spark, d), divisor=970.0))
 
 

@@ -1,5 +1,6 @@
 """Joins and unions of forecast and metric tables, and the model comparison."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -18,7 +19,7 @@ from catalog.base import (
     with_sql,
 )
 from catalog.forecasting import EVALUATED
-from tidecast.operators import baselines, evaluate, resample
+from tidecast.operators import baselines, evaluate, features, resample
 from tidecast.schema import WEATHER_COLUMNS
 
 ORDERS_WEEKLY = f"""orders_weekly AS (
@@ -164,11 +165,7 @@ FROM l""",
     ),
 )
 def sort_nulls_last(spark, d):
-    from pyspark.sql import Window
-
-    from tidecast.operators.features import target_lags
-
-    s = target_lags(weekly_split(spark, d), lags=[52])
+    s = features.target_lags(weekly_split(spark, d), lags=[52])
     w = Window.partitionBy("series_id").orderBy(F.col("load_lag_52").asc_nulls_last(), "y")
     return s.select("series_id", "ts", F.row_number().over(w).alias("rank"))
 

@@ -204,18 +204,23 @@ def _sequence_fits(s):
     with_sql(
         HOURLY_SPLIT,
         """, scales AS (
-  SELECT series_id, min(y) AS mn, max(y) - min(y) AS rg FROM split WHERE role = 'train' GROUP BY 1),
+  SELECT series_id, min(y) AS mn,
+    CASE WHEN max(y) = min(y) THEN 1.0 ELSE max(y) - min(y) END AS rg
+  FROM split WHERE role = 'train' GROUP BY 1),
 x AS (
   SELECT series_id, pos, n_train, (y - mn) / rg AS v,
     lag((y - mn) / rg, 1) OVER (PARTITION BY series_id ORDER BY pos) AS b1,
     lag((y - mn) / rg, 2) OVER (PARTITION BY series_id ORDER BY pos) AS b2
   FROM split JOIN scales USING (series_id) WHERE role = 'train'),
 p AS (SELECT *, pos > n_train - floor((n_train - 2) * 0.15) AS held FROM x WHERE pos > 2)
-SELECT series_id, count(*) FILTER (NOT held) AS train_rows,
-  count(*) FILTER (held) AS validation_rows, round(sum(v * v) FILTER (NOT held), 6) AS train_yy,
-  round(sum(v * b1) FILTER (NOT held), 6) AS train_y1, round(sum(v * b2) FILTER (NOT held), 6) AS train_y2,
-  round(sum(v * v) FILTER (held), 6) AS held_yy, round(sum(b1 * b2) FILTER (held), 6) AS held_12
-FROM p GROUP BY 1""",
+SELECT s.series_id, count(p.v) FILTER (NOT held) AS train_rows,
+  count(p.v) FILTER (held) AS validation_rows,
+  round(coalesce(sum(v * v) FILTER (NOT held), 0), 6) AS train_yy,
+  round(coalesce(sum(v * b1) FILTER (NOT held), 0), 6) AS train_y1,
+  round(coalesce(sum(v * b2) FILTER (NOT held), 0), 6) AS train_y2,
+  round(coalesce(sum(v * v) FILTER (held), 0), 6) AS held_yy,
+  round(coalesce(sum(b1 * b2) FILTER (held), 0), 6) AS held_12
+FROM scales s LEFT JOIN p ON p.series_id = s.series_id GROUP BY 1""",
     ),
 )
 def seq_grams(spark, d):

@@ -18,7 +18,7 @@ from catalog.base import (
     weekly_split,
     with_sql,
 )
-from tidecast.operators import features, layout, sequence, split
+from tidecast.operators import features, layout, report, sequence, split
 from tidecast.schema import ROLLING_WINDOWS, TARGET_LAGS, WEATHER_COLUMNS
 
 W = "(PARTITION BY series_id ORDER BY ts)"
@@ -158,7 +158,7 @@ SCALED = (
          CASE WHEN max(y) = min(y) THEN 1.0 ELSE max(y) - min(y) END AS rg
   FROM split WHERE role = 'train' GROUP BY 1),
 scaled AS (
-  SELECT s.*, (y - mn) / rg AS scaled, mn, rg FROM split s JOIN scales USING (series_id))"""
+  SELECT s.*, (y - mn) / rg AS scaled, mn, rg FROM split s LEFT JOIN scales USING (series_id))"""
 )
 
 
@@ -362,9 +362,7 @@ WHERE role = 'train' AND pos > n_train - 104""",
     ),
 )
 def tail_slice(spark, d):
-    from tidecast.operators.report import train_tail
-
-    return train_tail(weekly_split(spark, d), 104).select("series_id", "ts", "pos", "y")
+    return report.train_tail(weekly_split(spark, d), 104).select("series_id", "ts", "pos", "y")
 
 
 @query("sort_time", with_sql(WEEKLY, f"SELECT series_id, ts, {rounded('y')} FROM weekly ORDER BY 1, 2"))

@@ -78,6 +78,11 @@ def test_study(spark, tmp_path):
     assert summary[:3] == ["series_id", "order", "seasonal_order"]
 
 
+def test_default_folder(spark):
+    study = jobs.Study(spark)
+    assert study.folder.endswith("/study") and not study.has("weekly")
+
+
 def test_missing_stage(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         jobs.run_study(jobs.Study(spark, str(tmp_path)), options=jobs.Options(preprocess=False))

@@ -81,6 +81,9 @@ def test_failed_candidates_are_rows(weekly_frame):
     got = sar.search_orders(marked, [(1, 0, 1, 0, 1, 1), (0, 1, 0, 0, 0, 0)], SHAPE).collect()
     assert len(got) == 4
     assert all(r.aic is None and r.error for r in got)
+    best = sar.best_candidates(sar.search_orders(marked, [(0, 1, 0, 0, 0, 0)], SHAPE))
+    kept = sar.forecast(marked, best, SHAPE, 24)
+    assert kept.count() == 48 and kept.where("sarima IS NOT NULL").count() == 0
 
 
 def test_two_stages(weekly_frame):
@@ -194,8 +197,10 @@ def test_sequence_model(hourly_frame, chunk):
     assert table[table.series_id == "short"]["error"].str.contains("no observations").all()
     best = sequence.best_fit(fits)
     fc = sequence.rolling_forecast(marked, best, 24, chunk=chunk)
-    row = sequence.hourly_metrics(fc).collect()[0]
-    assert fc.count() == 50 and row.RMSE < 0.5
+    row = sequence.hourly_metrics(fc).where("series_id = 'wave'").collect()[0]
+    assert fc.where("series_id = 'wave'").count() == 50 and row.RMSE < 0.5
+    unknown = fc.where("series_id = 'short'")
+    assert unknown.count() == 50 and unknown.where("lstm IS NOT NULL").count() == 0
     assert row.forecast_design == "rolling one-step-ahead"
     history = sequence.training_history(best).toPandas()
     assert list(history["epoch"]) == list(range(1, len(history) + 1)) and len(history) <= 30

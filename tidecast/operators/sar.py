@@ -531,7 +531,7 @@ def forecast(
     """Test-row forecasts with 95 % limits: ``series_id, ts, step, actual, <name>, lower, upper``.
 
     Only the last rows a model looks back to, at most ``2 * lookback`` per series, are gathered;
-    with covariates also their test values.
+    with covariates also their test values. A series without a model keeps its rows, unforecast.
     """
     reach = 2 * shape.lookback
     columns = ["pos", Y, *shape.covariates]
@@ -571,7 +571,7 @@ def forecast(
         project, f"{SERIES} string, step long, `{name}` double, lower_95 double, upper_95 double"
     )
     tests = test_rows(split).select(SERIES, TS, "step", F.col(Y).alias("actual"))
-    return tests.join(steps, [SERIES, "step"]).select(
+    return tests.join(steps, [SERIES, "step"], "left").select(
         SERIES, TS, "step", "actual", name, "lower_95", "upper_95"
     )
 

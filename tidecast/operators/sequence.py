@@ -205,11 +205,12 @@ def rolling_forecast(
 ) -> DataFrame:
     """One-step forecast of every test row from the actual ``length`` rows before it.
 
-    ``series_id, ts, actual, <name>`` in the units of the series.
+    ``series_id, ts, actual, <name>`` in the units of the series; a row with too little history,
+    or a series without a model, has no forecast.
     """
     carry = ["n_train", "scale_min", "scale_range"]
     cut = blocks(scale_range(split), length, ["scaled"], carry, chunk)
-    work = cut.join(best.select(SERIES, "weights"), SERIES)
+    work = cut.join(best.select(SERIES, "weights"), SERIES, "left")
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -221,7 +222,7 @@ def rolling_forecast(
                     continue
                 matrix = _windows(values, length)
                 guess = np.full(len(pos), np.nan)
-                if len(matrix):
+                if len(matrix) and weights is not None:
                     guess[length:] = matrix[:, 1:] @ np.asarray(weights)
                 yield pd.DataFrame(
                     {

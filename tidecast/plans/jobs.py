@@ -38,17 +38,20 @@ from tidecast.schema import (
     predictors,
     require_rows,
 )
-from tidecast.session import ship_package
+from tidecast.session import checkpoint_folder, ship_package
 from tidecast.sources.readers import read_temperature
 from tidecast.sources.sinks import profile, stored, table_exists, write_table
 
 
 @dataclass
 class Study:
-    """Where the tables are and how the study is set up."""
+    """Where the tables are and how the study is set up.
+
+    Without a folder the tables go below the shared folder of the cluster.
+    """
 
     spark: SparkSession
-    folder: str
+    folder: str | None = None
     horizon: int = WEEKLY_HORIZON
     season: int = WEEKLY_SEASON
     hourly_horizon: int = HOURLY_HORIZON
@@ -59,6 +62,8 @@ class Study:
 
     def __post_init__(self) -> None:
         ship_package(self.spark)
+        if not self.folder:
+            self.folder = f"{checkpoint_folder(self.spark).rstrip('/')}/study"
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/{name}"

@@ -33,11 +33,7 @@ def build_session(app: str = "tidecast", master: str | None = None, **conf: str)
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidecast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidecast-")
 
 
 def ship_package(spark: SparkSession) -> None:
