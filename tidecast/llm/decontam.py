@@ -130,27 +130,44 @@ def find_overlap(
         )
         fits = F.size("words") >= F.col("width")
         matches.append(ended.join(F.broadcast(part), (F.col("word") == F.col("key")) & fits & near))
-    met = reduce(DataFrame.union, matches)
+    # Only the words around a place leave the join: a long text is not copied for every match.
     first = F.col("pos") - F.col("at")
+    met = reduce(DataFrame.union, matches).select(
+        "id",
+        "of",
+        F.size("words").cast("long").alias("n_words"),
+        (F.col("word") == "").alias("end"),
+        "ids",
+        "width",
+        "n",
+        "context",
+        first.alias("first"),
+        F.slice("words", F.greatest(first, F.lit(0)) + 1, F.col("n") + F.col("width")).alias("near"),
+    )
+    begin = F.col("first")
     starts = F.filter(
-        F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: first + j),
+        F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: begin + j),
         lambda s: (s >= 0)
-        & (s + F.col("width") <= F.size("words"))
+        & (s + F.col("width") <= F.col("n_words"))
         & (
-            F.slice("words", F.greatest(s, F.lit(0)) + 1, F.col("width"))
-            == F.slice("context", s - first + 1, F.col("width"))
+            F.slice("near", F.greatest(s, F.lit(0)) - F.greatest(begin, F.lit(0)) + 1, F.col("width"))
+            == F.slice("context", s - begin + 1, F.col("width"))
         ),
     )
-    hit = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.col("width") - 1)))
-    end = F.col("word") == ""
+    hit = F.array_distinct(
+        F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.col("width") - 1)))
+    )
+    none = F.array().cast("array<int>")
+    # A generator, not a filter: a filter would move below the slice and see whole texts.
+    outcome = F.when(F.col("end"), F.array(none)).otherwise(F.filter(F.array(hit), lambda h: F.size(h) > 0))
     verified = met.select(
         "id",
         "of",
-        F.size("words").cast("long").alias("n_words"),
-        end.alias("end"),
-        F.when(~end, F.col("ids")).alias("ids"),
-        F.when(~end, F.array_distinct(hit)).alias("hit"),
-    ).where(F.col("end") | (F.size("hit") > 0))
+        "n_words",
+        "end",
+        F.when(~F.col("end"), F.col("ids")).alias("ids"),
+        F.explode(outcome).alias("hit"),
+    )
     # Repeated rows meet in one group and leave it as often as they came.
     merged = verified.groupBy("id", "of", "n_words").agg(
         F.count(F.when(F.col("end"), 1)).alias("copies"),
