@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontam, lines, shards, simhash
+from tidecast.llm import blobscan, chat, decontam, langid, lines, packing, shards, simhash, topk
 from tidecast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,117 @@ def op10(spark, folder):
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op5_secret_scan")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = blobscan.findings(docs, blobscan.scan_unseen(docs))
+    base = F.filter("spans", lambda s: s["kind"].isin(*blobscan.BASE))
+    named = lambda spans: F.array_join(
+        F.transform(
+            spans,
+            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in blobscan.BASE],
+        F.sha2(named(base), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+    )
+
+
+OP6_SQL = f"""
+WITH named AS (
+  SELECT conv_id, CAST(floor(turn / {chat.PART}) AS BIGINT) AS part, turn,
+         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+speakers AS (
+  SELECT DISTINCT c.conv_id, s.role AS speaker
+  FROM (SELECT DISTINCT conv_id FROM named) c
+  LEFT JOIN (SELECT DISTINCT conv_id, role FROM named WHERE role <> 'system') s
+    ON c.conv_id = s.conv_id),
+shown AS (
+  SELECT n.*, speaker, coalesce(role = speaker, false) AS own,
+         '{chat.OPEN}' || CASE WHEN coalesce(role = speaker, false) THEN 'assistant'
+           WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
+  FROM named n JOIN speakers s ON n.conv_id = s.conv_id),
+placed AS (
+  SELECT *, head || text || '{chat.CLOSE}' || chr(10) AS piece,
+         coalesce(sum(length(head || text || '{chat.CLOSE}' || chr(10))) OVER (
+           PARTITION BY conv_id, part, speaker ORDER BY turn, role, text
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM shown)
+SELECT conv_id, part, speaker, count(*)::BIGINT AS n_turns,
+       count(*) FILTER (own)::BIGINT AS n_own,
+       string_agg(piece, '' ORDER BY turn, role, text) AS rendered,
+       coalesce(string_agg((begins + length(head))::VARCHAR || ':' ||
+         (begins + length(piece) - 1)::VARCHAR, ',' ORDER BY begins) FILTER (own), '') AS masks
+FROM placed GROUP BY conv_id, part, speaker"""
+
+
+@query("op6_chat_formatting", OP6_SQL)
+def op6(spark, folder):
+    shown = chat.rotate(table(spark, folder, "conversations"))
+    spans = F.transform(
+        "masks",
+        lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")),
+    )
+    return shown.withColumn("masks", F.array_join(spans, ","))
+
+
+def remainder(modulus: int):
+    """crc32 of the document id as text, modulo; a missing id counts as empty text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(name.cast("binary")) % modulus
+
+
+@query("op7_language_id")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(remainder(4) != 2))
+    asked = docs.select("doc_id", (remainder(4) == 2).alias("held_out"), "text")
+    found = langid.identify(asked, model, carry=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_packing")
+def op8(spark, folder):
+    import public_tokenizers
+
+    packed = packing.pack(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 2
+    )
+    return packed.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q),
+           lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        AS INTEGER) AS rank FROM scored)
+WHERE rank <= 20"""
+
+
+@query("op9_exact_topk", OP9_SQL)
+def op9(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), k=20, every=20, scale=64)
