@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import blobscan, chat, decontam, langid, lines, packing, shards, simhash, topk
+from tidecast.llm import blobscan, chat, decontam, langid, lines, lm, packing, shards, simhash, topk
 from tidecast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,3 +249,11 @@ WHERE rank <= 20"""
 @query("op9_exact_topk", OP9_SQL)
 def op9(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), k=20, every=20, scale=64)
+
+
+@query("op2_lm_scoring")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = lm.train(docs.where(remainder(10) != 0))
+    asked = docs.select("doc_id", (remainder(10) == 0).alias("held_out"), "text")
+    return lm.score(asked, model, carry=["doc_id", "held_out"])
