@@ -59,22 +59,18 @@ l AS (SELECT *, lag(w, 1) OVER (PARTITION BY series_id, d ORDER BY pos) AS b FRO
 g AS (
   SELECT series_id, d, count(*) AS n, sum(w * b) / sum(b * b) AS phi,
          sum(w * w) - sum(w * b) * sum(w * b) / sum(b * b) AS ssr
-  FROM l WHERE pos >= {SHAPE.first_row} GROUP BY 1, 2)"""
+  FROM l WHERE pos >= {{0}} AND w IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2)"""
 )
 
 
-@query(
-    "sar_first_order",
-    with_sql(
-        FIRST_ORDER_SQL,
-        """SELECT series_id, CAST(d AS BIGINT) AS d, n AS observations, round(phi, 6) AS estimate,
+FIRST_ORDER_COLUMNS = """SELECT series_id, CAST(d AS BIGINT) AS d, n AS observations,
+  round(phi, 6) AS estimate,
   round(ssr / n, 6) AS sigma2, round(-0.5 * n * (ln(2 * pi() * ssr / n) + 1), 6) AS log_likelihood,
   round(n * (ln(2 * pi() * ssr / n) + 1) + 4, 6) AS aic,
-  round(n * (ln(2 * pi() * ssr / n) + 1) + 2 * ln(n), 6) AS bic FROM g""",
-    ),
-)
-def sar_first_order(spark, d):
-    fits = sar.search_orders(weekly_split(spark, d), FIRST_ORDER, SHAPE)
+  round(n * (ln(2 * pi() * ssr / n) + 1) + 2 * ln(n), 6) AS bic FROM g"""
+
+
+def _first_order(fits):
     return fits.select(
         "series_id",
         "d",
@@ -87,10 +83,30 @@ def sar_first_order(spark, d):
     )
 
 
+@query(
+    "sar_first_order",
+    with_sql(FIRST_ORDER_SQL.format(SHAPE.first_row), FIRST_ORDER_COLUMNS),
+)
+def sar_first_order(spark, d):
+    """Candidates are scored on the rows that all orders of the shape can use."""
+    return _first_order(sar.search_orders(weekly_split(spark, d), FIRST_ORDER, SHAPE))
+
+
+@query(
+    "sar_refit",
+    with_sql(FIRST_ORDER_SQL.format(0), FIRST_ORDER_COLUMNS + " WHERE d = 1"),
+)
+def sar_refit(spark, d):
+    """The chosen order is fitted on every row it can use."""
+    s = weekly_split(spark, d)
+    best = sar.best_candidates(sar.search_orders(s, FIRST_ORDER[1:], SHAPE))
+    return _first_order(sar.refit(s, best, SHAPE))
+
+
 @query(
     "sar_first_order_forecast",
     with_sql(
-        FIRST_ORDER_SQL,
+        FIRST_ORDER_SQL.format(0),
         """, f AS (
   SELECT t.series_id, t.ts, t.step, t.y AS actual, power(phi, t.step) * s.y AS sarima,
     1.959963984540054 * sqrt(ssr / g.n * (1 - power(phi, 2 * t.step)) / (1 - phi * phi)) AS half
@@ -103,14 +119,24 @@ SELECT series_id, ts, step, round(actual, 6) AS actual, round(sarima, 6) AS sari
 )
 def sar_first_order_forecast(spark, d):
     s = weekly_split(spark, d)
-    best = sar.best_candidates(sar.search_orders(s, FIRST_ORDER[:1], SHAPE))
-    return sar.forecast(s, best, SHAPE, 104)
+    return sar.forecast(s, _refitted(s, SHAPE, FIRST_ORDER[:1]), SHAPE, 104)
+
+
+def _refitted(s, shape, orders):
+    """The winner of a list of orders, fitted on all its rows."""
+    best = sar.best_candidates(sar.search_orders(s, orders, shape))
+    return sar.refit(s, best, shape).where("aic IS NOT NULL")
+
+
+@query("sar_success_counts")
+def sar_success_counts(spark, d):
+    return sar.success_counts(sar.search_orders(weekly_split(spark, d), ORDERS, SHAPE))
 
 
 @query("sar_two_stage")
 def sar_two_stage(spark, d):
-    axes = dict(p=range(3), d=range(2), q=range(3), sp=[1], sd=[0], sq=[1])
-    return sar.search_display(sar.two_stage_search(weekly_split(spark, d), SHAPE, axes))
+    """The full search of 155 candidates per series."""
+    return sar.search_display(sar.two_stage_search(weekly_split(spark, d), SHAPE))
 
 
 @query("sar_best")
@@ -122,28 +148,28 @@ def sar_best(spark, d):
 @query("sar_forecast")
 def sar_forecast(spark, d):
     s = weekly_split(spark, d)
-    best = sar.best_candidates(sar.search_orders(s, ORDERS, SHAPE))
+    best = _refitted(s, SHAPE, ORDERS)
     return sar.forecast(s, best, SHAPE, 104)
 
 
 @query("sar_diagnostics")
 def sar_diagnostics(spark, d):
     s = weekly_split(spark, d)
-    best = sar.best_candidates(sar.search_orders(s, ORDERS, SHAPE))
+    best = _refitted(s, SHAPE, ORDERS)
     return stats.residual_diagnostics(sar.residuals(s, best, SHAPE))
 
 
 @query("sarx_forecast")
 def sarx_forecast(spark, d):
     s = _weather_split(spark, d)
-    best = sar.best_candidates(sar.search_orders(s, ORDERS, WEATHER_SHAPE))
+    best = _refitted(s, WEATHER_SHAPE, ORDERS)
     return sar.forecast(s, best, WEATHER_SHAPE, 104, "sarimax")
 
 
 @query("sarx_coefficients")
 def sarx_coefficients(spark, d):
     s = _weather_split(spark, d)
-    best = sar.best_candidates(sar.search_orders(s, ORDERS, WEATHER_SHAPE))
+    best = _refitted(s, WEATHER_SHAPE, ORDERS)
     return sar.coefficient_table(best, WEATHER_SHAPE)
 
 

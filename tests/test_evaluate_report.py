@@ -166,3 +166,16 @@ def test_top_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 2.0)], "feature string, v double")
     assert [r.feature for r in report.top_rows(df, "v", 2).collect()] == ["b", "c"]
     assert report.top_rows(df, "v", 1, ["feature"]).count() == 3
+
+
+def test_a_missing_forecast_is_not_scored(spark):
+    rows = [("s", 1.0, 1.0, 1.0), ("s", 5.0, None, 4.0)]
+    table = spark.createDataFrame(rows, "series_id string, actual double, gaps double, whole double")
+    got = {r.model: r for r in evaluate.error_metrics(table, counts=True).collect()}
+    assert (got["gaps"].MAE, got["gaps"].RMSE, got["gaps"].Bias) == (None, None, None)
+    assert (got["gaps"].expected, got["gaps"].scored) == (2, 1)
+    assert (got["whole"].MAE, got["whole"].scored) == (0.5, 2)
+    ranked = evaluate.rank_models(evaluate.error_metrics(table)).collect()
+    assert {r.model: r["rank"] for r in ranked} == {"whole": 1, "gaps": 2}
+    with pytest.raises(Exception, match="lacks forecasts"):
+        evaluate.error_metrics(table, strict=True).collect()

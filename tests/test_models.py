@@ -147,7 +147,7 @@ def test_covariates(weekly_frame):
 
 def test_residuals_match_sigma(weekly_frame):
     marked = split.split_last(weekly_frame(seasonal_series(160)), 24)
-    best = sar.search_orders(marked, [(1, 0, 1, 0, 1, 1)], SHAPE)
+    best = sar.refit(marked, sar.search_orders(marked, [(1, 0, 1, 0, 1, 1)], SHAPE), SHAPE)
     left = sar.residuals(marked, best, SHAPE, chunk=29).toPandas()
     row = best.collect()[0]
     assert len(left) == row.observations
@@ -229,3 +229,23 @@ def test_early_stopping_keeps_the_best_weights():
     weights, history, best = sequence._train(grams[0], 60, grams[1], 60, 0.0, (30, 4, 1e-5))
     assert np.mean((z - v @ weights) ** 2) == pytest.approx(best)
     assert len(history) <= 30 and best == min(h[2] for h in history)
+
+
+def test_refit_uses_all_rows_of_the_order(spark, weekly_frame):
+    rng = np.random.default_rng(3)
+    y = np.cumsum(rng.normal(size=220)) + 50
+    marked = split.split_last(weekly_frame(list(y)), 20)
+    shape = sar.Shape(season=13)
+    for order, first in (((1, 1, 0, 0, 0, 0), 2), ((2, 0, 0, 1, 0, 0), 15), ((1, 0, 1, 0, 1, 0), 14)):
+        best = sar.best_candidates(sar.search_orders(marked, [order], shape))
+        again = sar.refit(marked, best, shape, chunk=64).first()
+        assert again.observations == 200 - first > best.first().observations
+        left = sar.residuals(marked, sar.refit(marked, best, shape), shape).toPandas()
+        assert len(left) == again.observations
+        assert np.isclose((left["y"] ** 2).mean(), again.sigma2)
+    w = np.diff(y[:200])
+    phi = (w[1:] @ w[:-1]) / (w[:-1] @ w[:-1])
+    best = sar.best_candidates(sar.search_orders(marked, [(1, 1, 0, 0, 0, 0)], shape))
+    assert np.isclose(sar.refit(marked, best, shape).first().estimates[0], phi)
+    counts = sar.success_counts(sar.search_orders(marked, [(1, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0)], shape))
+    assert counts.first().candidates == 2

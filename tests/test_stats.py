@@ -27,8 +27,7 @@ def test_exact_percentiles_small(weekly_frame, n):
     assert np.allclose([row.p25, row.p50, row.p75], np.percentile(values, [25, 50, 75]))
 
 
-def test_exact_percentiles_with_brackets(weekly_frame, monkeypatch):
-    monkeypatch.setattr(stats, "SMALL", 1000)
+def test_exact_percentiles_with_brackets(weekly_frame):
     rng = np.random.default_rng(7)
     skewed = np.r_[np.full(1500, 2.0), rng.lognormal(size=3000)]
     table = {"a": skewed, "b": rng.normal(size=2501), "c": rng.normal(size=900)}

@@ -209,3 +209,32 @@ def test_step_alignment(spark, weekly_frame):
     steps = spark.createDataFrame([("s", 1, 7.0), ("s", 2, 8.0)], "series_id string, step long, f double")
     got = baselines.align_steps(marked, steps).orderBy("ts").collect()
     assert [(r.actual, r.f) for r in got] == [(4.0, 7.0), (5.0, 8.0)]
+
+
+def test_one_long_series_is_dealt_to_many_tasks(spark, tmp_path):
+    """After a join by series, the chunks of one stored series do not meet in one task."""
+    hours = spark.range(60_000).selectExpr(
+        "'s' AS series_id",
+        "timestampadd(HOUR, id, TIMESTAMP_NTZ '2000-01-01 00:00:00') AS ts",
+        "CAST(id % 24 AS DOUBLE) AS y",
+        "id + 1 AS pos",
+        "60000L AS n",
+        "59000L AS n_train",
+        "IF(id < 59000, 'train', 'test') AS role",
+    )
+    hours.write.parquet(f"{tmp_path}/hours")
+    stored = spark.read.parquet(f"{tmp_path}/hours")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in keys} | {
+        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")
+    }
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        cut = layout.blocks(split.scale_range(stored), 24, ["scaled"], [], 256)
+        held = cut.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+        assert held.sum() == 235 and len(held) == 8 and held.max() < 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

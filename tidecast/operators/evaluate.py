@@ -37,25 +37,36 @@ def model_columns(forecasts: DataFrame, keys: Sequence[str] = KEYS) -> list[str]
 
 
 def error_metrics(
-    forecasts: DataFrame, models: Sequence[str] | None = None, by: Sequence[str] = (SERIES,)
+    forecasts: DataFrame,
+    models: Sequence[str] | None = None,
+    by: Sequence[str] = (SERIES,),
+    strict: bool = False,
+    counts: bool = False,
 ) -> DataFrame:
     """MAE, RMSE and Bias of every model column.
 
-    The wide table is aggregated as it is; only the few result cells are turned into rows.
+    A model is scored on all rows with an actual value or not at all: one missing forecast makes
+    its metrics NULL (strict: an error). ``counts`` adds the ``expected`` and ``scored`` rows. The
+    wide table is aggregated as it is; only the few result cells are turned into rows.
     """
     require_columns(forecasts, ["actual"])
     names = list(models or model_columns(forecasts))
     actual = F.col("actual")
-    cells = [
-        F.struct(
-            F.lit(m).alias("model"),
-            mae(actual, F.col(f"`{m}`")).alias("MAE"),
-            rmse(actual, F.col(f"`{m}`")).alias("RMSE"),
-            bias(actual, F.col(f"`{m}`")).alias("Bias"),
-        )
-        for m in names
-    ]
-    return forecasts.groupBy(*by).agg(F.array(*cells).alias("_cells")).select(*by, F.inline("_cells"))
+
+    def cell(m: str) -> Column:
+        forecast = F.col(f"`{m}`")
+        expected, scored = F.count(actual), F.count(actual + forecast)
+        metrics = {"MAE": mae, "RMSE": rmse, "Bias": bias}
+        message = f"Model {m} lacks forecasts for some of the evaluated rows."
+        whole = [
+            checked(scored == expected, metric(actual, forecast), message, strict).alias(name)
+            for name, metric in metrics.items()
+        ]
+        sizes = [expected.alias("expected"), scored.alias("scored")] if counts else []
+        return F.struct(F.lit(m).alias("model"), *whole, *sizes)
+
+    cells = F.array(*[cell(m) for m in names])
+    return forecasts.groupBy(*by).agg(cells.alias("_cells")).select(*by, F.inline("_cells"))
 
 
 def mase_scale(
@@ -95,7 +106,7 @@ def evaluate(
     strict: bool = False,
 ) -> DataFrame:
     """``series_id, model, MAE, RMSE, MASE, Bias`` for every model column."""
-    errors = error_metrics(forecasts, models)
+    errors = error_metrics(forecasts, models, strict=strict)
     scales = mase_scale(split, season, grain=grain, strict=strict)
     return errors.join(scales, SERIES, "left").select(
         SERIES,

@@ -23,6 +23,9 @@ from tidecast.schema import SERIES, TS, Y
 
 CHUNK = 4096
 
+# Parts that the rows of one series are dealt into for a join with one row per series.
+SPREAD = 64
+
 # Days per time bucket; None means one window per series.
 BUCKET_DAYS = {"week": None, "day": None, "hour": 28, "minute": 1}
 
@@ -119,6 +122,21 @@ def blocks(
     )
 
 
+def join_series(
+    rows: DataFrame, per_series: DataFrame, spread: Column | None = None, how: str = "inner"
+) -> DataFrame:
+    """Join a table with one row per series onto the rows of many.
+
+    Both sides carry a salt, on the small one repeated, so a series that holds most rows is dealt
+    to many tasks, and what follows cannot take the join's partitioning for one by series alone.
+    ``spread`` is what the salt is made of, the time if not given.
+    """
+    salt = F.pmod(F.xxhash64(F.col(TS) if spread is None else spread), F.lit(SPREAD))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>"))
+    salted = per_series.withColumn("_salt", parts)
+    return rows.withColumn("_salt", salt).join(salted, [SERIES, "_salt"], how).drop("_salt")
+
+
 def sum_arrays(
     df: DataFrame,
     keys: Sequence[str],

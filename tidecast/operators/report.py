@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from tidecast.functions.numeric import NORMAL
 from tidecast.functions.scalar import pretty_name
 from tidecast.operators.evaluate import model_columns
+from tidecast.operators.layout import join_series
 from tidecast.operators.split import train_rows
 from tidecast.operators.stats import acf_table
 from tidecast.schema import SERIES, TS, Y
@@ -107,8 +108,7 @@ def histogram(df: DataFrame, column: str = Y, bins: int = 25) -> DataFrame:
         F.lit(bins - 1),
     )
     counted = (
-        known.select(SERIES, column)
-        .join(spans, SERIES)
+        join_series(known.select(SERIES, column), spans, value)
         .withColumn("_bin", slot)
         .groupBy(SERIES, "_lo", "_hi", "mean")
         .agg(F.array(*[F.count_if(F.col("_bin") == b) for b in range(bins)]).alias("_counts"))

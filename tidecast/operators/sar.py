@@ -5,7 +5,8 @@ by two regressions: a long autoregression gives residuals, then the differenced
 regressed on its own lags, lagged residuals and differenced covariates. All candidates of a
 series share one cross-product matrix per (d, D), summed by Spark over blocks of the series; a
 candidate only reads the part it needs. So the data is read twice however large the grid is. All
-candidates are scored on the same rows, which makes AIC comparable across differencing orders.
+candidates are scored on the same rows, which makes AIC comparable across differencing orders; the
+chosen order is then fitted again on every row that order itself can use (``refit``).
 
 Column names are ``p, d, q, sp, sd, sq, season`` because Spark does not tell ``p`` from ``P``.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import numeric
 from tidecast.operators.features import best_row
-from tidecast.operators.layout import CHUNK, blocks, sum_arrays
+from tidecast.operators.layout import CHUNK, blocks, join_series, sum_arrays
 from tidecast.operators.split import test_rows, train_rows
 from tidecast.schema import SERIES, TS, Y
 
@@ -138,6 +139,21 @@ def _model_rows(y, x, d, sd, shape: Shape, beta) -> np.ndarray:
     return np.column_stack([w, xw, numeric.lagged(w, shape.ar_lags), residual_lags])
 
 
+def _used(order: Sequence[int], shape: Shape) -> np.ndarray:
+    """Matrix columns an order reads. Residual lags are always defined, so they all count."""
+    p, _, _, sp, _, _ = order
+    short = [i < p for i in range(shape.max_p)]
+    lags = [*short, bool(sp), *[bool(sp) and on for on in short]]
+    return np.array([True] * (1 + len(shape.covariates)) + lags + [True] * len(shape.ma_lags))
+
+
+def _order_rows(y, x, order: Sequence[int], shape: Shape, beta) -> np.ndarray:
+    """The matrix of one order: columns it does not read are zero, so they exclude no early row."""
+    matrix = _model_rows(y, x, order[1], order[4], shape, beta)
+    matrix[:, ~_used(order, shape)] = 0.0
+    return matrix
+
+
 def _expand(theta: np.ndarray, order: Sequence[int], shape: Shape):
     """Coefficients of all matrix columns, and their Jacobian, from a candidate's parameters.
 
@@ -352,7 +368,9 @@ def model_grams(
     ``series_id, d, sd, rows, gram, long_beta``.
     """
     betas = long_regression(split, shape, variants, chunk)
-    cut = _train_blocks(split, shape, chunk).join(_betas_by_series(betas), SERIES)
+    cut = join_series(
+        _train_blocks(split, shape, chunk), _betas_by_series(betas), F.col("start")
+    )
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [SERIES, "d", "sd", "rows", "gram", "long_beta"]
@@ -500,6 +518,49 @@ def two_stage_search(
     )
 
 
+def refit(split: DataFrame, best: DataFrame, shape: Shape, chunk: int = CHUNK) -> DataFrame:
+    """The chosen order of every series, fitted on all training rows that the order can use.
+
+    Same columns as a search; ``observations`` counts the rows. The common rows of a search start
+    where its largest order does, which is right for comparing candidates and wasteful for one.
+    """
+    models = best.select(SERIES, F.struct(*ORDER, "long_beta").alias("_model"))
+    cut = join_series(_train_blocks(split, shape, chunk), models, F.col("start"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [SERIES, "d", "sd", "rows", "gram", "long_beta"]
+        sums = numeric.Partials()
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                model = row["_model"]
+                order = tuple(int(model[c]) for c in ORDER)
+                beta = np.asarray(model["long_beta"])
+                y, x = np.asarray(row[Y], dtype=float), _stack(row, shape)
+                matrix = _order_rows(y, x, order, shape, beta)
+                keep = (np.asarray(row["pos"]) > row["start"]) & np.isfinite(matrix).all(axis=1)
+                key = (row[SERIES], order[1], order[4])
+                sums.add(key, (int(keep.sum()),), numeric.gram(matrix[keep]), (beta,))
+                if sums.full():
+                    yield pd.DataFrame(sums.drain(), columns=names)
+        yield pd.DataFrame(sums.drain(), columns=names)
+
+    parts = cut.mapInPandas(
+        partial,
+        f"{SERIES} string, d int, sd int, rows long, gram array<double>, long_beta array<double>",
+    )
+    grams = sum_arrays(parts, [SERIES, "d", "sd"], "gram", ["rows"], ["long_beta"])
+    return fit_candidates(grams, best.select(SERIES, *ORDER), shape)
+
+
+def success_counts(search: DataFrame) -> DataFrame:
+    """``series_id, candidates, fitted, converged``: how many candidates of a search succeeded."""
+    return search.groupBy(SERIES).agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.count("aic").alias("fitted"),
+        F.count_if("converged").alias("converged"),
+    )
+
+
 def search_display(search: DataFrame) -> DataFrame:
     """Published columns of a search, with the orders also as text."""
     order = F.format_string("(%d, %d, %d)", "p", "d", "q")
@@ -577,12 +638,12 @@ def forecast(
 
 
 def residuals(split: DataFrame, best: DataFrame, shape: Shape, chunk: int = CHUNK) -> DataFrame:
-    """One-step residuals on the fitted rows: ``series_id, ts, pos, y`` (y is the residual)."""
+    """One-step residuals on all rows the order can use: ``series_id, ts, pos, y`` (the residual)."""
     models = best.select(
         SERIES,
         F.struct(*ORDER, "estimates", "long_beta").alias("_model"),
     )
-    cut = _train_blocks(split, shape, chunk).join(models, SERIES)
+    cut = join_series(_train_blocks(split, shape, chunk), models, F.col("start"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -591,17 +652,15 @@ def residuals(split: DataFrame, best: DataFrame, shape: Shape, chunk: int = CHUN
                 model = row["_model"]
                 order = tuple(int(model[c]) for c in ORDER)
                 beta, _ = _expand(np.asarray(model["estimates"], dtype=float), order, shape)
-                matrix = _model_rows(
+                matrix = _order_rows(
                     np.asarray(row[Y], dtype=float),
                     _stack(row, shape),
-                    order[1],
-                    order[4],
+                    order,
                     shape,
                     np.asarray(model["long_beta"]),
                 )
                 pos = np.asarray(row["pos"])
-                keep = (pos > row["start"]) & (pos >= shape.first_row)
-                keep &= np.isfinite(matrix).all(axis=1)
+                keep = (pos > row["start"]) & np.isfinite(matrix).all(axis=1)
                 if not keep.any():
                     continue
                 frames.append(

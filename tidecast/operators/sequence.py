@@ -20,8 +20,8 @@ from tidecast.functions import numeric
 from tidecast.functions.scalar import checked
 from tidecast.operators.evaluate import error_metrics
 from tidecast.operators.features import best_row, sequences
-from tidecast.operators.layout import CHUNK, blocks, sum_arrays
-from tidecast.operators.split import scale_range, train_rows, validation_tail
+from tidecast.operators.layout import CHUNK, blocks, join_series, sum_arrays
+from tidecast.operators.split import range_scales, scale_range, train_rows, validation_tail
 from tidecast.schema import SEQUENCE_LENGTH, SERIES, TS, Y
 
 # Training limits.
@@ -52,7 +52,8 @@ def rolling_sequences(
 
     Strict: a test row with fewer values before it is an error.
     """
-    rows = scale_range(split)
+    near = split.where(F.col("pos") > F.col("n_train") - length)
+    rows = near_scaled(near, split)
     if strict:
         known = (F.col("role") != "test") | (F.col("pos") > length)
         message = "Insufficient history for the requested sequence."
@@ -63,6 +64,11 @@ def rolling_sequences(
     )
 
 
+def near_scaled(near: DataFrame, split: DataFrame) -> DataFrame:
+    """Some rows of ``split``, scaled by the training range of all."""
+    return scale_range(near, scales=range_scales(split))
+
+
 def _windows(values: np.ndarray, length: int) -> np.ndarray:
     """Columns: target, constant, the ``length`` values before it (oldest first)."""
     if len(values) <= length:
@@ -209,8 +215,9 @@ def rolling_forecast(
     or a series without a model, has no forecast.
     """
     carry = ["n_train", "scale_min", "scale_range"]
-    cut = blocks(scale_range(split), length, ["scaled"], carry, chunk)
-    work = cut.join(best.select(SERIES, "weights"), SERIES, "left")
+    near = split.where(F.col("pos") > F.col("n_train") - length)
+    cut = blocks(near_scaled(near, split), length, ["scaled"], carry, chunk)
+    work = join_series(cut, best.select(SERIES, "weights"), F.col("start"), "left")
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

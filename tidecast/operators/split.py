@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalar import checked
-from tidecast.operators.layout import positions
+from tidecast.operators.layout import join_series, positions
 from tidecast.schema import SERIES, Y
 
 
@@ -96,7 +96,7 @@ def standardise(
     split: DataFrame, columns: Sequence[str], strict: bool = False, suffix: str = "_scaled"
 ) -> DataFrame:
     """(x - mean) / std with training statistics; a constant column gives NULL or an error."""
-    joined = split.join(column_scales(split, columns), SERIES, "left")
+    joined = join_series(split, column_scales(split, columns), how="left")
     scaled = {
         f"{c}{suffix}": (F.col(c) - F.col(f"{c}_mean")) / _nonzero(F.col(f"{c}_std"), c, strict)
         for c in columns
@@ -133,9 +133,12 @@ def range_scales(split: DataFrame, target: str = Y) -> DataFrame:
     )
 
 
-def scale_range(split: DataFrame, target: str = Y, output: str = "scaled") -> DataFrame:
+def scale_range(
+    split: DataFrame, target: str = Y, output: str = "scaled", scales: DataFrame | None = None
+) -> DataFrame:
     """Map the training range to 0..1; later values may lie outside."""
-    joined = split.join(range_scales(split, target), SERIES, "left")
+    scales = range_scales(split, target) if scales is None else scales
+    joined = join_series(split, scales, how="left")
     return joined.withColumn(output, (F.col(target) - F.col("scale_min")) / F.col("scale_range"))
 
 

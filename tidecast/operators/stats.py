@@ -15,6 +15,7 @@ from tidecast.operators.clean import finite_only
 from tidecast.operators.layout import (
     CHUNK,
     blocks,
+    join_series,
     over_series,
     positions,
     series_window,
@@ -23,7 +24,6 @@ from tidecast.operators.layout import (
 from tidecast.schema import SERIES, TS, Y, require_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
-SMALL = 100_000
 
 
 def _ranked_cells(df: DataFrame, target: str, probabilities: Sequence[float], accuracy: int):
@@ -32,8 +32,10 @@ def _ranked_cells(df: DataFrame, target: str, probabilities: Sequence[float], ac
     A mergeable sketch brackets each wanted rank; values below the bracket are only counted, and
     just the distinct values inside it are put in order.
     """
-    # Two ranks of slack cover interpolation; series below SMALL rows need no bracket at all.
-    margin = 2.0 / accuracy + 2.0 / SMALL
+    # The sketch errs by up to 1 / accuracy of the rows. Interpolation needs two ranks of slack:
+    # where the margin is narrower than that, the bracket reaches out to the extremes.
+    margin = 2.0 / accuracy
+    wide = F.col("_n") * margin >= 2.0
     wanted = [
         b for p in probabilities for b in (max(p - margin, 0.0), min(p + margin, 1.0))
     ]
@@ -49,12 +51,8 @@ def _ranked_cells(df: DataFrame, target: str, probabilities: Sequence[float], ac
             F.struct(
                 F.lit(p).alias("p"),
                 (F.lit(p) * (F.col("_n") - 1)).alias("h"),
-                F.when(F.col("_n") < SMALL, F.col("_min"))
-                .otherwise(F.col("_marks")[2 * i])
-                .alias("low"),
-                F.when(F.col("_n") < SMALL, F.col("_max"))
-                .otherwise(F.col("_marks")[2 * i + 1])
-                .alias("high"),
+                F.when(wide, F.col("_marks")[2 * i]).otherwise(F.col("_min")).alias("low"),
+                F.when(wide, F.col("_marks")[2 * i + 1]).otherwise(F.col("_max")).alias("high"),
             )
             for i, p in enumerate(probabilities)
         ]
@@ -70,9 +68,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Percentiles with linear interpolation: ``series_id`` and one column ``p<percent>`` each."""
     bounds = _ranked_cells(df, target, probabilities, accuracy)
-    joined = df.select(SERIES, F.col(target).alias("_v")).where("_v IS NOT NULL").join(
-        bounds, SERIES
-    )
+    known = df.select(SERIES, F.col(target).alias("_v")).where("_v IS NOT NULL")
+    joined = join_series(known, bounds, F.col("_v"))
     # Below the bracket: one counter row. Inside it: one row per distinct value.
     inside = (F.col("_v") >= F.col("low")) & (F.col("_v") <= F.col("high"))
     counted = (
@@ -94,7 +91,11 @@ def exact_percentiles(
         F.max(F.when(holds(upper), F.col("_slot"))).alias("_hi"),
         F.max(F.col("h") - lower).alias("_f"),
     )
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
+    missed = F.raise_error("a percentile lies outside the bracket of its sketch").cast("double")
+    found = F.col("_lo").isNotNull() & F.col("_hi").isNotNull()
+    value = F.when(
+        found, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
+    ).otherwise(missed)
     return picked.groupBy(SERIES).agg(
         *[
             F.max(F.when(F.col("p") == p, value)).alias(f"p{round(p * 100)}")
@@ -142,7 +143,8 @@ def centred(df: DataFrame, target: str = Y, grain: str = "week") -> DataFrame:
             }
         )
     means = kept.groupBy(SERIES).agg(F.avg("_y").alias("_m"), F.count("_y").alias("_n"))
-    return kept.join(means, SERIES).withColumn("_c", F.col("_y") - F.col("_m")).drop("_m")
+    joined = join_series(kept, means)
+    return joined.withColumn("_c", F.col("_y") - F.col("_m")).drop("_m")
 
 
 def autocorrelation_wide(

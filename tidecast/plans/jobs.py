@@ -176,13 +176,14 @@ def run_sar(
     )
     sar.require_success(search)
     best = study.keep("sar_best", lambda: sar.best_candidates(search))
+    chosen = study.keep("sar_fit", lambda: sar.refit(marked, best, shape)).where("aic IS NOT NULL")
     forecast = study.keep(
-        "sarima_forecast", lambda: sar.forecast(marked, best, shape, study.horizon)
+        "sarima_forecast", lambda: sar.forecast(marked, chosen, shape, study.horizon)
     )
     metrics = study.keep(
         "sarima_metrics", lambda: evaluate.evaluate(_limits(forecast), marked, study.season)
     )
-    left = study.keep("sarima_residuals", lambda: sar.residuals(marked, best, shape))
+    left = study.keep("sarima_residuals", lambda: sar.residuals(marked, chosen, shape))
     return {
         "search": search,
         "summary": study.keep("sar_best_summary", lambda: sar.best_summary(best)),
@@ -202,8 +203,11 @@ def run_sarx(study: Study, columns: Sequence[str] = WEATHER_COLUMNS) -> dict[str
     marked = split.split_last(study.read("weekly_model"), study.horizon)
     scaled = split.standardise(marked, columns)
     orders = study.read("sar_best").select(SERIES, *sar.ORDER)
+    searched = study.keep(
+        "sarx_search", lambda: sar.fit_candidates(sar.model_grams(scaled, shape), orders, shape)
+    )
     best = study.keep(
-        "sarx_fit", lambda: sar.fit_candidates(sar.model_grams(scaled, shape), orders, shape)
+        "sarx_fit", lambda: sar.refit(scaled, searched.where("aic IS NOT NULL"), shape)
     )
     forecast = study.keep(
         "sarimax_forecast",
