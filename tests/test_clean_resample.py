@@ -175,3 +175,20 @@ def test_drop_missing_and_finite(spark):
     )
     assert clean.drop_missing(df).count() == 3
     assert [r.y for r in clean.finite_only(df).collect()] == [1.0]
+
+
+def test_payload_files_keep_their_order(spark, tmp_path):
+    """The same hour in two files: the first file's reading stays."""
+    for name, value in (("a.json", 1.0), ("b.json", 2.0)):
+        body = {"hourly": {"time": ["2020-01-01T00:00", "2020-01-01T01:00"], "temperature_2m": [value, value]}}
+        (tmp_path / name).write_text(json.dumps(body))
+    rows = readers.read_temperature(readers.read_columnar_json(spark, str(tmp_path)))
+    assert [r.temperature_2m for r in rows.collect()] == [1.0, 1.0]
+
+
+def test_weather_must_not_multiply_the_load(spark):
+    load = spark.sql("SELECT 's' AS series_id, TIMESTAMP_NTZ '2020-01-05' AS ts, 1.0D AS y")
+    warm = spark.sql("SELECT TIMESTAMP_NTZ '2020-01-05' AS ts, explode(array(1.0D, 2.0D)) AS t")
+    assert resample.model_table(load, warm.limit(1)).count() == 1
+    with pytest.raises(Exception, match="several rows"):
+        resample.model_table(load, warm).collect()

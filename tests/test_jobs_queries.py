@@ -59,7 +59,7 @@ def test_study(spark, tmp_path):
         boost_grid=dict(n_estimators=[3], learning_rate=[0.1], max_depth=[2], min_samples_leaf=[2]),
         splits=2,
     )
-    ran = jobs.run_study(study, raw, warm, jobs.Options(sequence=True), **tuning)
+    ran = jobs.run_study(study, raw, warm, jobs.STAGES, **tuning)
     assert ran[0] == "preprocess" and ran[-1] == "sequence"
     out = jobs.build_comparison(study)
     models = {r.model for r in out["comparison"].select("model").distinct().collect()}
@@ -71,18 +71,26 @@ def test_study(spark, tmp_path):
     assert {"sarimax", "lstm_weekly"} <= set(out["forecasts"].columns)
     assert study.read("sar_search").groupBy("series_id").count().where("count <> 16").count() == 0
     assert study.read("adf").groupBy("series_id").count().where("count <> 4").count() == 0
-    again = jobs.run_study(study, options=jobs.Options(preprocess=False, analysis=False), **tuning)
-    assert again == ["benchmarks", "sarima", "sarimax", "feature_models"]
+    modelled = ["benchmarks", "sarima", "sarimax", "feature_models"]
+    assert jobs.run_study(study, stages=modelled, **tuning) == modelled
+    with pytest.raises(ValueError, match="unknown stages"):
+        jobs.run_study(study, stages=["weather"])
     assert os.path.exists(study.export_csv("model_comparison"))
     summary = sar.best_summary(study.read("sar_best")).columns
     assert summary[:3] == ["series_id", "order", "seasonal_order"]
 
 
-def test_default_folder(spark):
-    study = jobs.Study(spark)
-    assert study.folder.endswith("/study") and not study.has("weekly")
+def test_default_folder_is_the_shared_one(spark, tmp_path):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        jobs.Study(spark)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        study = jobs.Study(spark)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert study.folder == f"{tmp_path}/study" and not study.has("weekly")
 
 
 def test_missing_stage(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        jobs.run_study(jobs.Study(spark, str(tmp_path)), options=jobs.Options(preprocess=False))
+        jobs.run_study(jobs.Study(spark, str(tmp_path)))

@@ -108,7 +108,7 @@ def test_split(weekly_frame):
     assert ys(split.test_rows(marked), "step")[:2] == [1, 2]
     short = split.split_last(weekly_frame(range(104)), 104)
     assert short.where("role IS NULL").count() == 104
-    with pytest.raises(Exception, match="more observations"):
+    with pytest.raises(Exception, match="every row would be a test row"):
         split.split_last(weekly_frame(range(104)), 104, strict=True).collect()
 
 
@@ -132,7 +132,7 @@ def test_folds(weekly_frame):
 def test_validation_tail(weekly_frame):
     rows = layout.positions(weekly_frame(range(20)))
     assert split.validation_tail(rows).where("part = 'validation'").count() == 3
-    with pytest.raises(Exception, match="no observations"):
+    with pytest.raises(Exception, match="validation part is empty"):
         split.validation_tail(layout.positions(weekly_frame(range(3))), strict=True).collect()
 
 
@@ -152,7 +152,7 @@ def test_standardise(weekly_frame):
     assert (table.training_mean, table.training_standard_deviation) == (20.0, 10.0)
     flat = marked.withColumn("temperature", F.lit(1.0))
     assert split.standardise(flat, ["temperature"]).collect()[0].temperature_scaled is None
-    with pytest.raises(Exception, match="Constant exogenous"):
+    with pytest.raises(Exception, match="is constant"):
         split.standardise(flat, ["temperature"], strict=True).collect()
 
 
@@ -161,7 +161,7 @@ def test_sequences(hourly_frame):
     assert len(got) == 7
     assert got[0].sequence == [0, 1, 2] and got[0].y == 3
     assert features.sequences(hourly_frame(range(3)), 3).count() == 0
-    with pytest.raises(Exception, match="sequence length"):
+    with pytest.raises(Exception, match="too short for a single sequence"):
         features.sequences(hourly_frame(range(3)), 3, strict=True).collect()
 
 
@@ -171,7 +171,7 @@ def test_rolling_sequences(hourly_frame):
     assert len(got) == 5
     assert np.allclose(np.array(got[0].sequence) * 14, [10, 11, 12, 13, 14])
     assert sequence.rolling_sequences(marked, 15, strict=True).count() == 5
-    with pytest.raises(Exception, match="Insufficient history"):
+    with pytest.raises(Exception, match="fewer values before it"):
         sequence.rolling_sequences(marked, 16, strict=True).collect()
 
 
@@ -189,7 +189,7 @@ def test_baselines_of_short_series(weekly_frame):
     fc = {r.series_id: r for r in baselines.baseline_forecasts(marked, 52).where("step = 1").collect()}
     assert fc["a"].seasonal_naive is None and fc["a"].drift is None and fc["a"].naive == 0
     assert fc["b"].seasonal_naive is None and fc["b"].drift == 50
-    with pytest.raises(Exception, match="seasonal period"):
+    with pytest.raises(Exception, match="one season"):
         baselines.baseline_forecasts(marked, 52, strict=True).collect()
 
 

@@ -86,10 +86,6 @@ def gaussian_scores(ssr: float, rows: int, parameters: int) -> tuple[float, floa
     return loglik, 2.0 * parameters - 2.0 * loglik, parameters * math.log(rows) - 2.0 * loglik
 
 
-def unit_root_max_lag(n: int) -> int:
-    return max(0, min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2))
-
-
 def partial_autocorrelations(acf: np.ndarray) -> np.ndarray:
     """Durbin-Levinson over autocorrelations at lags 0, 1, ...; one result per lag."""
     order = len(acf) - 1

@@ -44,10 +44,6 @@ def coerce_timestamp(value: Column) -> Column:
     return F.when(text.rlike(ZONE_SUFFIX), instant).otherwise(text.try_cast("timestamp_ntz"))
 
 
-def null_nan(value: Column) -> Column:
-    return F.nullif(value, F.lit(float("nan")))
-
-
 def is_finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
@@ -82,7 +78,7 @@ def guarded_scale(scale: Column, strict: bool = False) -> Column:
     ok = F.abs(scale) > F.lit(1e-8)
     if strict:
         return F.when(ok, scale).otherwise(
-            F.raise_error(F.lit("Cannot scale errors: the scaling error is zero.")).cast("double")
+            F.raise_error(F.lit("the error to scale by is zero")).cast("double")
         )
     return F.when(ok, scale)
 

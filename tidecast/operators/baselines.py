@@ -40,7 +40,7 @@ def baseline_forecasts(
     seasonal = checked(
         F.col("train_length") >= season,
         F.try_element_at("last_season", slot),
-        "Training series is shorter than the seasonal period.",
+        "the training rows do not fill one season",
         strict,
     )
     slope = (F.col("train_last") - F.col("train_first")) / F.nullif(
@@ -49,7 +49,7 @@ def baseline_forecasts(
     drift = checked(
         F.col("train_length") >= 2,
         F.col("train_last") + slope * step,
-        "Drift forecast requires at least two observations.",
+        "a drift needs two training rows",
         strict,
     )
     return joined.select(

@@ -91,7 +91,7 @@ def mase_scale(
     long_enough = checked(
         F.col("_rows") > season,
         F.col("_scale"),
-        "Training series must contain more observations than the seasonal period.",
+        "the training rows do not reach past one season",
         strict,
     )
     return scales.select(SERIES, guarded_scale(long_enough, strict).alias("mase_scale"))

@@ -127,7 +127,7 @@ def sequences(
     """
     if strict:
         placed = df if {"pos", "n"} <= set(df.columns) else positions(df, grain)
-        message = "Series must contain more values than the sequence length."
+        message = "the series is too short for a single sequence"
         df = placed.withColumn(target, checked(F.col("n") > length, F.col(target), message, True))
 
     def columns(w: WindowSpec) -> dict[str, Column]:

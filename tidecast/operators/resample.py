@@ -106,6 +106,15 @@ def join_weather(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def model_table(load: DataFrame, weather: DataFrame) -> DataFrame:
-    """Load and weather of the weeks present in both. Weather without series serves every series."""
+    """Load and weather of the weeks present in both. Weather without series serves every series.
+
+    Two weather rows for one key are an error at run time: they would multiply the load.
+    """
     keys = [SERIES, TS] if SERIES in weather.columns else [TS]
-    return load.join(weather, keys, "inner").na.drop("any")
+    message = "the weather table holds several rows for one series and time"
+    values = [
+        F.when(F.count(F.lit(1)) == 1, F.first(c)).otherwise(F.raise_error(F.lit(message))).alias(c)
+        for c in weather.columns
+        if c not in keys
+    ]
+    return load.join(weather.groupBy(*keys).agg(*values), keys, "inner").na.drop("any")

@@ -56,7 +56,7 @@ def rolling_sequences(
     rows = near_scaled(near, split)
     if strict:
         known = (F.col("role") != "test") | (F.col("pos") > length)
-        message = "Insufficient history for the requested sequence."
+        message = "a test row has fewer values before it than a sequence holds"
         rows = rows.withColumn("scaled", checked(known, F.col("scaled"), message, True))
     cut = sequences(rows, length, "scaled", grain)
     return cut.where(F.col("role") == "test").select(
@@ -171,7 +171,7 @@ def search(
                 for i, penalty in enumerate(penalties):
                     head = (sid, i + 1, length, penalty)
                     if rows < 1 or held < 1:
-                        text = "Validation set would contain no observations."
+                        text = "the validation part is empty"
                         out.append((*head, None, None, text, None, None))
                         continue
                     weights, history, loss = _train(

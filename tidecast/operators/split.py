@@ -33,7 +33,7 @@ def split_last(
             "role": checked(
                 train_rows > 0,
                 role,
-                "The series must contain more observations than the requested test size.",
+                "every row would be a test row: the series is not longer than the horizon",
                 strict,
             ),
             "step": F.when(F.col("pos") > train_rows, F.col("pos") - train_rows),
@@ -76,7 +76,7 @@ def validation_tail(
     part = F.when(F.col("pos") > F.col("n") - size, "validation").otherwise("train")
     return df.withColumn(
         "part",
-        checked(size >= 1, part, "Validation set would contain no observations.", strict),
+        checked(size >= 1, part, "the validation part is empty", strict),
     )
 
 
@@ -89,7 +89,7 @@ def column_scales(split: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _nonzero(std: Column, name: str, strict: bool) -> Column:
-    return checked(std != 0, std, f"Constant exogenous columns: ['{name}']", strict)
+    return checked(std != 0, std, f"column {name} is constant over the training rows", strict)
 
 
 def standardise(

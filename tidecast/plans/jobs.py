@@ -6,7 +6,7 @@ also what keeps plans short and lets a lost executor recompute one stage only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +47,7 @@ from tidecast.sources.sinks import profile, stored, table_exists, write_table
 class Study:
     """Where the tables are and how the study is set up.
 
-    Without a folder the tables go below the shared folder of the cluster.
+    Without a folder the tables go below the shared folder that the cluster names.
     """
 
     spark: SparkSession
@@ -104,9 +104,15 @@ def build_weather(study: Study, raw_temperature: DataFrame) -> DataFrame:
     return study.keep("weekly_weather", lambda: resample.weekly_weather(hourly))
 
 
-def build_model_table(study: Study, shared_weather: bool = True) -> DataFrame:
-    """Weekly load with the weather of its week; ``shared_weather`` joins on time only."""
+def build_model_table(study: Study, shared_weather: bool | None = None) -> DataFrame:
+    """Weekly load with the weather of its week.
+
+    ``shared_weather`` joins on time only; by default that happens where the weather table holds a
+    single series.
+    """
     weather = study.read("weekly_weather")
+    if shared_weather is None:
+        shared_weather = weather.select(SERIES).distinct().limit(2).count() < 2
     weather = weather.drop(SERIES) if shared_weather else weather
     table = study.keep(
         "weekly_model", lambda: resample.model_table(study.read("weekly"), weather)
@@ -329,65 +335,56 @@ def build_comparison(study: Study, name: str = "lstm") -> dict[str, DataFrame]:
     }
 
 
-@dataclass
-class Options:
-    """Which stages run. The sequence stage is off unless asked for."""
+# Every stage: the tables it reads, whether a plain run includes it, and what it does.
+STAGES: dict[str, tuple[tuple[str, ...], bool, Callable[[Study, dict], object]]] = {
+    "analysis": (("hourly", "daily", "weekly"), True, lambda study, _: explore(study)),
+    "benchmarks": (("weekly",), True, lambda study, _: run_benchmarks(study)),
+    "sarima": (("weekly",), True, lambda study, tuning: run_sar(study, tuning.get("stage_one"))),
+    "sarimax": (("weekly_model", "sar_best"), True, lambda study, _: run_sarx(study)),
+    "feature_models": (
+        ("weekly_features",),
+        True,
+        lambda study, tuning: run_trees(
+            study, tuning.get("forest_grid"), tuning.get("boost_grid"), tuning.get("splits", 4)
+        ),
+    ),
+    "sequence": (("hourly",), False, lambda study, _: run_sequence(study)),
+}
 
-    preprocess: bool = True
-    analysis: bool = True
-    benchmarks: bool = True
-    sarima: bool = True
-    sarimax: bool = True
-    feature_models: bool = True
-    sequence: bool = False
-    force_models: bool = False
+
+def prepare(study: Study, raw: DataFrame, raw_temperature: DataFrame) -> None:
+    """The tables that all stages read, from raw load and temperature."""
+    build_series(study, raw)
+    build_weather(study, raw_temperature)
+    build_model_table(study)
+    build_feature_table(study)
 
 
 def run_study(
     study: Study,
     raw: DataFrame | None = None,
     raw_temperature: DataFrame | None = None,
-    options: Options | None = None,
+    stages: Collection[str] | None = None,
     **tuning,
 ) -> list[str]:
-    """Run the chosen stages in order; returns the names of the stages that ran.
+    """Run the named stages, or all that are on by default, in table order; returns their names.
 
-    ``tuning`` may hold ``stage_one``, ``forest_grid``, ``boost_grid`` and ``splits``. The final
-    comparison is a separate call, ``build_comparison``.
+    Raw tables, where given, are prepared first. ``tuning`` may hold ``stage_one``,
+    ``forest_grid``, ``boost_grid`` and ``splits``. ``build_comparison`` is a call of its own.
     """
-    chosen = options or Options()
+    unknown = set(stages or ()) - set(STAGES)
+    if unknown:
+        raise ValueError(f"unknown stages: {sorted(unknown)}")
+    if (raw is None) != (raw_temperature is None):
+        raise ValueError("load and temperature are prepared together")
     ran = []
-    if chosen.preprocess:
-        if raw is None or raw_temperature is None:
-            raise ValueError("Preprocessing needs the raw load and temperature tables")
-        build_series(study, raw)
-        build_weather(study, raw_temperature)
-        build_model_table(study)
-        build_feature_table(study)
+    if raw is not None:
+        prepare(study, raw, raw_temperature)
         ran.append("preprocess")
-    study.read("weekly")
-    if chosen.analysis:
-        explore(study)
-        ran.append("analysis")
-    study.force = study.force or chosen.force_models
-    stages = (
-        ("benchmarks", chosen.benchmarks, lambda: run_benchmarks(study)),
-        ("sarima", chosen.sarima, lambda: run_sar(study, tuning.get("stage_one"))),
-        ("sarimax", chosen.sarimax, lambda: run_sarx(study)),
-        (
-            "feature_models",
-            chosen.feature_models,
-            lambda: run_trees(
-                study,
-                tuning.get("forest_grid"),
-                tuning.get("boost_grid"),
-                tuning.get("splits", 4),
-            ),
-        ),
-        ("sequence", chosen.sequence, lambda: run_sequence(study)),
-    )
-    for name, wanted, run in stages:
-        if wanted:
-            run()
+    for name, (needs, default, run) in STAGES.items():
+        if name in stages if stages is not None else default:
+            for table in needs:
+                study.read(table)
+            run(study, tuning)
             ran.append(name)
     return ran

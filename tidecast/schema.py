@@ -37,23 +37,11 @@ LOAD_COLUMNS = (
 LOAD_PREFIX = "DE_"
 LOAD_NEEDLE = "load_actual"
 
-FORECAST_SCHEMA = T.StructType(
-    [
-        T.StructField(SERIES, T.StringType()),
-        T.StructField(TS, T.TimestampNTZType()),
-        T.StructField("model", T.StringType()),
-        T.StructField("actual", T.DoubleType()),
-        T.StructField("forecast", T.DoubleType()),
-        T.StructField("lower_95", T.DoubleType()),
-        T.StructField("upper_95", T.DoubleType()),
-    ]
-)
-
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"Input data are missing columns: {missing}")
+        raise ValueError(f"columns not found: {missing}")
     return df
 
 

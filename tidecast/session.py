@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -32,8 +33,11 @@ def build_session(app: str = "tidecast", master: str | None = None, **conf: str)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidecast-")
+    """The shared folder the cluster names. A machine's own folder would not reach the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("name a folder, or set spark.checkpoint.dir to one that executors share")
+    return folder
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -41,7 +45,9 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_tidecast_shipped", False):
         return
-    target = os.path.join(tempfile.mkdtemp(prefix="tidecast-"), "tidecast")
+    folder = tempfile.mkdtemp(prefix="tidecast-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "tidecast")
     archive = shutil.make_archive(target, "zip", os.path.dirname(PACKAGE), "tidecast")
     context.addPyFile(archive)
     context._tidecast_shipped = True

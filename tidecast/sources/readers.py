@@ -90,17 +90,22 @@ def read_wide_csv_all(
     return ordered.unpivot(["timestamp", INGEST], columns, SERIES, "load_mw")
 
 
-def explode_payload(df: DataFrame, times, values, series=None) -> DataFrame:
-    """Two parallel arrays to rows ``(series_id, timestamp, temperature_2m)``, both as text."""
-    zipped = df.select(
+def explode_payload(df: DataFrame, times, values, series=None, order=None) -> DataFrame:
+    """Two parallel arrays to rows ``(series_id, timestamp, temperature_2m)``, both as text.
+
+    ``order`` places the payloads; cells of one payload follow their position. Without it the
+    payloads keep the order in which they are read.
+    """
+    placed = df.select(
         (F.lit("s") if series is None else series).alias(SERIES),
-        F.posexplode(F.arrays_zip(times.alias("t"), values.alias("v"))).alias(INGEST, "cell"),
+        (F.monotonically_increasing_id() if order is None else order).alias("_payload"),
+        F.posexplode(F.arrays_zip(times.alias("t"), values.alias("v"))).alias("_cell", "cell"),
     )
-    return zipped.select(
+    return placed.select(
         SERIES,
         F.col("cell.t").cast("string").alias("timestamp"),
         F.col("cell.v").cast("string").alias("temperature_2m"),
-        INGEST,
+        F.struct(F.col("_payload").alias("payload"), F.col("_cell").alias("cell")).alias(INGEST),
     )
 
 
@@ -110,10 +115,15 @@ def read_columnar_json(spark: SparkSession, path: str, series: str = "s") -> Dat
     checked = inferred.select(
         F.when(F.col("hourly").isNull(), F.raise_error(F.lit("Payload holds no hourly data.")))
         .otherwise(F.col("hourly"))
-        .alias("hourly")
+        .alias("hourly"),
+        _file_order().alias("order"),
     )
     return explode_payload(
-        checked, F.col("hourly.time"), F.col("hourly.temperature_2m"), F.lit(series)
+        checked,
+        F.col("hourly.time"),
+        F.col("hourly.temperature_2m"),
+        F.lit(series),
+        F.col("order"),
     )
 
 
