@@ -41,7 +41,9 @@ def drop_common_lines(
             F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_of"), digest.alias("_keys")
         )
     )
-    common = (
+    # Stored, so that both sides of the join below are dealt for the join alone and a line that
+    # most documents share can be split over tasks.
+    common = checkpointed(
         hashed.select(F.explode(F.array_distinct("_keys")).alias("_key"))
         .where("_key IS NOT NULL")
         .groupBy("_key")
