@@ -156,23 +156,33 @@ def autocorrelation_wide(
 ) -> DataFrame:
     """``series_id, n, acf`` with the array of biased autocorrelations at lags 0..lags.
 
-    One window pass adds the lag columns; the products are summed with partial aggregation, and
-    ``extra`` aggregates over the value ``_y`` ride along.
+    Lagged products are summed in numpy over blocks of the series, then by Spark; ``extra``
+    aggregates over the value ``_y`` are added by series.
     """
     base = centred(df, target, grain)
-    moved = over_series(
-        base, lambda w: {f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)}, lags, grain
-    )
-    sums = moved.groupBy(SERIES).agg(
-        F.max("_n").alias("n"),
-        F.sum(F.col("_c") * F.col("_c")).alias("_s0"),
-        *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lags + 1)],
-        *extra,
+    cut = blocks(positions(base, grain), lags, ["_c"])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                sid, start, _, pos, _, values = row
+                c = np.asarray(values, dtype=float)
+                own = int(np.searchsorted(np.asarray(pos), start, side="right"))
+                sums = [c[own:] @ c[own:]]
+                for k in range(1, lags + 1):
+                    at = max(own, k)
+                    sums.append(c[at:] @ c[at - k : len(c) - k] if at < len(c) else 0.0)
+                out.append((sid, len(c) - own, sums))
+            yield pd.DataFrame(out, columns=[SERIES, "n", "acf"])
+
+    parts = cut.mapInPandas(products, f"{SERIES} string, n long, acf array<double>")
+    sums = sum_arrays(parts, [SERIES], "acf", ["n"])
+    total = F.col("acf")[0]
+    wide = sums.select(
+        SERIES, "n", F.transform("acf", lambda s: F.try_divide(s, total)).alias("acf")
     )
-    sums_only = {SERIES, "n", *(f"_s{k}" for k in range(lags + 1))}
-    others = [c for c in sums.columns if c not in sums_only]
-    ratio = [F.try_divide(F.col(f"_s{k}"), F.col("_s0")) for k in range(lags + 1)]
-    return sums.select(SERIES, "n", F.array(*ratio).alias("acf"), *others)
+    return wide.join(base.groupBy(SERIES).agg(*extra), SERIES) if extra else wide
 
 
 def acf_table(
