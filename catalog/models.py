@@ -16,8 +16,6 @@ from tidecast.schema import WEATHER_COLUMNS, predictors
 
 SHAPE = sar.Shape()
 WEATHER_SHAPE = sar.Shape(covariates=tuple(f"{c}_scaled" for c in WEATHER_COLUMNS))
-# A short list of orders keeps these demonstrations readable; the full grid is the default.
-ORDERS = [(1, 0, 1, 1, 0, 1), (0, 1, 2, 0, 1, 1), (2, 1, 0, 1, 1, 0), (0, 2, 3, 0, 1, 1)]
 GRID = dict(p=range(2), d=range(2), q=range(2), sp=range(2), sd=range(2), sq=range(2))
 
 
@@ -122,15 +120,24 @@ def sar_first_order_forecast(spark, d):
     return sar.forecast(s, _refitted(s, SHAPE, FIRST_ORDER[:1]), SHAPE, 104)
 
 
-def _refitted(s, shape, orders):
-    """The winner of a list of orders, fitted on all its rows."""
-    best = sar.best_candidates(sar.search_orders(s, orders, shape))
-    return sar.refit(s, best, shape).where("aic IS NOT NULL")
+def _refitted(s, shape, orders=None):
+    """The winner of a list of orders, or of the full search, fitted on all its rows."""
+    searched = (
+        sar.two_stage_search(s, shape) if orders is None else sar.search_orders(s, orders, shape)
+    )
+    return sar.refit(s, sar.best_candidates(searched), shape).where("aic IS NOT NULL")
+
+
+def _with_weather(s):
+    """The searched orders of each series, fitted with its weather."""
+    orders = sar.best_candidates(sar.two_stage_search(s, SHAPE)).select("series_id", *sar.ORDER)
+    fits = sar.fit_candidates(sar.model_grams(s, WEATHER_SHAPE), orders, WEATHER_SHAPE)
+    return sar.refit(s, fits.where("aic IS NOT NULL"), WEATHER_SHAPE).where("aic IS NOT NULL")
 
 
 @query("sar_success_counts")
 def sar_success_counts(spark, d):
-    return sar.success_counts(sar.search_orders(weekly_split(spark, d), ORDERS, SHAPE))
+    return sar.success_counts(sar.search_orders(weekly_split(spark, d), sar.order_grid(**GRID), SHAPE))
 
 
 @query("sar_two_stage")
@@ -141,35 +148,34 @@ def sar_two_stage(spark, d):
 
 @query("sar_best")
 def sar_best(spark, d):
-    best = sar.best_candidates(sar.search_orders(weekly_split(spark, d), ORDERS, SHAPE))
-    return sar.best_summary(best)
+    return sar.best_summary(sar.best_candidates(sar.two_stage_search(weekly_split(spark, d), SHAPE)))
 
 
 @query("sar_forecast")
 def sar_forecast(spark, d):
     s = weekly_split(spark, d)
-    best = _refitted(s, SHAPE, ORDERS)
+    best = _refitted(s, SHAPE)
     return sar.forecast(s, best, SHAPE, 104)
 
 
 @query("sar_diagnostics")
 def sar_diagnostics(spark, d):
     s = weekly_split(spark, d)
-    best = _refitted(s, SHAPE, ORDERS)
+    best = _refitted(s, SHAPE)
     return stats.residual_diagnostics(sar.residuals(s, best, SHAPE))
 
 
 @query("sarx_forecast")
 def sarx_forecast(spark, d):
     s = _weather_split(spark, d)
-    best = _refitted(s, WEATHER_SHAPE, ORDERS)
+    best = _with_weather(s)
     return sar.forecast(s, best, WEATHER_SHAPE, 104, "sarimax")
 
 
 @query("sarx_coefficients")
 def sarx_coefficients(spark, d):
     s = _weather_split(spark, d)
-    best = _refitted(s, WEATHER_SHAPE, ORDERS)
+    best = _with_weather(s)
     return sar.coefficient_table(best, WEATHER_SHAPE)
 
 
@@ -294,7 +300,7 @@ def history_panel(spark, d):
 def residual_panel(spark, d):
     """The four residual views stacked: series, histogram, Q-Q and autocorrelation."""
     s = weekly_split(spark, d)
-    best = sar.best_candidates(sar.search_orders(s, ORDERS, SHAPE))
+    best = _refitted(s, SHAPE)
     views = report.residual_panel(sar.residuals(s, best, SHAPE))
     pick = {
         "series": ("pos", "y"),
