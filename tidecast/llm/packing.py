@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -18,8 +18,8 @@ from tidecast.llm.common import batches, stage
 K1, B = 1.2, 0.75
 FULL, REST, STATS = 0, 1, 2
 
-# Words that need no Unicode rule beyond Latin-1, and their pieces under the usual pre-tokeniser.
-SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+# Texts that need no Unicode rule beyond Latin-1, and their pieces under the usual pre-tokeniser.
+SIMPLE = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*").fullmatch
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
 PROBES = (
     "It's Örtlich, they'll SAY \"x1-22\"!", "a,b;c... été ÇA ß ¿", "«no» AKIA99/+=_ ''d 'M", "  Mixed\tUP\nline  ",
@@ -35,57 +35,62 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Token ids of texts, the tokenizer's own, with a memory of words where that is exact.
+    """Token ids of texts, the tokenizer's own, with a memory of what recurs where that is exact.
 
-    Where white space only separates (found out by probing) a text's ids are those of its words,
-    and a plain word's those of its pieces. Any other tokenizer, and any other word, goes through
-    the tokenizer itself.
+    Where white space only separates, the ids of a text are those of its words; where pieces are
+    cut by the usual rule, those of its pieces. Both are found out by probing. Any other tokenizer,
+    and any text or word beyond the rule, goes through the tokenizer itself.
     """
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        letters = byte_letters()
+        piece = self.tokenizer.model.tokenize
+
+        def of_piece(text: str) -> tuple[int, ...]:
+            return tuple(t.id for t in piece("".join(letters[b] for b in text.encode())))
+
+        self.pieces, self.words = Memory(of_piece), Memory(lambda w: tuple(self.whole(w)))
         size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.vocabulary = size
-        self.by_word = self.by_piece = True
-        self.by_piece = all(self.encode(p).tolist() == self.whole(p) for p in PROBES)
-        self.words.clear()
-        self.by_word = all(self.encode(p).tolist() == self.whole(p) for p in PROBES)
-        self.words.clear()
+        exact = lambda: all(self.encode(p).tolist() == self.whole(p) for p in PROBES)
+        self.by_word, self.by_piece = True, False
+        self.by_word = exact()
+        self.by_piece = self.by_word
+        self.by_piece = self.by_word and exact()
+        self.pieces.clear()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def word(self, word: str) -> tuple[int, ...]:
-        if not (self.by_piece and SIMPLE(word)) or "<|" in word:
-            return tuple(self.whole(word))
-        out: list[int] = []
-        for piece in PIECES(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                shown = "".join(self.letters[b] for b in piece.encode())
-                ids = self.pieces[piece] = tuple(t.id for t in self.tokenizer.model.tokenize(shown))
-            out += ids
-        return tuple(out)
-
     def encode(self, text: str) -> np.ndarray:
         if not self.by_word:
             return np.array(self.whole(text), self.kind)
-        if len(self.words) > self.LIMIT or len(self.pieces) > self.LIMIT:
-            self.words.clear()
-            self.pieces.clear()
-        words, memory = text.split(" "), self.words
-        for w in set(words).difference(memory):
-            memory[w] = self.word(w)
-        return np.fromiter(chain.from_iterable(map(memory.__getitem__, words)), self.kind)
+        if self.by_piece and SIMPLE(text) and "<|" not in text:
+            parts, memory = PIECES(text.lower()), self.pieces
+        else:
+            parts, memory = text.split(" "), self.words
+        if len(memory) > self.LIMIT:
+            memory.clear()
+        return np.fromiter(chain.from_iterable(map(memory.__getitem__, parts)), self.kind)
+
+
+class Memory(dict):
+    """Remembers what a function gave."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        value = self[key] = self.make(key)
+        return value
 
 
 def tokenise(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str, text: str) -> DataFrame:
