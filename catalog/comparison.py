@@ -1,6 +1,5 @@
 """Joins and unions of forecast and metric tables, and the model comparison."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -19,7 +18,7 @@ from catalog.base import (
     with_sql,
 )
 from catalog.forecasting import EVALUATED
-from tidecast.operators import baselines, evaluate, features, resample
+from tidecast.operators import baselines, evaluate, features, resample, sar
 from tidecast.schema import WEATHER_COLUMNS
 
 ORDERS_WEEKLY = f"""orders_weekly AS (
@@ -165,9 +164,19 @@ FROM l""",
     ),
 )
 def sort_nulls_last(spark, d):
+    """The search's display order, on weeks whose value a season ago may be missing."""
     s = features.target_lags(weekly_split(spark, d), lags=[52])
-    w = Window.partitionBy("series_id").orderBy(F.col("load_lag_52").asc_nulls_last(), "y")
-    return s.select("series_id", "ts", F.row_number().over(w).alias("rank"))
+    orders = {c: F.lit(0) for c in sar.ORDER if c != "p"}
+    # The week is the candidate's first order: what it was is read back from it.
+    shown = s.select(
+        "series_id",
+        F.datediff("ts", F.lit("1970-01-01")).alias("p"),
+        F.col("load_lag_52").alias("aic"),
+        F.col("y").alias("bic"),
+    ).withColumns(orders)
+    ranked = sar.ranked_candidates(shown)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("p"))
+    return ranked.select("series_id", day.cast("timestamp_ntz").alias("ts"), "rank")
 
 
 @query(

@@ -184,39 +184,38 @@ def _tree_rows(spark, d):
     return split.split_last(table, 104), predictors(table)
 
 
+# Short grids keep a registered query to some dozens of Spark ML jobs; trees.FOREST_GRID and
+# trees.BOOST_GRID stay the operators' defaults. Each series is tuned on all four folds.
 FOREST = {"n_estimators": [20], "max_depth": [4, 8], "min_samples_leaf": [3], "max_features": ["sqrt"]}
-BOOST = {"n_estimators": [10], "learning_rate": [0.1], "max_depth": [2, 3], "min_samples_leaf": [4]}
+BOOST = {"n_estimators": [5], "learning_rate": [0.1], "max_depth": [2, 3], "min_samples_leaf": [4]}
 
 
 @query("rf_search")
 def rf_search(spark, d):
     s, names = _tree_rows(spark, d)
-    return trees.search_trees(s, names, "random_forest", FOREST, splits=2)[1]
+    return trees.search_by_series(s, names, "random_forest", grid=FOREST)[1]
 
 
 @query("gbt_search")
 def gbt_search(spark, d):
     s, names = _tree_rows(spark, d)
-    return trees.search_trees(s, names, "gradient_boosting", BOOST, splits=2)[1]
+    return trees.search_by_series(s, names, "gradient_boosting", grid=BOOST)[1]
 
 
-POINTS = {
-    "random_forest": trees.grid_points(FOREST)[0],
-    "gradient_boosting": trees.grid_points(BOOST)[0],
-}
+def _searched_forest(spark, d):
+    s, names = _tree_rows(spark, d)
+    return s, names, {"random_forest": trees.search_by_series(s, names, "random_forest", grid=FOREST)[0]}
 
 
 @query("tree_forecast")
 def tree_forecast(spark, d):
-    s, names = _tree_rows(spark, d)
-    return trees.tree_forecasts(s, names, trees.fit_trees(s, names, POINTS))
+    """The searched forest of each series."""
+    return trees.forecasts_by_series(*_searched_forest(spark, d))
 
 
 def importance_table(spark, d):
-    s, names = _tree_rows(spark, d)
-    models = trees.fit_trees(s, names, POINTS)
-    tables = [trees.importances(spark, m, names, kind) for kind, m in models.items()]
-    return evaluate.union_tables(*tables)
+    _, names, models = _searched_forest(spark, d)
+    return trees.importances_by_series(spark, models["random_forest"], names, "random_forest")
 
 
 @query("tree_importance")

@@ -106,8 +106,7 @@ def qq(spark, d):
 
 @query("top_importance")
 def top_importance(spark, d):
-    forest = importance_table(spark, d).where("model = 'random_forest'")
-    return report.top_rows(forest, "importance", 15)
+    return report.top_rows(importance_table(spark, d), "importance", 15, ["series_id"])
 
 
 @query(

@@ -249,3 +249,28 @@ def test_refit_uses_all_rows_of_the_order(spark, weekly_frame):
     assert np.isclose(sar.refit(marked, best, shape).first().estimates[0], phi)
     counts = sar.success_counts(sar.search_orders(marked, [(1, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0)], shape))
     assert counts.first().candidates == 2
+
+
+def test_trees_by_series_equal_single_runs(spark):
+    rng = np.random.default_rng(2)
+    rows = [
+        (name, i, float(a), float(b), float(f * a + b))
+        for name, f in (("p", 2.0), ("q", -3.0))
+        for i, (a, b) in enumerate(rng.normal(size=(60, 2)))
+    ]
+    table = spark.createDataFrame(rows, "series_id string, i int, a double, b double, y double").selectExpr(
+        "series_id", "timestampadd(WEEK, i, TIMESTAMP_NTZ '2020-01-05 00:00:00') AS ts", "a", "b", "y"
+    )
+    marked = split.split_last(table, 10)
+    grid = {"n_estimators": [3], "max_depth": [2, 3], "min_samples_leaf": [1], "max_features": ["sqrt"]}
+    models, scores = trees.search_by_series(marked, ["a", "b"], "random_forest", grid=grid, splits=2)
+    both = trees.forecasts_by_series(marked, ["a", "b"], {"random_forest": models})
+    for name in ("p", "q"):
+        alone = marked.where(F.col("series_id") == name)
+        model, scored = trees.search_trees(alone, ["a", "b"], "random_forest", grid, 2)
+        got = scores.where(F.col("series_id") == name).drop("series_id").collect()
+        assert got == scored.collect()
+        want = trees.tree_forecasts(alone, ["a", "b"], {"random_forest": model}).collect()
+        assert both.where(F.col("series_id") == name).collect() == want
+    with pytest.raises(ValueError, match="more than 1 series"):
+        trees.series_names(marked, 1)

@@ -20,7 +20,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import numeric
@@ -464,6 +464,13 @@ def rank_candidates(search: DataFrame) -> DataFrame:
     )
 
 
+def ranked_candidates(search: DataFrame) -> DataFrame:
+    """The display order as a column: ``rank`` within a series, a short list of candidates each."""
+    order = [F.col("aic").asc_nulls_last(), F.col("bic").asc_nulls_last(), *ORDER]
+    within = Window.partitionBy(SERIES).orderBy(*order)
+    return search.withColumn("rank", F.row_number().over(within))
+
+
 def best_candidates(search: DataFrame) -> DataFrame:
     """Lowest (AIC, BIC) per series among successful fits; convergence is not asked for."""
     return best_row(

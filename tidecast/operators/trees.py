@@ -1,7 +1,7 @@
 """Random-forest and boosted-tree forecasters on the feature table, with Spark ML.
 
-One model is trained over all rows it is given; pass one series to get a model of that series.
-Folds are chronological within each series. Grid points are independent Spark jobs, so a few are
+The ``*_by_series`` functions tune, fit and score one model per series, a bounded number of them;
+the others pool all rows they are given into one model. Folds are chronological within each series. Grid points are independent Spark jobs, so a few are
 submitted at a time to keep the cluster busy; only a score per job returns to the driver.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 from statistics import fmean
 
@@ -133,6 +134,56 @@ def search_trees(
     return model, split.sparkSession.createDataFrame(rows, SEARCH_SCHEMA)
 
 
+def series_names(split: DataFrame, most: int = 64) -> list:
+    """The series of a table. A model per series is a set of Spark ML jobs, so there is a limit."""
+    names = [r[0] for r in split.select(SERIES).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} series: pool them, or call in groups")
+    return sorted(names)
+
+
+def search_by_series(
+    split: DataFrame, features: Sequence[str], kind: str, most: int = 64, **search
+) -> tuple[dict, DataFrame]:
+    """``search_trees`` for every series: {series: model}, and the scores with ``series_id``."""
+    models, scores = {}, []
+    for name in series_names(split, most):
+        own = split.where(F.col(SERIES) == name)
+        models[name], scored = search_trees(own, features, kind, **search)
+        scores.append(scored.select(F.lit(name).alias(SERIES), *scored.columns))
+    if not scores:
+        empty = split.sparkSession.createDataFrame([], f"{SERIES} string, {SEARCH_SCHEMA}")
+        return models, empty
+    return models, reduce(DataFrame.unionByName, scores)
+
+
+def forecasts_by_series(
+    split: DataFrame, features: Sequence[str], models: dict[str, dict]
+) -> DataFrame:
+    """``tree_forecasts`` with the series' own models; ``models`` is {kind: {series: model}}."""
+    names = sorted(next(iter(models.values())))
+    parts = [
+        tree_forecasts(
+            split.where(F.col(SERIES) == n), features, {kind: own[n] for kind, own in models.items()}
+        )
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def importances_by_series(
+    spark: SparkSession, models: dict, features: Sequence[str], kind: str
+) -> DataFrame:
+    """``importances`` of every series' model, with ``series_id``."""
+    parts = [
+        importances(spark, model, features, kind).select(
+            F.lit(name).alias(SERIES), "feature", "importance", "model"
+        )
+        for name, model in models.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_trees(
     split: DataFrame, features: Sequence[str], points: dict[str, dict], seed: int = SEED
 ) -> dict:

@@ -241,7 +241,7 @@ def run_trees(
     boost_grid: dict | None = None,
     splits: int = 4,
 ) -> dict[str, DataFrame]:
-    """Tune both ensembles, forecast, score, and report importances."""
+    """Tune both ensembles on every series, forecast, score, and report importances."""
     table = study.read("weekly_features")
     names = predictors(table)
     wanted = ("feature_forecasts", "feature_metrics", "feature_importance", "feature_search")
@@ -250,14 +250,17 @@ def run_trees(
     marked = split.split_last(table, study.horizon)
     models, scores = {}, []
     for kind, grid in (("random_forest", forest_grid), ("gradient_boosting", boost_grid)):
-        models[kind], scored = trees.search_trees(marked, names, kind, grid, splits)
+        models[kind], scored = trees.search_by_series(
+            marked, names, kind, grid=grid, splits=splits
+        )
         scores.append(scored)
-    write_table(trees.tree_forecasts(marked, names, models), study.path("feature_forecasts"))
+    forecast = trees.forecasts_by_series(marked, names, models)
+    write_table(forecast, study.path("feature_forecasts"))
     forecasts = study.read("feature_forecasts")
     tables = {
         "feature_metrics": evaluate.evaluate(forecasts, marked, study.season),
         "feature_importance": evaluate.union_tables(
-            *[trees.importances(study.spark, m, names, k) for k, m in models.items()]
+            *[trees.importances_by_series(study.spark, m, names, k) for k, m in models.items()]
         ),
         "feature_search": evaluate.union_tables(*scores),
     }
