@@ -1,5 +1,7 @@
 """Tables behind the charts."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -16,6 +18,7 @@ from catalog.base import (
 from catalog.comparison import COMPARED
 from catalog.models import importance_table
 from catalog.windows import W
+from tidecast.functions import scalar
 from tidecast.operators import baselines, evaluate, features, report
 
 NONE = "CAST(NULL AS DOUBLE) AS lower_95, CAST(NULL AS DOUBLE) AS upper_95"
@@ -99,7 +102,36 @@ def error_histogram(spark, d):
     return report.histogram(errors, "e", 50)
 
 
-@query("qq")
+def _ratio_sql(parts, r: str) -> str:
+    top, below = (
+        reduce(lambda total, c: f"({total} * {r} + {c!r}::DOUBLE)", reversed(p[:-1]), f"{p[-1]!r}::DOUBLE")
+        for p in parts
+    )
+    return f"{top} / {below}"
+
+
+QQ_SQL = with_sql(
+    WEEKLY,
+    f""", ranked AS (
+  SELECT series_id, y AS ordered, row_number() OVER (PARTITION BY series_id ORDER BY y) AS rank,
+         count(*) OVER (PARTITION BY series_id) AS n FROM weekly),
+medians AS (
+  SELECT *, CASE WHEN rank = n THEN power(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - power(0.5, 1.0 / n)
+              ELSE (rank - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM ranked),
+tails AS (SELECT *, p - 0.5 AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM medians),
+points AS (
+  SELECT *, CASE WHEN abs(q) <= 0.425
+      THEN {_ratio_sql(scalar.NORMAL_CENTRE, "(0.180625 - q * q)")} * q
+    ELSE sign(q) * CASE WHEN r <= 5 THEN {_ratio_sql(scalar.NORMAL_SHOULDER, "(r - 1.6)")}
+      ELSE {_ratio_sql(scalar.NORMAL_TAIL, "(r - 5)")} END END AS theoretical FROM tails)
+SELECT series_id, rank, round(theoretical, 6) AS theoretical, round(ordered, 6) AS ordered,
+  round(regr_slope(ordered, theoretical) OVER w, 6) AS slope,
+  round(regr_intercept(ordered, theoretical) OVER w, 6) AS intercept
+FROM points WINDOW w AS (PARTITION BY series_id)""",
+)
+
+
+@query("qq", QQ_SQL)
 def qq(spark, d):
     return report.qq_table(weekly(spark, d))
 

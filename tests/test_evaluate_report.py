@@ -179,3 +179,12 @@ def test_a_missing_forecast_is_not_scored(spark):
     assert {r.model: r["rank"] for r in ranked} == {"whole": 1, "gaps": 2}
     with pytest.raises(Exception, match="lacks forecasts"):
         evaluate.error_metrics(table, strict=True).collect()
+
+
+def test_normal_quantile(spark):
+    from tidecast.functions.scalar import normal_quantile
+
+    points = [1e-300, 1e-20, 1e-12, 1e-6, 0.01, 0.07499, 0.0751, 0.3, 0.5, 0.62, 0.925, 0.9999, 1 - 1e-12]
+    rows = spark.createDataFrame([(p,) for p in points], "p double").select("p", normal_quantile(F.col("p")).alias("z"))
+    for r in rows.collect():
+        assert r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-13, abs=1e-15)

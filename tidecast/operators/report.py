@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
-from tidecast.functions.numeric import NORMAL
-from tidecast.functions.scalar import pretty_name
+from tidecast.functions.scalar import normal_quantile, pretty_name
 from tidecast.operators.evaluate import model_columns
 from tidecast.operators.layout import join_series
 from tidecast.operators.split import train_rows
@@ -125,11 +121,6 @@ def histogram(df: DataFrame, column: str = Y, bins: int = 25) -> DataFrame:
     )
 
 
-@pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(NORMAL.inv_cdf)
-
-
 def qq_table(df: DataFrame, column: str = Y) -> DataFrame:
     """Ordered values of a weekly series against normal quantiles, with the fitted line.
 
