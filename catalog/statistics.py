@@ -37,7 +37,30 @@ def acf(spark, d):
     return stats.acf_table(weekly(spark, d))
 
 
-@query("pacf")
+# Durbin-Levinson, one lag per step; lists hold the coefficients of the order reached.
+PACF_SQL = (
+    "WITH RECURSIVE "
+    + LAGGED
+    + """, r AS (
+  SELECT series_id, max(n) AS n, list(acf ORDER BY lag) FILTER (lag > 0) AS r FROM acf GROUP BY 1),
+steps AS (
+  SELECT series_id, n, r, 1 AS k, [r[1]] AS phi FROM r
+  UNION ALL
+  SELECT series_id, n, r, k + 1,
+    list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - x * phi[k + 1 - j]), [x])
+  FROM (
+    SELECT *, (r[k + 1] - list_dot_product(phi, list_reverse(r[1:k])))
+              / (1 - list_dot_product(phi, r[1:k])) AS x
+    FROM steps WHERE k < least(60, greatest(1, n // 2 - 1)))),
+p AS (
+  SELECT series_id, 0 AS lag, 1.0::DOUBLE AS pacf, 0.0::DOUBLE AS half FROM r
+  UNION ALL SELECT series_id, k, phi[k], 1.959963984540054 / sqrt(n) FROM steps)
+SELECT series_id, CAST(lag AS BIGINT) AS lag, round(pacf, 6) AS pacf,
+  round(pacf - half, 6) AS lower_95, round(pacf + half, 6) AS upper_95 FROM p"""
+)
+
+
+@query("pacf", PACF_SQL)
 def pacf(spark, d):
     return stats.pacf_table(weekly(spark, d))
 
