@@ -9,16 +9,20 @@ from tidecast.llm.common import checkpointed
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the node's smallest neighbour."""
+    """Link every larger neighbour of a node to the node's smallest neighbour.
+
+    The minima are stored: a join of two shuffles can split the rows of a node that has a large
+    part of all edges, one on top of its own aggregation cannot.
+    """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")))
     linked = both.join(least, "u").where("v > u")
     return linked.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. Needs u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -113,6 +113,7 @@ def near_duplicates(
     rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fingerprint", "component_id")
+    # Stored, as in the components: one component, or one fingerprint, may have a third of all rows.
+    smallest = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = checkpointed(rooted.join(smallest, "root").select("fingerprint", "component_id"))
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
