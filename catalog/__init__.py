@@ -8,6 +8,7 @@ from catalog import (  # noqa: F401
     reporting,
     resampling,
     statistics,
+    storage,
     windows,
 )
 from catalog.base import REGISTRY  # noqa: F401
