@@ -253,7 +253,10 @@ def op9(spark, folder):
 
 @query("op2_lm_scoring")
 def op2(spark, folder):
-    docs = table(spark, folder, "documents")
-    model = lm.train(docs.where(remainder(10) != 0))
-    asked = docs.select("doc_id", (remainder(10) == 0).alias("held_out"), "text")
-    return lm.score(asked, model, carry=["doc_id", "held_out"])
+    docs = table(spark, folder, "documents").select(
+        "doc_id", (remainder(10) == 0).alias("held_out"), "text"
+    )
+    counts, lex = lm.count(docs.where("NOT held_out"))
+    coded = lm.code_texts(docs, lex.tokens, ["doc_id", "held_out"], "text")
+    model = lm.fit(coded.where("NOT held_out"), counts, lex)
+    return lm.score_coded(coded, model, ["doc_id", "held_out"])
