@@ -1,4 +1,5 @@
 import os
+from types import SimpleNamespace
 
 import pytest
 from compare import connect, difference
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidecast.operators import sar
 from tidecast.plans import jobs
+from tidecast.session import checkpoint_folder
 
 FOLDER = f"{TESTDATA}/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tables")
@@ -80,15 +82,11 @@ def test_study(spark, tmp_path):
     assert summary[:3] == ["series_id", "order", "seasonal_order"]
 
 
-def test_default_folder_is_the_shared_one(spark, tmp_path):
+def test_default_folder_is_the_shared_one():
+    session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: value))
+    assert checkpoint_folder(session("/shared")) == "/shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        jobs.Study(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        study = jobs.Study(spark)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert study.folder == f"{tmp_path}/study" and not study.has("weekly")
+        checkpoint_folder(session(None))
 
 
 def test_missing_stage(spark, tmp_path):
