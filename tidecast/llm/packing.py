@@ -17,6 +17,7 @@ from tidecast.llm.common import batches, stage
 
 K1, B = 1.2, 0.75
 FULL, REST, STATS = 0, 1, 2
+SHARDS_PER_TASK = 16
 
 # Texts that need no Unicode rule beyond Latin-1, and their pieces under the usual pre-tokeniser.
 SIMPLE = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*").fullmatch
@@ -331,5 +332,8 @@ def pack(
             yield from flush()
 
     full = tokens.where(F.col("kind") == FULL).mapInArrow(alone, schema)
-    sorted_ = dealt.repartition("shard").sortWithinPartitions("shard", "unit")
+    # Shards stream through a task one by one; a task gets a bounded number of them.
+    least = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-shards // SHARDS_PER_TASK))
+    sorted_ = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "unit")
     return full.union(sorted_.mapInArrow(together, schema))
