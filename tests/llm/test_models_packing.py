@@ -52,11 +52,11 @@ def test_language_edges(documents):
 
 def test_mixture_never_loses_likelihood():
     rng = np.random.default_rng(0)
-    p, doc = rng.random((50, 3)) + 1e-3, np.repeat([0, 1], [20, 30])
-    flat = np.full((2, 3), 1 / 3)
-    before = np.add.reduceat(np.log((p * flat[doc]).sum(1)), [0, 20])
-    shares, after = langid.mixture(p, doc, flat)
-    assert np.allclose(shares.sum(1), 1) and (after >= before).all()
+    p, size = rng.random((3, 50)) + 1e-3, np.array([20, 30])
+    weight, flat = rng.integers(1, 5, 50).astype(float), np.full((3, 2), 1 / 3)
+    before = np.add.reduceat(np.log(p.mean(0)) * weight, [0, 20])
+    shares, after = langid.mixture(p, weight, size, flat)
+    assert np.allclose(shares.sum(0), 1) and (after >= before).all()
 
 
 @pytest.fixture(scope="module")

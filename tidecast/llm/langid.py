@@ -7,9 +7,10 @@ with the best penalised likelihood.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = re.compile(r"[^\W\d_]+")
+# ASCII that is no letter separates words; what is not ASCII belongs to them.
+APART = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 ORDERS, BUCKETS, PRIOR = 4, 1 << 16, 0.5
 UNKNOWN = "und"
 # The n-gram orders of a word overlap, so their joint evidence counts only in part.
-TEMPER, EM_STEPS, PENALTY = 0.4, 12, 3.0
+TEMPER, EM_STEPS, PENALTY = 0.4, 10, 3.0
 MAX_LANGUAGES = 256
 AT_ONCE = 1 << 21  # characters of text worked on together; a longer text is a group of its own
 
@@ -37,13 +39,18 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode().translate(APART).split()
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of all n-grams of the words, one line per order, and where words begin.
 
     Every character ends one n-gram of each order, and so does the gap after the word; what lies
     before the word's first letter is one gap.
     """
-    codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), "<u4").astype(np.uint64)
+    spaced = (b" " + b" ".join(words) + b" ").decode().encode("utf-32-le")
+    codes = np.frombuffer(spaced, "<u4").astype(np.uint64)
     gap = codes == 32
     end = np.arange(1, len(codes))
     out, key, open_ = [], codes[end], np.ones(len(end), bool)
@@ -98,13 +105,16 @@ def fit(labelled: DataFrame, rows: int = 60_000, text: str = "text", lang: str =
             for b in parts:
                 labels = b.column("lang").to_pylist()
                 for at, some in groups(b, "text"):
-                    by: dict[str, list[str]] = {}
+                    by: dict[str, Counter] = {}
                     for t, label in zip(some, labels[at : at + len(some)]):
-                        by.setdefault(label, []).extend(WORD.findall(t.lower()))
+                        by.setdefault(label, Counter()).update(words_of(t))
                     for label, words in by.items():
                         if words:
-                            found, _ = grams(words)
-                            sums[place[label]] += np.bincount(found.ravel(), minlength=sums.shape[1])
+                            found, starts = grams(list(words))
+                            length = np.diff(np.r_[starts, found.shape[1]])
+                            often = np.repeat(list(words.values()), length)
+                            for line in found:
+                                sums[place[label]] += np.bincount(line, often, sums.shape[1]).astype(np.int64)
             lang, row = np.nonzero(sums)
             for i in range(0, len(row), 1 << 16):
                 part = slice(i, i + (1 << 16))
@@ -119,17 +129,22 @@ def fit(labelled: DataFrame, rows: int = 60_000, text: str = "text", lang: str =
     return Model(names, table.reshape(ORDERS * BUCKETS, len(names)))
 
 
-def mixture(p: np.ndarray, doc: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM shares and the log-likelihood per document; ``p`` is words x languages, sorted by ``doc``.
+def mixture(
+    p: np.ndarray, weight: np.ndarray, size: np.ndarray, shares: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """EM shares (languages x documents) and the log-likelihood per document.
 
-    A share that starts at 0 stays 0.
+    ``p`` is languages x distinct words, document after document, ``size`` the words of each and
+    ``weight`` how often each occurs. A share that starts at 0 stays 0.
     """
-    at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    n = np.diff(np.r_[at, len(doc)])[:, None]
+    at = np.cumsum(size) - size
+    total = np.add.reduceat(weight, at)
     for _ in range(EM_STEPS):
-        joint = p * shares[doc]
-        shares = np.add.reduceat(joint / joint.sum(1, keepdims=True), at, axis=0) / n
-    like = np.log((p * shares[doc]).sum(1))
+        joint = np.repeat(shares, size, axis=1)
+        joint *= p
+        joint *= weight / joint.sum(0)
+        shares = np.add.reduceat(joint, at, axis=1) / total
+    like = np.log((np.repeat(shares, size, axis=1) * p).sum(0)) * weight
     return shares, np.add.reduceat(like, at)
 
 
@@ -138,54 +153,57 @@ def infer(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
 
     Zero shares for a document without words.
     """
-    size = len(model.languages)
-    index: dict[str, int] = {}
-    ids, lengths = [], []
-    for t in texts:
-        words = WORD.findall(t.lower())
-        ids.append(np.array([index.setdefault(w, len(index)) for w in words], np.int64))
-        lengths.append(len(words))
-    shares = np.zeros((len(texts), size))
-    alone = np.zeros((len(texts), size))
-    if not index or not size:
+    languages = len(model.languages)
+    split = [words_of(t) for t in texts]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    flat = list(chain.from_iterable(split))
+    shares = np.zeros((len(texts), languages))
+    alone = np.zeros((len(texts), languages))
+    if not flat or not languages:
         return shares, alone
+    index = dict.fromkeys(flat)
+    index = dict(zip(index, range(len(index))))
     found, starts = grams(list(index))
-    like = model.table[found[0]].astype(np.float64)
+    like = np.take(model.table, found[0], axis=0)
     for line in found[1:]:
-        like += model.table[line]
-    words = TEMPER * np.add.reduceat(like, starts, axis=0)
+        like += np.take(model.table, line, axis=0)
+    words = TEMPER * np.add.reduceat(like, starts, axis=0, dtype=np.float64).T
+    # Equal words of a document go together.
+    ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+    ids += np.repeat(np.arange(len(texts)) * len(index), lengths)
+    key, weight = np.unique(ids, return_counts=True)
+    doc, word = key // len(index), key % len(index)
     with_words = np.flatnonzero(lengths)
-    n = np.array(lengths)[with_words]
-    every = words[np.concatenate(ids)]
-    doc = np.repeat(np.arange(len(with_words)), n)
-    begin = np.r_[0, np.cumsum(n)[:-1]]
-    single = np.add.reduceat(every, begin, axis=0)
-    top = every.max(1, keepdims=True)
+    size = np.bincount(doc, minlength=len(texts))[with_words]
+    at, n = np.cumsum(size) - size, lengths[with_words]
+    weight = weight.astype(np.float64)
+    every = np.take(words, word, axis=1)
+    single = np.add.reduceat(every * weight, at, axis=1)
+    top = every.max(0)
     p = np.exp(every - top) + 1e-30
-    base = np.add.reduceat(top[:, 0], begin)
-    full, joint = mixture(p, doc, np.full((len(n), size), 1 / size))
+    base = np.add.reduceat(top * weight, at)
+    full, joint = mixture(p, weight, size, np.full((languages, len(n)), 1 / languages))
     price = PENALTY * 0.5 * np.log(n + 1)
-    best = single.argmax(1)
-    chosen = np.zeros((len(n), size))
-    chosen[np.arange(len(n)), best] = 1
-    value = single.max(1)
+    best, value = single.argmax(0), single.max(0)
+    chosen = np.zeros((languages, len(n)))
+    chosen[best, np.arange(len(n))] = 1
     # A larger set gains at most what all languages together gain, so only these need a look.
     open_ = np.flatnonzero(joint + base - value > price)
-    if size > 1 and len(open_):
-        rows = np.isin(doc, open_)
-        p, doc = p[rows], np.searchsorted(open_, doc[rows])
-        order = np.argsort(-full[open_], axis=1, kind="stable")
-        for k in range(2, size + 1):
-            start = np.zeros((len(open_), size))
-            np.put_along_axis(start, order[:, :k], 1 / k, axis=1)
-            part, joint = mixture(p, doc, start)
+    if languages > 1 and len(open_):
+        rows = np.repeat(np.isin(np.arange(len(n)), open_), size)
+        p, weight, size = p[:, rows], weight[rows], size[open_]
+        order = np.argsort(-full[:, open_], axis=0, kind="stable")
+        for k in range(2, languages + 1):
+            start = np.zeros((languages, len(open_)))
+            np.put_along_axis(start, order[:k], 1 / k, axis=0)
+            part, joint = mixture(p, weight, size, start)
             gain = joint + base[open_] - (k - 1) * price[open_]
             better = gain > value[open_]
             value[open_[better]] = gain[better]
-            chosen[open_[better]] = part[better]
-    shares[with_words] = chosen
-    posterior = np.exp(single - single.max(1, keepdims=True))
-    alone[with_words] = posterior / posterior.sum(1, keepdims=True)
+            chosen[:, open_[better]] = part[:, better]
+    shares[with_words] = chosen.T
+    posterior = np.exp(single - single.max(0))
+    alone[with_words] = (posterior / posterior.sum(0)).T
     return shares, alone
 
 
