@@ -134,12 +134,17 @@ TEXTS = [
 
 
 def test_encoder_is_the_tokenizer():
-    encoder = packing.Encoder(PATH)
+    encoder = packing.Encoder(PATH, 2)
     assert encoder.by_word and encoder.by_piece and encoder.kind == "<u2"
-    for t in [*TEXTS, *[x + " " + y for x in TEXTS[:1] for y in TEXTS if y]]:
-        assert encoder.encode(t or "").tolist() == encoder.whole(t or "")
-    bytes_ = packing.Encoder(public.path("byte_bpe_50k.json"))
-    assert not bytes_.by_word and bytes_.encode("a  b c").tolist() == bytes_.whole("a  b c")
+    texts = [t or "" for t in [*TEXTS, *[x + " " + y for x in TEXTS[:1] for y in TEXTS if y]]]
+    for _ in range(2):
+        got = encoder.encode(texts)
+        assert [g.tolist() for g in got] == [[*encoder.whole(t), 2] for t in texts]
+    encoder.LIMIT = 3
+    assert [g.tolist() for g in encoder.encode(texts)] == [[*encoder.whole(t), 2] for t in texts]
+    bytes_ = packing.Encoder(public.path("byte_bpe_50k.json"), 7)
+    assert not bytes_.by_word and bytes_.encode(["a  b c"])[0].tolist() == [*bytes_.whole("a  b c"), 7]
+    assert encoder.encode([]) == []
 
 
 def check_packing(rows, ids, window):
@@ -165,7 +170,7 @@ def check_packing(rows, ids, window):
 
 @pytest.mark.parametrize("per_shard", [5, 2048])
 def test_packing(documents, per_shard):
-    encoder = packing.Encoder(PATH)
+    encoder = packing.Encoder(PATH, 2)
     texts = TEXTS + [f"doc {i} " * (i % 40) for i in range(60)] + ["long text here " * 400]
     docs = documents(texts).selectExpr("*", "1 AS unit", "2 AS ids", "3 AS shard")
     rows = packing.pack(docs, PATH, window=64, units_per_shard=per_shard).collect()
@@ -198,7 +203,7 @@ def test_pipeline(spark, documents, tmp_path):
     bench = [(1, " ".join(f"Bench{i}" for i in range(10)))]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    encoder = packing.Encoder(PATH)
+    encoder = packing.Encoder(PATH, 2)
     check_packing(rows, {i: [*encoder.whole(lines[i]), 2] for i in range(12)}, 4096)
     assert len(corpus_pipeline.STAGES) == 5
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,15 @@ K1, B = 1.2, 0.75
 FULL, REST, STATS = 0, 1, 2
 SHARDS_PER_TASK = 16
 
-# Texts that need no Unicode rule beyond Latin-1, and their pieces under the usual pre-tokeniser.
+# Texts that need no Unicode rule beyond Latin-1.
 SIMPLE = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*").fullmatch
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+# Sorts of lower-case Latin-1 characters: blanks, letters, punctuation; digits and ends.
+ALONE = 3
+SORTS = np.full(256, 2, np.uint8)
+SORTS[[9, 10, 13, 32]] = 0
+SORTS[[*range(97, 123), *range(223, 247), *range(248, 256)]] = 1
+SORTS[48:58] = ALONE
+SORTS[1] = ALONE + 1
 PROBES = (
     "It's Örtlich, they'll SAY \"x1-22\"!", "a,b;c... été ÇA ß ¿", "«no» AKIA99/+=_ ''d 'M", "  Mixed\tUP\nline  ",
 )
@@ -39,57 +45,118 @@ class Encoder:
     """Token ids of texts, the tokenizer's own, with a memory of what recurs where that is exact.
 
     Where white space only separates, the ids of a text are those of its words; where pieces are
-    cut by the usual rule, those of its pieces. Both are found out by probing. Any other tokenizer,
-    and any text or word beyond the rule, goes through the tokenizer itself.
+    cut by the usual rule, a plain text's are those of its pieces, which are cut for a run of texts
+    at once. Both are found out by probing. Any other tokenizer gets whole texts, and any text
+    beyond the rule goes through the tokenizer word by word.
     """
 
-    LIMIT = 400_000
+    LIMIT = 800_000
+    END = b"\x01"  # stands for a text's end among the pieces
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        letters = byte_letters()
-        piece = self.tokenizer.model.tokenize
-
-        def of_piece(text: str) -> tuple[int, ...]:
-            return tuple(t.id for t in piece("".join(letters[b] for b in text.encode())))
-
-        self.pieces, self.words = Memory(of_piece), Memory(lambda w: tuple(self.whole(w)))
-        size = self.tokenizer.get_vocab_size()
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
-        self.vocabulary = size
-        exact = lambda: all(self.encode(p).tolist() == self.whole(p) for p in PROBES)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.letters = byte_letters()
+        self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.words = Memory(self.whole)
         self.by_word, self.by_piece = True, False
-        self.by_word = exact()
+        self.by_word = self.exact()
         self.by_piece = self.by_word
-        self.by_piece = self.by_word and exact()
-        self.pieces.clear()
+        self.by_piece = self.by_word and self.exact()
+
+    def exact(self) -> bool:
+        self.forget()
+        right = all(i.tolist() == [*self.whole(p), self.end_id] for p, i in zip(PROBES, self.encode(PROBES)))
+        self.forget()
+        return right
+
+    def forget(self) -> None:
+        """Pieces by number; the ids of piece k are flat[start[k] : start[k] + size[k]]."""
+        self.words.clear()
+        self.index = {self.END: 0}
+        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.flat = np.array([self.end_id], self.kind)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> np.ndarray:
+    def learn(self, pieces: Iterable[bytes]) -> None:
+        ids, sizes = [], []
+        cut = self.tokenizer.model.tokenize
+        for p in pieces:
+            text = p.decode("latin-1")
+            if not text.isascii():
+                text = "".join(self.letters[b] for b in text.encode())
+            tokens = cut(text)
+            ids += [t.id for t in tokens]
+            sizes.append(len(tokens))
+            self.index[p] = len(self.index)
+        size = np.array(sizes, np.int64)
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.flat = np.r_[self.flat, np.array(ids, self.kind)]
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text and its end."""
         if not self.by_word:
-            return np.array(self.whole(text), self.kind)
-        if self.by_piece and SIMPLE(text) and "<|" not in text:
-            parts, memory = PIECES(text.lower()), self.pieces
-        else:
-            parts, memory = text.split(" "), self.words
-        if len(memory) > self.LIMIT:
-            memory.clear()
-        return np.fromiter(chain.from_iterable(map(memory.__getitem__, parts)), self.kind)
+            return [np.array([*self.whole(t), self.end_id], self.kind) for t in texts]
+        if len(self.index) > self.LIMIT or len(self.words) > self.LIMIT:
+            self.forget()
+        plain = [self.by_piece and SIMPLE(t) is not None and "'" not in t and "<|" not in t for t in texts]
+        fast = iter(self.encode_plain([t for t, p in zip(texts, plain) if p]))
+        return [next(fast) if p else self.encode_words(t) for t, p in zip(texts, plain)]
+
+    def encode_words(self, text: str) -> np.ndarray:
+        ids = chain.from_iterable(map(self.words.__getitem__, text.split(" ")))
+        return np.fromiter(chain(ids, (self.end_id,)), self.kind)
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        end = self.END.decode()
+        letters = np.frombuffer((end.join(texts) + end).lower().encode("latin-1"), np.uint8)
+        sort = SORTS[letters]
+        # A piece ends where the sort changes; digits and ends stand alone.
+        apart = np.zeros(len(letters), np.int64)
+        apart[1:] = (sort[1:] != sort[:-1]) | (sort[1:] >= ALONE)
+        spaced = np.full(len(letters) + apart.sum(), 32, np.uint8)
+        spaced[np.arange(len(letters)) + np.cumsum(apart)] = letters
+        pieces = spaced.tobytes().split()
+        found = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            self.learn(dict.fromkeys(pieces[i] for i in new))
+            found[new] = [self.index[pieces[i]] for i in new]
+        size = self.size[found]
+        past = np.cumsum(size)
+        at = np.arange(past[-1]) + np.repeat(self.start[found] - past + size, size)
+        return np.split(self.flat[at], past[found == 0][:-1])
+
+
+def runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in runs of about ``size`` characters; a longer text is a run of its own."""
+    some, total = [], 0
+    for t in texts:
+        some.append(t or "")
+        total += len(some[-1])
+        if total >= size:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
 
 
 class Memory(dict):
     """Remembers what a function gave."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+    def __init__(self, make: Callable[[str], list[int]]):
         super().__init__()
         self.make = make
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> list[int]:
         value = self[key] = self.make(key)
         return value
 
@@ -111,8 +178,8 @@ def tokenise(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str,
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, unit, rows = Encoder(path), TaskContext.get().partitionId() << 40, 0
-        holding = np.zeros(max(encoder.vocabulary, end_id + 1), np.int64)
+        encoder, unit, rows = Encoder(path, end_id), TaskContext.get().partitionId() << 40, 0
+        holding = np.zeros(encoder.vocabulary, np.int64)
         total, id_type, out = 0, None, None
 
         def flush():
@@ -123,8 +190,8 @@ def tokenise(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str,
 
         for b in parts:
             id_type, out = b.schema.field("doc_id").type, [[] for _ in schema]
-            for key, body in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.append(encoder.encode(body or ""), np.array(end_id, encoder.kind))
+            coded = chain.from_iterable(map(encoder.encode, runs(b.column("text").to_pylist())))
+            for key, ids in zip(b.column("doc_id").to_pylist(), coded):
                 holding[np.unique(ids)] += 1
                 rows, total, n = rows + 1, total + len(ids), len(ids)
                 for at in range(0, n, window):
