@@ -50,7 +50,7 @@ class Encoder:
     beyond the rule goes through the tokenizer word by word.
     """
 
-    LIMIT = 800_000
+    LIMIT = 500_000
     END = b"\x01"  # stands for a text's end among the pieces
 
     def __init__(self, path: str, end_id: int):
@@ -136,7 +136,7 @@ class Encoder:
         return np.split(self.flat[at], past[found == 0][:-1])
 
 
-def runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
+def runs(texts: list[str | None], size: int = 1 << 19) -> Iterator[list[str]]:
     """Texts in runs of about ``size`` characters; a longer text is a run of its own."""
     some, total = [], 0
     for t in texts:
