@@ -16,15 +16,36 @@ from tidecast.llm.common import shared_folder
 from tidecast.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+ROW = "_row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """Adds a key of the row: its id, missing ones last, and a digest of its text.
+
+    It is the same whenever the table is read. Rows that share it are copies of one document.
+    """
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    missing = F.col("doc_id").isNull().alias("missing")
+    return docs.withColumn(ROW, F.struct(missing, F.col("doc_id").alias("id"), digest.alias("text")))
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not among those of ``lost``."""
+    gone = lost.select(F.col(ROW).alias("_lost")).distinct()
+    return docs.join(gone, docs[ROW].eqNullSafe(gone["_lost"]), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language: a missing text, or one without a letter.
 
-    The model learns from the labels of the documents at hand; a label is never overwritten.
+    The model learns from the labels of the documents at hand; a label is never overwritten. If no
+    language can be learned, documents with a letter stay all the same.
     """
     ship_package(spark)
-    found = langid.identify(docs, langid.fit(docs))
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
@@ -38,24 +59,24 @@ def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: the one with the smallest id.
 
-    Of repeated rows one stays. Documents without an id stay: there is no telling them apart.
+    A document without an id goes only if its group has another. Texts that differ under one id are
+    documents of their own; of rows with equal id and text one stays.
     """
     ship_package(spark)
-    found = simhash.near_duplicates(docs, shingle=3, distance=2)
+    keyed = with_row(docs)
+    found = simhash.near_duplicates(keyed, shingle=3, distance=2, doc_id=ROW)
     rest = found.where(F.col("doc_id") != F.col("component_id"))
-    lost = rest.select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.union(kept.where(F.col("doc_id").isNull()))
+    kept = without(keyed, rest.select(F.col("doc_id").alias(ROW)))
+    return kept.dropDuplicates([ROW]).drop(ROW)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of ten words of a benchmark item."""
     ship_package(spark)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.find_overlap(docs, bench, window=10)
-    hit = found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    keyed = with_row(docs)
+    found = decontam.find_overlap(keyed, bench, window=10, doc_id=ROW)
+    return without(keyed, found.where(F.col("n_hit") > 0)).drop(ROW)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,3 +218,24 @@ def test_pipeline_edges(spark, documents, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "None"]
+
+
+def test_pipeline_tells_rows_apart_without_ids(spark, documents, tmp_path):
+    bench = " ".join(f"bench{i}" for i in range(10))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hit, clean = f"head {bench} tail", "a clean text about quite other things than that"
+    docs = documents([(None, hit), (None, clean), (None, None), (7, hit), (7, clean)])
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, clean), (None, None), (7, clean)}
+
+    texts = [f"{w} text number {w}{w} of its own kind {w}{w}{w}" for w in ("red", "green", "blue", "grey")]
+    pairs = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (2, texts[2])]
+    docs = documents(pairs + [(None, texts[3])] * 3 + [(None, texts[0])])
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3])]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
+
+
+def test_pipeline_keeps_a_corpus_without_labels(spark, documents):
+    kept = corpus_pipeline.language(spark, documents(["some words", "日本", "12 ²", "", None], None), "").collect()
+    assert [r.text for r in kept] == ["some words", "日本"]
