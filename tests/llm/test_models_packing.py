@@ -50,6 +50,23 @@ def test_language_edges(documents):
     assert langid.identify(documents([]), model).count() == 0
 
 
+def test_every_language_is_drawn(spark):
+    from conftest import DOCS
+
+    rows = [(i, SAMPLES["en"], "en", "s", 0) for i in range(3000)]
+    rows += [(5000 + i, f"{SAMPLES[x]} {i}", x, "s", 0) for x in ("de", "fr") for i in range(3)]
+    rows += [(None, "12 34", "xx", "s", 0)]
+    known = spark.createDataFrame(rows, DOCS)
+    model = langid.fit(known, rows=30)
+    assert model.languages == ["de", "en", "fr"]
+    # A language that is not drawn has a flat table.
+    assert (np.ptp(model.table, axis=0) > 1).all()
+    rare = langid.fit(known.where("lang <> 'en'"))
+    assert np.allclose(model.table[:, [0, 2]], rare.table)
+    asked = spark.createDataFrame([(1, "the house and the dog"), (2, "la maison et le chien")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, model).collect()} == {1: "en", 2: "fr"}
+
+
 def test_mixture_never_loses_likelihood():
     rng = np.random.default_rng(0)
     p, size = rng.random((3, 50)) + 1e-3, np.array([20, 30])

@@ -25,6 +25,7 @@ UNKNOWN = "und"
 # The n-gram orders of a word overlap, so their joint evidence counts only in part.
 TEMPER, EM_STEPS, PENALTY = 0.4, 10, 3.0
 MAX_LANGUAGES = 256
+DRAWS = 1 << 30  # the range of the hash that rows are drawn by
 AT_ONCE = 1 << 21  # characters of text worked on together; a longer text is a group of its own
 
 
@@ -78,14 +79,20 @@ def groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]
         yield at, some
 
 
-def fit(labelled: DataFrame, rows: int = 60_000, text: str = "text", lang: str = "lang") -> Model:
-    """N-gram counts per language from at most about ``rows`` labelled rows.
+def fit(
+    labelled: DataFrame, rows: int = 60_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id"
+) -> Model:
+    """N-gram counts per language from about ``rows`` labelled rows of each.
 
-    The bound is on the classifier's training sample alone, drawn by a hash of the text; rows
-    without text or label teach nothing. The counts are summed on the executors; a table of fixed
-    size, times the languages (at most 256), reaches the driver.
+    The bound is on the classifier's training sample alone: a language with more rows is drawn from
+    by a hash of id and text (of the text alone if there is no such id column), any other is used
+    whole. Rows without text or label teach nothing, and a language without a word in its sample is
+    no candidate. The counts are summed on the executors; a table of fixed size, times the languages
+    (at most 256), reaches the driver.
     """
-    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
+    keys = [F.col(c) for c in (doc_id, text) if c == text or c in labelled.columns]
+    place_in_draw = F.pmod(F.xxhash64(*keys), F.lit(DRAWS)).alias("draw")
+    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), place_in_draw).where(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
@@ -94,9 +101,13 @@ def fit(labelled: DataFrame, rows: int = 60_000, text: str = "text", lang: str =
     names = sorted(sizes)
     counts = np.full((ORDERS * BUCKETS, len(names)), PRIOR)
     if names:
-        share = min(1.0, rows / sum(sizes.values()))
-        draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-        drawn = known.where(draw) if share < 1 else known
+        # The part of a language's rows that is drawn, for those with more than enough.
+        cut = {n: int(rows / size * DRAWS) for n, size in sizes.items() if size > rows}
+        drawn = known
+        if cut:
+            limits = F.create_map(*[F.lit(x) for x in chain.from_iterable(cut.items())])
+            drawn = known.where(F.col("draw") < F.coalesce(limits[F.col("lang")], F.lit(DRAWS)))
+        drawn = drawn.select("text", "lang")
         place = {n: i for i, n in enumerate(names)}
         schema = pa.schema([("row", pa.int64()), ("lang", pa.int64()), ("n", pa.int64())])
 
@@ -124,6 +135,8 @@ def fit(labelled: DataFrame, rows: int = 60_000, text: str = "text", lang: str =
         total = drawn.mapInArrow(run, "row long, lang long, n long").groupBy("row", "lang")
         got = total.agg(F.sum("n").alias("n")).toPandas()
         counts[got["row"], got["lang"]] += got["n"]
+        seen = sorted(got["lang"].unique())
+        names, counts = [names[i] for i in seen], counts[:, seen]
     by_order = counts.reshape(ORDERS, BUCKETS, len(names))
     table = np.log(by_order / by_order.sum(1, keepdims=True)).astype(np.float32)
     return Model(names, table.reshape(ORDERS * BUCKETS, len(names)))
