@@ -76,6 +76,35 @@ def test_mixture_never_loses_likelihood():
     assert np.allclose(shares.sum(0), 1) and (after >= before).all()
 
 
+def test_ceiling_is_above_every_mixture():
+    """Ten steps over many languages stay below a set of two."""
+    rng = np.random.default_rng(1)
+    p = rng.random((60, 80)) * 0.9 + 0.05
+    p[0, :40], p[1, 40:] = 1, 1
+    weight, size = np.ones(80), np.array([80])
+    shares, early = langid.mixture(p, weight, size, np.full((60, 1), 1 / 60))
+    two = np.zeros((60, 1))
+    two[:2] = 0.5
+    _, late = langid.mixture(p, weight, size, two)
+    assert early[0] < late[0] <= langid.ceiling(p, weight, size, shares, early)[0]
+    _, best = langid.mixture(p[:2], weight, size, np.full((2, 1), 0.5))
+    assert langid.ceiling(p[:2], weight, size, np.full((2, 1), 0.5), best)[0] < best[0] + 20
+
+
+@pytest.mark.parametrize("n", [60, 80])
+def test_documents_near_the_limit_are_searched(n, monkeypatch):
+    """The choice is that of a search of all documents."""
+    names = [f"l{i:02}" for i in range(40)]
+    rng = np.random.default_rng(n)
+    table = np.log(rng.random((langid.ORDERS * langid.BUCKETS, 40)) * 0.9 + 0.05).astype(np.float32)
+    made = langid.Model(names, table)
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words, n)) for _ in range(200)]
+    got = langid.infer(texts, made)[0]
+    monkeypatch.setattr(langid, "ceiling", lambda *a: np.full(len(texts), np.inf))
+    assert np.allclose(got, langid.infer(texts, made)[0])
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     from conftest import DOCS

@@ -161,6 +161,21 @@ def mixture(
     return shares, np.add.reduceat(like, at)
 
 
+def ceiling(
+    p: np.ndarray, weight: np.ndarray, size: np.ndarray, shares: np.ndarray, like: np.ndarray
+) -> np.ndarray:
+    """What the log-likelihood per document cannot exceed, whatever the shares.
+
+    The log is concave: other shares gain at most n log(max slope / n) on these of n words, where a
+    language's slope is the sum of its words' p over their mixture. Nothing, once EM has converged.
+    """
+    at = np.cumsum(size) - size
+    n = np.add.reduceat(weight, at)
+    mixed = (np.repeat(shares, size, axis=1) * p).sum(0)
+    slope = np.add.reduceat(p * (weight / mixed), at, axis=1)
+    return like + n * np.log(np.maximum(slope.max(0) / n, 1))
+
+
 def infer(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the chosen languages (docs x languages) and the posterior of the single best.
 
@@ -200,8 +215,9 @@ def infer(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     best, value = single.argmax(0), single.max(0)
     chosen = np.zeros((languages, len(n)))
     chosen[best, np.arange(len(n))] = 1
-    # A larger set gains at most what all languages together gain, so only these need a look.
-    open_ = np.flatnonzero(joint + base - value > price)
+    # No set is more likely than the best shares of all languages, so only these need a look.
+    most = ceiling(p, weight, size, full, joint)
+    open_ = np.flatnonzero(most + base - value > price)
     if languages > 1 and len(open_):
         rows = np.repeat(np.isin(np.arange(len(n)), open_), size)
         p, weight, size = p[:, rows], weight[rows], size[open_]
