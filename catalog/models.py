@@ -187,7 +187,7 @@ def _tree_rows(spark, d):
 # Short grids keep a registered query to some dozens of Spark ML jobs; trees.FOREST_GRID and
 # trees.BOOST_GRID stay the operators' defaults. Each series is tuned on all four folds.
 FOREST = {"n_estimators": [20], "max_depth": [4, 8], "min_samples_leaf": [3], "max_features": ["sqrt"]}
-BOOST = {"n_estimators": [5], "learning_rate": [0.1], "max_depth": [2, 3], "min_samples_leaf": [4]}
+BOOST = {"n_estimators": [10], "learning_rate": [0.1], "max_depth": [2, 3], "min_samples_leaf": [4]}
 
 
 @query("rf_search")
@@ -202,20 +202,25 @@ def gbt_search(spark, d):
     return trees.search_by_series(s, names, "gradient_boosting", grid=BOOST)[1]
 
 
-def _searched_forest(spark, d):
+GRIDS = {"random_forest": FOREST, "gradient_boosting": BOOST}
+
+
+def _searched(spark, d):
     s, names = _tree_rows(spark, d)
-    return s, names, {"random_forest": trees.search_by_series(s, names, "random_forest", grid=FOREST)[0]}
+    return s, names, {k: trees.search_by_series(s, names, k, grid=g)[0] for k, g in GRIDS.items()}
 
 
 @query("tree_forecast")
 def tree_forecast(spark, d):
-    """The searched forest of each series."""
-    return trees.forecasts_by_series(*_searched_forest(spark, d))
+    """The searched forest and the searched boosted trees of each series."""
+    return trees.forecasts_by_series(*_searched(spark, d))
 
 
 def importance_table(spark, d):
-    _, names, models = _searched_forest(spark, d)
-    return trees.importances_by_series(spark, models["random_forest"], names, "random_forest")
+    _, names, models = _searched(spark, d)
+    return evaluate.union_tables(
+        *[trees.importances_by_series(spark, own, names, kind) for kind, own in models.items()]
+    )
 
 
 @query("tree_importance")

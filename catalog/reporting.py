@@ -138,7 +138,7 @@ def qq(spark, d):
 
 @query("top_importance")
 def top_importance(spark, d):
-    return report.top_rows(importance_table(spark, d), "importance", 15, ["series_id"])
+    return report.top_rows(importance_table(spark, d), "importance", 15, ["series_id", "model"])
 
 
 @query(

@@ -1,7 +1,11 @@
+import os
+
 import numpy as np
 import pytest
+from conftest import TESTDATA
 from pyspark.sql import functions as F
 
+from catalog import models
 from tidecast.functions import numeric
 from tidecast.operators import evaluate, sar, sequence, split, trees
 
@@ -274,3 +278,22 @@ def test_trees_by_series_equal_single_runs(spark):
         assert both.where(F.col("series_id") == name).collect() == want
     with pytest.raises(ValueError, match="more than 1 series"):
         trees.series_names(marked, 1)
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.001"), reason="no test tables")
+def test_tree_queries_give_both_kinds(spark, monkeypatch):
+    """Each kind is searched with its own grid; a single small fit stands for the search here."""
+    folder, kinds, grids = f"{TESTDATA}/sf0.001", {"random_forest", "gradient_boosting"}, {}
+
+    def fitted(s, names, kind, grid):
+        grids[kind] = grid
+        point = trees.grid_points(grid)[0] | {"n_estimators": 2}
+        one = s.agg(F.min("series_id")).first()[0]
+        return {one: trees.fit_trees(s.where(F.col("series_id") == one), names, {kind: point})[kind]}, None
+
+    monkeypatch.setattr(trees, "search_by_series", fitted)
+    assert kinds <= set(models.tree_forecast(spark, folder).columns)
+    table = models.tree_importance(spark, folder)
+    assert {r.model for r in table.select("model").distinct().collect()} == kinds
+    assert grids == {"random_forest": models.FOREST, "gradient_boosting": models.BOOST}
+    assert min(models.BOOST["n_estimators"]) >= 10
