@@ -12,7 +12,7 @@ from catalog.base import (
     with_sql,
 )
 from tidecast.operators import evaluate, features, report, sar, sequence, split, stats, trees
-from tidecast.schema import WEATHER_COLUMNS, predictors
+from tidecast.schema import SEQUENCE_LENGTH, WEATHER_COLUMNS, predictors
 
 SHAPE = sar.Shape()
 WEATHER_SHAPE = sar.Shape(covariates=tuple(f"{c}_scaled" for c in WEATHER_COLUMNS))
@@ -228,11 +228,24 @@ def tree_importance(spark, d):
     return importance_table(spark, d)
 
 
-LENGTH = 24
+SHORT_LENGTH = 24
 
 
-def _sequence_fits(s):
-    return sequence.search(sequence.sequence_grams(s, LENGTH), LENGTH)
+def sequence_length(s):
+    """A week of hours; a day for a table with no series that a week leaves a validation row."""
+    longest = s.agg(F.max("n_train")).first()[0] or 0
+    rows = int(max(longest - SEQUENCE_LENGTH, 0) * sequence.VALIDATION)
+    return SEQUENCE_LENGTH if rows else SHORT_LENGTH
+
+
+def _sequence_fits(s, length=None):
+    length = length or sequence_length(s)
+    return sequence.search(sequence.sequence_grams(s, length), length)
+
+
+def _rolling_forecast(s):
+    length = sequence_length(s)
+    return sequence.rolling_forecast(s, sequence.best_fit(_sequence_fits(s, length)), length)
 
 
 @query(
@@ -284,14 +297,13 @@ def seq_history(spark, d):
 @query("seq_forecast")
 def seq_forecast(spark, d):
     s = hourly_split(spark, d)
-    return sequence.rolling_forecast(s, sequence.best_fit(_sequence_fits(s)), LENGTH)
+    return _rolling_forecast(s)
 
 
 @query("seq_metrics")
 def seq_metrics(spark, d):
     s = hourly_split(spark, d)
-    best = sequence.best_fit(_sequence_fits(s))
-    return sequence.hourly_metrics(sequence.rolling_forecast(s, best, LENGTH))
+    return sequence.hourly_metrics(_rolling_forecast(s))
 
 
 @query("history_panel")

@@ -297,3 +297,15 @@ def test_tree_queries_give_both_kinds(spark, monkeypatch):
     assert {r.model for r in table.select("model").distinct().collect()} == kinds
     assert grids == {"random_forest": models.FOREST, "gradient_boosting": models.BOOST}
     assert min(models.BOOST["n_estimators"]) >= 10
+
+
+def test_sequence_queries_read_a_week(spark, hourly_frame):
+    assert models.sequence_length(split.split_last(hourly_frame(range(500)), 168, grain="hour")) == 168
+    assert models.sequence_length(split.split_last(hourly_frame(range(300)), 168, grain="hour")) == 24
+    rng = np.random.default_rng(0)
+    y = np.sin(np.arange(700) * 2 * np.pi / 168) + rng.normal(0, 0.1, 700)
+    marked = split.split_last(hourly_frame(y.tolist()), 168, grain="hour")
+    fits = models._sequence_fits(marked).collect()
+    want = sequence.search(sequence.sequence_grams(marked, 168), 168).collect()
+    assert fits == want
+    assert models._rolling_forecast(marked).where("lstm IS NOT NULL").count() == 168
