@@ -234,6 +234,19 @@ def test_neighbours_come_first():
     assert [u for u, _, _ in windows[1]] == [1, 3]
 
 
+def test_seeds_ask_with_all_tokens(documents):
+    """Here the tokens shared with the neighbour are lighter than 100 others of the seed."""
+    encoder = packing.Encoder(PATH, 2)
+    known = sorted(w for w in encoder.tokenizer.get_vocab() if len(w) > 5 and w.isascii() and w.isalpha() and w.islower())
+    known = [w for w in known if len(encoder.whole(w)) == 1][:1000]
+    own, shared, rest = known[:100], known[100:110], known[110:]
+    other = [rest[50 * i : 50 * i + 50] for i in range(6)]
+    texts = [own + shared, *other, shared * 10]
+    rows = packing.pack(documents([" ".join(t) for t in texts]).coalesce(1), PATH, window=212).collect()
+    place = {r.doc_id: r.sequence_id for r in rows}
+    assert place[0] == place[7] and sum(s == place[0] for s in place.values()) == 2
+
+
 def test_packing_edges(documents):
     assert packing.pack(documents([]), PATH).count() == 0
     rows = packing.pack(documents([(1, "x"), (1, "x"), (None, None)]), PATH, window=8).collect()

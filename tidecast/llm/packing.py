@@ -235,7 +235,7 @@ def statistics(tokens: DataFrame, end_id: int) -> tuple[int, int, dict[int, int]
 class Index:
     """BM25 postings of a shard's units, ordered by token."""
 
-    def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int):
+    def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None):
         held = [np.unique(u, return_counts=True) for u in units]
         sizes = np.array([len(t) for t, _ in held])
         owner = np.repeat(np.arange(len(units)), sizes)
@@ -260,7 +260,7 @@ class Index:
 
 
 def pack_units(
-    units: list[np.ndarray], idf: np.ndarray, mean: float, window: int, query_terms: int
+    units: list[np.ndarray], idf: np.ndarray, mean: float, window: int, query_terms: int | None
 ) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (unit, begin, end).
 
@@ -311,7 +311,7 @@ def pack(
     window: int = 4096,
     end_id: int = 2,
     units_per_shard: int = 2048,
-    query_terms: int = 64,
+    query_terms: int | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -324,9 +324,10 @@ def pack(
 
     Full windows of long documents are sequences of their own. The rest of each document joins a
     shard, by a hash of its number, of about ``units_per_shard`` units, so a task indexes a bounded
-    number of bounded units. A seed asks its shard's BM25 index with its ``query_terms`` heaviest
-    tokens; weights use document counts over all documents. ``tokenizer`` must be a path that every
-    executor can read.
+    number of bounded units. A seed asks its shard's BM25 index with all its tokens, or only the
+    ``query_terms`` heaviest if that is given; weights use document counts over all documents. Other
+    shards are not asked, so the best neighbours of a seed are those of its shard, not of the table.
+    ``tokenizer`` must be a path that every executor can read.
     """
     tokens = stage(tokenise(docs, tokenizer, window, end_id, doc_id, text), "tokens")
     n_docs, n_tokens, holding = statistics(tokens, end_id)
