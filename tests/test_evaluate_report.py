@@ -2,7 +2,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
-from conftest import METRIC_COLUMNS, published_path, published_table
+from published import METRIC_COLUMNS, published_path, published_table
 from pyspark.sql import functions as F
 
 from tidecast.functions.scalar import coerce_timestamp

@@ -3,7 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 from compare import connect, difference
-from conftest import TESTDATA
+from published import TESTDATA
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

@@ -2,7 +2,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import TESTDATA
+from published import TESTDATA
 from pyspark.sql import functions as F
 
 from catalog import models
@@ -198,7 +198,7 @@ def test_sequence_model(hourly_frame, chunk):
     table = sequence.search_table(fits).toPandas()
     wave_rows = table[table.series_id == "wave"]
     assert list(wave_rows["candidate"]) == [1, 2]
-    assert table[table.series_id == "short"]["error"].str.contains("no observations").all()
+    assert table[table.series_id == "short"]["error"].str.contains("validation part is empty").all()
     best = sequence.best_fit(fits)
     fc = sequence.rolling_forecast(marked, best, 24, chunk=chunk)
     row = sequence.hourly_metrics(fc).where("series_id = 'wave'").collect()[0]

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import SERIES_COLUMNS, published_table
+from published import SERIES_COLUMNS, published_table
 
 from tidecast.functions import numeric
 from tidecast.operators import features, stats
