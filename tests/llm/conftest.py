@@ -1,9 +1,8 @@
 import pytest
+from llm_tables import DOCS
 
 from tidecast.llm.common import shared_folder
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
 
 @pytest.fixture(scope="session", autouse=True)
 def folder(spark, tmp_path_factory):

@@ -27,7 +27,7 @@ def corpus(documents, n=60):
 
 
 def test_language(spark, documents):
-    from conftest import DOCS
+    from llm_tables import DOCS
 
     known = spark.createDataFrame(corpus(documents) + [(99, None, "xx", "s", 0), (98, "a b", None, "s", 0)], DOCS)
     model = langid.fit(known)
@@ -51,7 +51,7 @@ def test_language_edges(documents):
 
 
 def test_every_language_is_drawn(spark):
-    from conftest import DOCS
+    from llm_tables import DOCS
 
     rows = [(i, SAMPLES["en"], "en", "s", 0) for i in range(3000)]
     rows += [(5000 + i, f"{SAMPLES[x]} {i}", x, "s", 0) for x in ("de", "fr") for i in range(3)]
@@ -107,7 +107,7 @@ def test_documents_near_the_limit_are_searched(n, monkeypatch):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    from conftest import DOCS
+    from llm_tables import DOCS
 
     return lm.train(spark.createDataFrame(corpus(None, 240), DOCS))
 
