@@ -10,7 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import blobscan, chat, decontam, langid, lines, lm, packing, shards, simhash, topk
+from tidecast.llm import (
+    audit,
+    blobscan,
+    chat,
+    decontam,
+    langid,
+    lines,
+    lm,
+    packing,
+    quality,
+    shards,
+    simhash,
+    topk,
+    variants,
+)
 from tidecast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,3 +274,72 @@ def op2(spark, folder):
     coded = lm.code_texts(docs, lex.tokens, ["doc_id", "held_out"], "text")
     model = lm.fit(coded.where("NOT held_out"), counts, lex)
     return lm.score_coded(coded, model, ["doc_id", "held_out"])
+
+
+@query("op11_quality")
+def op11(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs, labels.where(remainder(5) != 0))
+    asked = docs.withColumn("held_out", remainder(5) == 0)
+    scored = quality.score(asked, model, threshold=0.3, carry=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+# The letters of an order are drawn one by one; the first document of a text is its smallest id.
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+lab AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good,
+         coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+flagged AS (
+  SELECT d.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         {'A': len(w) < 50,
+          'B': 100 * len(list_distinct(w)) < 65 * len(w),
+          'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'),
+          'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)} AS f
+  FROM doc d LEFT JOIN lab l ON d.doc_id = l.doc_id),
+fails AS (
+  SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x:
+    CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS failed
+  FROM flagged),
+sums AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM fails GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own,
+         string_split(left(filter_order, step - 1), '') AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+told AS (
+  SELECT part, filter_order, step, n, good, toxic, len(failed) AS k,
+         list_contains(failed, own) AS fails, step > 1 AND list_has_any(failed, before) AS gone
+  FROM sums, steps)
+SELECT part, filter_order, step::INTEGER AS step,
+  coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails AND k = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(k, 1))) FILTER (fails), 0)::BIGINT AS shapley
+FROM told GROUP BY part, filter_order, step"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark, folder):
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_spelling_variants")
+def op13(spark, folder):
+    return variants.spelling_variants(
+        table(spark, folder, "documents"), min_chars=6, min_count=5, ratio=5, damage=199
+    )
