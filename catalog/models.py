@@ -13,6 +13,7 @@ from catalog.base import (
 )
 from tidecast.operators import evaluate, features, report, sar, sequence, split, stats, trees
 from tidecast.schema import SEQUENCE_LENGTH, WEATHER_COLUMNS, predictors
+from tidecast.session import kept, ship_package
 
 SHAPE = sar.Shape()
 WEATHER_SHAPE = sar.Shape(covariates=tuple(f"{c}_scaled" for c in WEATHER_COLUMNS))
@@ -184,43 +185,39 @@ def _tree_rows(spark, d):
     return split.split_last(table, 104), predictors(table)
 
 
-# Short grids keep a registered query to some dozens of Spark ML jobs; trees.FOREST_GRID and
-# trees.BOOST_GRID stay the operators' defaults. Each series is tuned on all four folds.
-FOREST = {"n_estimators": [20], "max_depth": [4, 8], "min_samples_leaf": [3], "max_features": ["sqrt"]}
-BOOST = {"n_estimators": [10], "learning_rate": [0.1], "max_depth": [2, 3], "min_samples_leaf": [4]}
+def _tree_fits(spark, d, *kinds):
+    """The full published grids on four folds, every series; the grown trees' answers are stored."""
+    ship_package(spark)
+    s, names = _tree_rows(spark, d)
+    grids = {k: trees.GRIDS[k] for k in kinds or trees.GRIDS}
+    return s, names, grids, kept(trees.tree_fits(s, names, grids), "tree-fits")
+
+
+def _search(spark, d, kind):
+    _, _, grids, fits = _tree_fits(spark, d, kind)
+    return trees.tree_scores(fits, grids).drop("point")
 
 
 @query("rf_search")
 def rf_search(spark, d):
-    s, names = _tree_rows(spark, d)
-    return trees.search_by_series(s, names, "random_forest", grid=FOREST)[1]
+    return _search(spark, d, "random_forest")
 
 
 @query("gbt_search")
 def gbt_search(spark, d):
-    s, names = _tree_rows(spark, d)
-    return trees.search_by_series(s, names, "gradient_boosting", grid=BOOST)[1]
-
-
-GRIDS = {"random_forest": FOREST, "gradient_boosting": BOOST}
-
-
-def _searched(spark, d):
-    s, names = _tree_rows(spark, d)
-    return s, names, {k: trees.search_by_series(s, names, k, grid=g)[0] for k, g in GRIDS.items()}
+    return _search(spark, d, "gradient_boosting")
 
 
 @query("tree_forecast")
 def tree_forecast(spark, d):
     """The searched forest and the searched boosted trees of each series."""
-    return trees.forecasts_by_series(*_searched(spark, d))
+    s, _, grids, fits = _tree_fits(spark, d)
+    return trees.searched_forecasts(s, fits, trees.tree_scores(fits, grids), grids)
 
 
 def importance_table(spark, d):
-    _, names, models = _searched(spark, d)
-    return evaluate.union_tables(
-        *[trees.importances_by_series(spark, own, names, kind) for kind, own in models.items()]
-    )
+    _, names, grids, fits = _tree_fits(spark, d)
+    return trees.searched_importances(fits, trees.tree_scores(fits, grids), names)
 
 
 @query("tree_importance")
@@ -228,24 +225,13 @@ def tree_importance(spark, d):
     return importance_table(spark, d)
 
 
-SHORT_LENGTH = 24
-
-
-def sequence_length(s):
-    """A week of hours; a day for a table with no series that a week leaves a validation row."""
-    longest = s.agg(F.max("n_train")).first()[0] or 0
-    rows = int(max(longest - SEQUENCE_LENGTH, 0) * sequence.VALIDATION)
-    return SEQUENCE_LENGTH if rows else SHORT_LENGTH
-
-
-def _sequence_fits(s, length=None):
-    length = length or sequence_length(s)
-    return sequence.search(sequence.sequence_grams(s, length), length)
+def _sequence_fits(s):
+    """Sequences of a week of hours; a series too short for one has an error text and no forecast."""
+    return sequence.search(sequence.sequence_grams(s, SEQUENCE_LENGTH), SEQUENCE_LENGTH)
 
 
 def _rolling_forecast(s):
-    length = sequence_length(s)
-    return sequence.rolling_forecast(s, sequence.best_fit(_sequence_fits(s, length)), length)
+    return sequence.rolling_forecast(s, sequence.best_fit(_sequence_fits(s)), SEQUENCE_LENGTH)
 
 
 @query(

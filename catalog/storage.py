@@ -1,19 +1,18 @@
 """Given tables written to a folder of the run and read back through the readers."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.base import WEEKLY, query, rounded, table, weekly, with_sql
 from tidecast.operators import clean
+from tidecast.session import shared_folder
 from tidecast.sources import readers, sinks
 
 
 def run_folder(spark) -> str:
-    """A new folder below the shared one; a temporary one where none is named, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidecast-")
-    return f"{shared.rstrip('/')}/read-back-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/read-back-{uuid.uuid4().hex}"
 
 
 def _wide(spark, d):

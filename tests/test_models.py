@@ -1,12 +1,9 @@
-import os
-
 import numpy as np
 import pytest
-from published import TESTDATA
 from pyspark.sql import functions as F
 
 from catalog import models
-from tidecast.functions import numeric
+from tidecast.functions import growing, numeric
 from tidecast.operators import evaluate, sar, sequence, split, trees
 
 SHAPE = sar.Shape(season=12, max_p=2, max_q=2, long_lags=6)
@@ -255,57 +252,156 @@ def test_refit_uses_all_rows_of_the_order(spark, weekly_frame):
     assert counts.first().candidates == 2
 
 
-def test_trees_by_series_equal_single_runs(spark):
+def tree_table(spark, series, rows=60):
     rng = np.random.default_rng(2)
     rows = [
-        (name, i, float(a), float(b), float(f * a + b))
-        for name, f in (("p", 2.0), ("q", -3.0))
-        for i, (a, b) in enumerate(rng.normal(size=(60, 2)))
+        (name, i, float(a), float(round(b, 1)), float(f * a + b * b))
+        for name, f in series.items()
+        for i, (a, b) in enumerate(rng.normal(size=(rows, 2)))
     ]
     table = spark.createDataFrame(rows, "series_id string, i int, a double, b double, y double").selectExpr(
         "series_id", "timestampadd(WEEK, i, TIMESTAMP_NTZ '2020-01-05 00:00:00') AS ts", "a", "b", "y"
     )
-    marked = split.split_last(table, 10)
-    grid = {"n_estimators": [3], "max_depth": [2, 3], "min_samples_leaf": [1], "max_features": ["sqrt"]}
-    models, scores = trees.search_by_series(marked, ["a", "b"], "random_forest", grid=grid, splits=2)
-    both = trees.forecasts_by_series(marked, ["a", "b"], {"random_forest": models})
+    return split.split_last(table, 10)
+
+
+SMALL_GRIDS = {
+    "random_forest": {
+        "n_estimators": [3, 7], "max_depth": [2, None], "min_samples_leaf": [1, 4], "max_features": ["sqrt", 1.0]
+    },
+    "gradient_boosting": {
+        "n_estimators": [4, 9], "learning_rate": [0.1, 0.5], "max_depth": [1, 3], "min_samples_leaf": [1, 5]
+    },
+}
+
+
+def searched(marked, splits=2, **limits):
+    fits = trees.tree_fits(marked, ["a", "b"], SMALL_GRIDS, splits).cache()
+    scores = trees.tree_scores(fits, SMALL_GRIDS, splits)
+    forecast = trees.searched_forecasts(marked, fits, scores, SMALL_GRIDS)
+    return scores, forecast, trees.searched_importances(fits, scores, ["a", "b"])
+
+
+def as_rows(df, series):
+    cells = lambda r: [round(v, 9) if isinstance(v, float) else str(v) for v in r]
+    return sorted((cells(r) for r in df.where(F.col("series_id") == series).collect()), key=str)
+
+
+def slow_tree(x, y, w, depth, leaf, looked, path):
+    """A regression tree, node by node, as nested tuples (feature, cut, left, right) or a mean."""
+    mean = float((w * y).sum() / w.sum())
+    spread = lambda at: (w[at] * (y[at] - (w[at] * y[at]).sum() / w[at].sum()) ** 2).sum()
+    every = np.arange(len(y))
+    best = None
+    if depth and spread(every) > 1e-9:
+        for f in np.flatnonzero(growing.drawn_features(np.array([path], np.uint64), x.shape[1], looked)[0]):
+            values = np.unique(x[:, f])
+            for low, high in zip(values, values[1:]):
+                left, right = every[x[:, f] <= low], every[x[:, f] > low]
+                if min(len(left), len(right)) >= leaf:
+                    rest = spread(left) + spread(right)
+                    if best is None or rest < best[0] - 1e-7:
+                        best = rest, f, (low + high) / 2, left, right
+    if best is None or best[0] > spread(every) - 1e-7:
+        return mean
+    _, f, cut, left, right = best
+    keys = growing.mixed(np.uint64(path) + np.array([1, 2], np.uint64))
+    parts = [slow_tree(x[s], y[s], w[s], depth - 1, leaf, looked, k) for s, k in zip((left, right), keys)]
+    return f, cut, *parts
+
+
+def slow_answer(tree, q):
+    while isinstance(tree, tuple):
+        tree = tree[2] if q[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def slow_ensemble(kind, point, x, y, query):
+    if kind == "random_forest":
+        keys = growing.tree_keys(42, np.arange(point["n_estimators"]))
+        total = np.zeros(len(query))
+        for key, drawn in zip(keys, growing.bootstrap(keys, len(x))):
+            own = drawn > 0
+            depth, looked = point["max_depth"] or 99, trees.looked_at(point["max_features"], x.shape[1])
+            tree = slow_tree(x[own], y[own], drawn[own].astype(float), depth, point["min_samples_leaf"], looked, key)
+            total += [slow_answer(tree, q) for q in query]
+        return total / len(keys)
+    now, said = np.full(len(x), y.mean()), np.full(len(query), y.mean())
+    for _ in range(point["n_estimators"]):
+        tree = slow_tree(x, y - now, np.ones(len(x)), point["max_depth"], point["min_samples_leaf"], 9, 0)
+        now += point["learning_rate"] * np.array([slow_answer(tree, q) for q in x])
+        said += point["learning_rate"] * np.array([slow_answer(tree, q) for q in query])
+    return said
+
+
+def test_trees_equal_plain_python(spark):
+    """Every grid point on every fold, and the forecast of the best ones, node by node."""
+    marked = tree_table(spark, {"p": 2.0}, rows=40)
+    scores, forecast, importance = searched(marked)
+    data = marked.orderBy("pos").toPandas()
+    x, y = data[["a", "b"]].to_numpy(), data["y"].to_numpy()
+    got = {(r.model, r.point): r for r in scores.collect()}
+    assert len(got) == 16 + 16
+    for kind, grid in SMALL_GRIDS.items():
+        points, errors = trees.grid_points(grid), []
+        for i, point in enumerate(points):
+            folds = [(10, 20), (20, 30)]
+            said = [slow_ensemble(kind, point, x[:a], y[:a], x[a:b]) for a, b in folds]
+            errors.append(np.mean([np.sqrt(np.mean((y[a:b] - s) ** 2)) for (a, b), s in zip(folds, said)]))
+            assert got[kind, i].validation_rmse == pytest.approx(errors[-1])
+        want = slow_ensemble(kind, points[int(np.argmin(errors))], x[:30], y[:30], x[30:])
+        rows = forecast.orderBy("step").toPandas()
+        assert rows[kind].to_numpy() == pytest.approx(want)
+        assert rows["actual"].to_numpy() == pytest.approx(y[30:])
+    sums = importance.groupBy("model").agg(F.sum("importance").alias("s")).collect()
+    assert len(sums) == 2 and all(r.s == pytest.approx(1) for r in sums)
+
+
+def test_trees_of_many_series_equal_single_runs(spark):
+    marked = tree_table(spark, {"p": 2.0, "q": -3.0, "short": 1.0}, rows=60)
+    marked = marked.where("series_id <> 'short' OR pos <= 2")
+    together = searched(marked)
     for name in ("p", "q"):
-        alone = marked.where(F.col("series_id") == name)
-        model, scored = trees.search_trees(alone, ["a", "b"], "random_forest", grid, 2)
-        got = scores.where(F.col("series_id") == name).drop("series_id").collect()
-        assert got == scored.collect()
-        want = trees.tree_forecasts(alone, ["a", "b"], {"random_forest": model}).collect()
-        assert both.where(F.col("series_id") == name).collect() == want
-    with pytest.raises(ValueError, match="more than 1 series"):
-        trees.series_names(marked, 1)
-
-
-@pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.001"), reason="no test tables")
-def test_tree_queries_give_both_kinds(spark, monkeypatch):
-    """Each kind is searched with its own grid; a single small fit stands for the search here."""
-    folder, kinds, grids = f"{TESTDATA}/sf0.001", {"random_forest", "gradient_boosting"}, {}
-
-    def fitted(s, names, kind, grid):
-        grids[kind] = grid
-        point = trees.grid_points(grid)[0] | {"n_estimators": 2}
-        one = s.agg(F.min("series_id")).first()[0]
-        return {one: trees.fit_trees(s.where(F.col("series_id") == one), names, {kind: point})[kind]}, None
-
-    monkeypatch.setattr(trees, "search_by_series", fitted)
-    assert kinds <= set(models.tree_forecast(spark, folder).columns)
-    table = models.tree_importance(spark, folder)
-    assert {r.model for r in table.select("model").distinct().collect()} == kinds
-    assert grids == {"random_forest": models.FOREST, "gradient_boosting": models.BOOST}
-    assert min(models.BOOST["n_estimators"]) >= 10
-
-
-def test_sequence_queries_read_a_week(spark, hourly_frame):
-    assert models.sequence_length(split.split_last(hourly_frame(range(500)), 168, grain="hour")) == 168
-    assert models.sequence_length(split.split_last(hourly_frame(range(300)), 168, grain="hour")) == 24
+        alone = searched(marked.where(F.col("series_id") == name))
+        for a, b in zip(together, alone):
+            assert as_rows(a, name) == as_rows(b, name) != []
+    # A series without folds has no score, no forecast and no importance.
+    assert together[1].where("series_id = 'short' AND random_forest IS NOT NULL").count() == 0
+    assert searched(marked.limit(0))[0].count() == 0
+
+
+def test_tree_jobs_do_not_grow_with_series(spark):
+    """One shuffle of blocks whatever the number of series, and no limit on it."""
+    few, many = ({f"s{i}": 1.0 for i in range(n)} for n in (2, 150))
+    plans = [
+        trees.tree_fits(tree_table(spark, s, rows=20), ["a", "b"], SMALL_GRIDS, 2)._jdf.queryExecution().simpleString()
+        for s in (few, many)
+    ]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+    small = {"random_forest": {"n_estimators": [2], "max_depth": [2], "min_samples_leaf": [1], "max_features": [1.0]}}
+    fits = trees.tree_fits(tree_table(spark, many, rows=20), ["a", "b"], small, 2)
+    assert fits.select("series_id").distinct().count() == 150
+
+
+def test_tree_tasks_cover_the_grids():
+    tasks = trees.tree_tasks(trees.GRIDS)
+    for kind, grid in trees.GRIDS.items():
+        for i, point in enumerate(trees.grid_points(grid)):
+            own = sorted((a, b) for k, points, a, b in tasks if k == kind and i in points)
+            if kind == "random_forest":
+                assert sum(b - a for a, b in own) == point["n_estimators"] and own[-1][1] == point["n_estimators"]
+    # Depths and sizes share their trees: 6 families of 500 trees, and one set of chains.
+    assert sum(b - a for k, _, a, b in tasks if k == "random_forest") == 6 * 500
+    assert sum(k == "gradient_boosting" for k, *_ in tasks) == 1
+
+
+def test_sequence_queries_read_a_week(hourly_frame):
+    """The same length whatever the table: a series too short for it has its error row."""
     rng = np.random.default_rng(0)
     y = np.sin(np.arange(700) * 2 * np.pi / 168) + rng.normal(0, 0.1, 700)
-    marked = split.split_last(hourly_frame(y.tolist()), 168, grain="hour")
+    marked = split.split_last(hourly_frame({"long": y.tolist(), "short": y[:300].tolist()}), 168, grain="hour")
     fits = models._sequence_fits(marked).collect()
     want = sequence.search(sequence.sequence_grams(marked, 168), 168).collect()
     assert fits == want
-    assert models._rolling_forecast(marked).where("lstm IS NOT NULL").count() == 168
+    got = models._rolling_forecast(marked)
+    assert got.where("lstm IS NOT NULL").groupBy("series_id").count().collect() == [("long", 168)]

@@ -1,24 +1,28 @@
-"""Random-forest and boosted-tree forecasters on the feature table, with Spark ML.
+"""Random-forest and boosted-tree forecasters on the feature table.
 
-The ``*_by_series`` functions tune, fit and score one model per series, a bounded number of them;
-the others pool all rows they are given into one model. Folds are chronological within each series. Grid points are independent Spark jobs, so a few are
-submitted at a time to keep the cluster busy; only a score per job returns to the driver.
+``tree_fits`` and what reads its table tune one model per series, any number of series in one job:
+pieces of work (series, fold, block of trees) are dealt to tasks, and Spark adds up their answers.
+The other functions pool all rows they are given into one Spark ML model, for series too long for a
+task. Folds are chronological within each series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from itertools import product
 from statistics import fmean
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
+from tidecast.functions import growing
 from tidecast.operators.split import expanding_folds, test_rows, train_rows
 from tidecast.schema import SEED, SERIES, TS, Y
 
@@ -35,8 +39,17 @@ BOOST_GRID = {
     "max_depth": [2, 3],
     "min_samples_leaf": [1, 4],
 }
-# Deepest tree Spark ML grows; stands for "no limit".
+GRIDS = {"random_forest": FOREST_GRID, "gradient_boosting": BOOST_GRID}
+# Deepest tree Spark ML grows; stands for "no limit" there.
 DEEPEST = 30
+DEEP = 1 << 30  # no limit
+TREES_AT_ONCE = 300
+TASKS_PER_PARTITION = 16
+FITS = pa.schema(
+    [(SERIES, pa.string()), ("fold", pa.int32()), ("model", pa.string()), ("point", pa.int32())]
+    + [("pos", pa.list_(pa.int64())), ("actual", pa.list_(pa.float64()))]
+    + [("said", pa.list_(pa.float64())), ("importance", pa.list_(pa.float64()))]
+)
 SEARCH_SCHEMA = (
     "model string, n_estimators int, max_depth string, min_samples_leaf int, "
     "max_features string, learning_rate double, validation_rmse double"
@@ -134,54 +147,220 @@ def search_trees(
     return model, split.sparkSession.createDataFrame(rows, SEARCH_SCHEMA)
 
 
-def series_names(split: DataFrame, most: int = 64) -> list:
-    """The series of a table. A model per series is a set of Spark ML jobs, so there is a limit."""
-    names = [r[0] for r in split.select(SERIES).distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} series: pool them, or call in groups")
-    return sorted(names)
+def family(kind: str, point: dict) -> tuple:
+    """What grid points must share to be read off the same trees."""
+    if kind == "random_forest":
+        return point["min_samples_leaf"], point["max_features"]
+    return (kind,)
+
+
+def looked_at(wanted: str | float, features: int) -> int:
+    """How many features a node looks at."""
+    if wanted == "sqrt":
+        return max(1, int(features**0.5))
+    return max(1, int(float(wanted) * features))
 
 
-def search_by_series(
-    split: DataFrame, features: Sequence[str], kind: str, most: int = 64, **search
-) -> tuple[dict, DataFrame]:
-    """``search_trees`` for every series: {series: model}, and the scores with ``series_id``."""
-    models, scores = {}, []
-    for name in series_names(split, most):
-        own = split.where(F.col(SERIES) == name)
-        models[name], scored = search_trees(own, features, kind, **search)
-        scores.append(scored.select(F.lit(name).alias(SERIES), *scored.columns))
-    if not scores:
-        empty = split.sparkSession.createDataFrame([], f"{SERIES} string, {SEARCH_SCHEMA}")
-        return models, empty
-    return models, reduce(DataFrame.unionByName, scores)
+def tree_tasks(grids: dict[str, dict]) -> list[tuple[str, list[int], int, int]]:
+    """(kind, grid points, first tree, past the last) of every piece of work on a series and fold.
+
+    A forest of more trees or a lesser depth is read off the same trees, so points that share leaf
+    size and features share their trees, cut into blocks; each block names the points it counts
+    for. Boosted chains of all points of a fold are grown side by side.
+    """
+    out = []
+    for kind, grid in grids.items():
+        points = grid_points(grid)
+        for shared in dict.fromkeys(family(kind, p) for p in points):
+            own = [i for i, p in enumerate(points) if family(kind, p) == shared]
+            sizes = {i: int(points[i]["n_estimators"]) for i in own}
+            most = max(sizes.values())
+            if kind == "gradient_boosting":
+                out.append((kind, own, 0, most))
+                continue
+            cuts = sorted({0, *sizes.values(), *range(0, most, TREES_AT_ONCE)})
+            for begin, end in zip(cuts, cuts[1:]):
+                out.append((kind, [i for i in own if sizes[i] >= end], begin, end))
+    return out
+
+
+def fold_blocks(split: DataFrame, features: Sequence[str], splits: int) -> DataFrame:
+    """The rows of every series and fold as arrays, by position; fold 0 asks the test rows.
+
+    A table of weekly or daily features has at most a row per day and series, so a block is bounded
+    by the timestamp type.
+    """
+    named = split.na.drop(subset=[Y, *features])
+    train = train_rows(named)
+    folds = expanding_folds(train.withColumn("n", F.col("n_train")), splits).select(
+        SERIES, "fold", (F.col("fold_role") == "train").alias("learns"), "pos", Y, *features
+    )
+    marked = named.where("role IN ('train', 'test')")
+    last = marked.select(
+        SERIES, F.lit(0).alias("fold"), (F.col("role") == "train").alias("learns"), "pos", Y, *features
+    )
+    cells = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    rows = folds.unionByName(last).select(
+        SERIES, "fold", F.struct("pos", "learns", F.col(Y).cast("double").alias("y"), cells).alias("cell")
+    )
+    grouped = rows.groupBy(SERIES, "fold").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    return grouped.select(
+        SERIES,
+        "fold",
+        *[F.col(f"cells.{c}").alias(c) for c in ("pos", "learns", "y")],
+        F.flatten("cells.x").alias("x"),
+    )
 
 
-def forecasts_by_series(
-    split: DataFrame, features: Sequence[str], models: dict[str, dict]
+def tree_fits(
+    split: DataFrame,
+    features: Sequence[str],
+    grids: dict[str, dict] | None = None,
+    splits: int = 4,
+    seed: int = SEED,
 ) -> DataFrame:
-    """``tree_forecasts`` with the series' own models; ``models`` is {kind: {series: model}}."""
-    names = sorted(next(iter(models.values())))
-    parts = [
-        tree_forecasts(
-            split.where(F.col(SERIES) == n), features, {kind: own[n] for kind, own in models.items()}
+    """Grow the trees of every grid point on every fold and on all training rows of each series.
+
+    A row per series, fold, grid point and piece of work: the summed answers for the rows that the
+    fold asks, and the summed importances. One job for any number of series: the pieces of work are
+    dealt to tasks with the series' rows. The same trees grow whatever else is in the table.
+    """
+    grids = GRIDS if grids is None else grids
+    tasks, points = tree_tasks(grids), {k: grid_points(g) for k, g in grids.items()}
+    pieces = F.explode(F.sequence(F.lit(0), F.lit(len(tasks) - 1))).alias("task")
+    dealt = fold_blocks(split, features, splits).select("*", pieces)
+    tasks_wanted = TASKS_PER_PARTITION * int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks_wanted, SERIES, "fold", "task")
+    width = len(features)
+
+    def work(task: int, x: np.ndarray, y: np.ndarray, query: np.ndarray):
+        kind, own, begin, end = tasks[task]
+        some = [points[kind][i] for i in own]
+        if kind == "random_forest":
+            depths = {i: DEEP if p["max_depth"] is None else int(p["max_depth"]) for i, p in zip(own, some)}
+            count = looked_at(some[0]["max_features"], width)
+            leaf = int(some[0]["min_samples_leaf"])
+            got = growing.forest_block(
+                x, y, query, np.arange(begin, end), leaf, count, set(depths.values()), seed
+            )
+            for i, d in depths.items():
+                yield kind, i, *got[d]
+            return
+        chains = list(dict.fromkeys((p["learning_rate"], p["min_samples_leaf"], p["max_depth"]) for p in some))
+        rates, leaf, depth = (np.array(c) for c in zip(*chains))
+        sizes = {i: int(p["n_estimators"]) for i, p in zip(own, some)}
+        got = growing.boosted_chains(x, y, query, rates, leaf, depth, end, set(sizes.values()))
+        for i, p in zip(own, some):
+            chain = chains.index((p["learning_rate"], p["min_samples_leaf"], p["max_depth"]))
+            yield kind, i, *(part[chain] for part in got[sizes[i]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                x, y = np.array(r["x"], float).reshape(-1, width), np.array(r["y"], float)
+                learns, pos = np.array(r["learns"], bool), np.array(r["pos"])
+                if not learns.any() or learns.all():
+                    continue
+                for kind, point, said, importance in work(r["task"], x[learns], y[learns], x[~learns]):
+                    rows.append((r[SERIES], r["fold"], kind, point, pos[~learns], y[~learns], said, importance))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(FITS), FITS)], schema=FITS
+            )
+
+    return dealt.mapInArrow(run, from_arrow_schema(FITS))
+
+
+def tree_predictions(fits: DataFrame, grids: dict[str, dict] | None = None) -> DataFrame:
+    """``(series_id, fold, model, point, pos, actual, prediction)``: the answers of whole ensembles."""
+    grids = GRIDS if grids is None else grids
+    zipped = F.inline(F.arrays_zip("pos", "actual", "said"))
+    summed = (
+        fits.select(SERIES, "fold", "model", "point", zipped)
+        .groupBy(SERIES, "fold", "model", "point", "pos")
+        .agg(F.first("actual").alias("actual"), F.sum("said").alias("said"))
+    )
+    trees = points_table(fits.sparkSession, grids).select(
+        "model", "point", F.when(F.col("model") == "random_forest", F.col("n_estimators")).otherwise(1).alias("trees")
+    )
+    joined = summed.join(F.broadcast(trees), ["model", "point"])
+    return joined.select(
+        SERIES, "fold", "model", "point", "pos", "actual", (F.col("said") / F.col("trees")).alias("prediction")
+    )
+
+
+def points_table(spark: SparkSession, grids: dict[str, dict]) -> DataFrame:
+    """The grid points themselves: a few dozen rows made on the driver from the grids."""
+    rows = [
+        (
+            kind,
+            i,
+            int(p["n_estimators"]),
+            str(p["max_depth"]),
+            int(p["min_samples_leaf"]),
+            None if "max_features" not in p else str(p["max_features"]),
+            p.get("learning_rate"),
         )
-        for n in names
+        for kind, grid in grids.items()
+        for i, p in enumerate(grid_points(grid))
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return spark.createDataFrame(rows, SEARCH_SCHEMA.replace("model string", "model string, point int").rsplit(",", 1)[0])
+
 
+def tree_scores(fits: DataFrame, grids: dict[str, dict] | None = None, splits: int = 4) -> DataFrame:
+    """``series_id, point`` and the columns of the search table, with every point's mean fold RMSE.
 
-def importances_by_series(
-    spark: SparkSession, models: dict, features: Sequence[str], kind: str
+    A series whose folds are not all there, for want of rows, has no score.
+    """
+    grids = GRIDS if grids is None else grids
+    folds = tree_predictions(fits, grids).where("fold > 0")
+    error = F.col("actual") - F.col("prediction")
+    by_fold = folds.groupBy(SERIES, "model", "point", "fold").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    mean = F.when(F.count("rmse") == splits, F.avg("rmse")).alias("validation_rmse")
+    scored = by_fold.groupBy(SERIES, "model", "point").agg(mean)
+    named = points_table(fits.sparkSession, grids)
+    return scored.join(F.broadcast(named), ["model", "point"]).select(
+        SERIES, "point", *[c.split()[0] for c in SEARCH_SCHEMA.split(", ")]
+    )
+
+
+def best_points(scores: DataFrame) -> DataFrame:
+    """``(series_id, model, point)`` with the least score of each kind; ties to the first point."""
+    first = F.min(F.struct("validation_rmse", "point"))
+    known = scores.where("validation_rmse IS NOT NULL")
+    return known.groupBy(SERIES, "model").agg(first["point"].alias("point"))
+
+
+def searched_forecasts(
+    split: DataFrame, fits: DataFrame, scores: DataFrame, grids: dict[str, dict] | None = None
 ) -> DataFrame:
-    """``importances`` of every series' model, with ``series_id``."""
-    parts = [
-        importances(spark, model, features, kind).select(
-            F.lit(name).alias(SERIES), "feature", "importance", "model"
-        )
-        for name, model in models.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """``series_id, ts, step, actual`` and the answer of each kind's best point, NULL without one."""
+    grids = GRIDS if grids is None else grids
+    best = best_points(scores)
+    told = tree_predictions(fits, grids).where("fold = 0").join(best, [SERIES, "model", "point"])
+    columns = [F.max(F.when(F.col("model") == k, F.col("prediction"))).alias(k) for k in grids]
+    wide = told.groupBy(SERIES, "pos").agg(*columns)
+    rows = test_rows(split).select(SERIES, "pos", TS, "step", F.col(Y).alias("actual"))
+    return rows.join(wide, [SERIES, "pos"], "left").select(SERIES, TS, "step", "actual", *grids)
+
+
+def searched_importances(fits: DataFrame, scores: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``series_id, feature, importance, model`` of each best point; a model's sum to one."""
+    best = best_points(scores)
+    last = fits.where("fold = 0").join(best, [SERIES, "model", "point"])
+    summed = (
+        last.select(SERIES, "model", F.posexplode("importance").alias("nth", "part"))
+        .groupBy(SERIES, "model", "nth")
+        .agg(F.sum("part").alias("part"))
+    )
+    total = summed.groupBy(SERIES, "model").agg(F.sum("part").alias("total"))
+    names = F.array(*[F.lit(f) for f in features])
+    return summed.join(total, [SERIES, "model"]).select(
+        SERIES,
+        F.get(names, F.col("nth")).alias("feature"),
+        F.coalesce(F.try_divide("part", "total"), F.lit(0.0)).alias("importance"),
+        "model",
+    )
 
 
 def fit_trees(

@@ -244,29 +244,26 @@ def run_trees(
     """Tune both ensembles on every series, forecast, score, and report importances."""
     table = study.read("weekly_features")
     names = predictors(table)
-    wanted = ("feature_forecasts", "feature_metrics", "feature_importance", "feature_search")
-    if not study.force and all(study.has(t) for t in wanted):
-        return {t: study.read(t) for t in wanted}
     marked = split.split_last(table, study.horizon)
-    models, scores = {}, []
-    for kind, grid in (("random_forest", forest_grid), ("gradient_boosting", boost_grid)):
-        models[kind], scored = trees.search_by_series(
-            marked, names, kind, grid=grid, splits=splits
-        )
-        scores.append(scored)
-    forecast = trees.forecasts_by_series(marked, names, models)
-    write_table(forecast, study.path("feature_forecasts"))
-    forecasts = study.read("feature_forecasts")
-    tables = {
-        "feature_metrics": evaluate.evaluate(forecasts, marked, study.season),
-        "feature_importance": evaluate.union_tables(
-            *[trees.importances_by_series(study.spark, m, names, k) for k, m in models.items()]
+    grids = {
+        "random_forest": forest_grid or trees.FOREST_GRID,
+        "gradient_boosting": boost_grid or trees.BOOST_GRID,
+    }
+    fits = study.keep("feature_fits", lambda: trees.tree_fits(marked, names, grids, splits))
+    search = study.keep("feature_search", lambda: trees.tree_scores(fits, grids, splits))
+    forecasts = study.keep(
+        "feature_forecasts", lambda: trees.searched_forecasts(marked, fits, search, grids)
+    )
+    return {
+        "feature_forecasts": forecasts,
+        "feature_metrics": study.keep(
+            "feature_metrics", lambda: evaluate.evaluate(forecasts, marked, study.season)
+        ),
+        "feature_importance": study.keep(
+            "feature_importance", lambda: trees.searched_importances(fits, search, names)
         ),
-        "feature_search": evaluate.union_tables(*scores),
+        "feature_search": search,
     }
-    for name, result in tables.items():
-        write_table(result, study.path(name))
-    return {t: study.read(t) for t in wanted}
 
 
 def run_sequence(study: Study, name: str = "lstm") -> dict[str, DataFrame]:

@@ -6,8 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
@@ -40,6 +41,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``checkpoint_folder``; a session on one machine alone gets a folder there where none is named."""
+    master = spark.sparkContext.master
+    if master.split("[")[0] == "local" and not spark.conf.get("spark.checkpoint.dir", None):
+        if not hasattr(spark.sparkContext, "_tidecast_folder"):
+            spark.sparkContext._tidecast_folder = tempfile.mkdtemp(prefix="tidecast-")
+        return spark.sparkContext._tidecast_folder
+    return checkpoint_folder(spark).rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several results read, to a folder of its own below the shared one."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, like ``--py-files`` does."""
     context = spark.sparkContext
