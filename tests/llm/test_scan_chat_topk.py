@@ -54,7 +54,31 @@ def test_ledger_is_incremental(documents, monkeypatch):
     found = blobscan.findings(later, first.union(more)).collect()
     assert {r.doc_id: len(r.spans) for r in found} == {9: 1, 10: 1}
     monkeypatch.setitem(blobscan.RULES, "jwt", ("eyJ", 0))
-    assert blobscan.scan_unseen(documents(TEXTS), first).count() == 4
+    again = blobscan.scan_unseen(documents(TEXTS), first).collect()
+    # One rule has changed: every blob is scanned for that rule alone.
+    assert len(again) == 4 and {tuple(r.rule_versions) for r in again} == {(blobscan.rule_versions()["jwt"],)}
+
+
+def test_stored_ledger(documents, tmp_path, monkeypatch):
+    """Versions of a path are rows; each run scans the pairs that no run before it has seen."""
+    path, spans = str(tmp_path / "ledger"), lambda rows: sorted((str(r.doc_id), str(r.version), str(r.spans)) for r in rows.collect())
+    history = documents([(1, "token: aaaaaaaaaaaa"), (1, "clean now"), (2, TEXTS[4]), (2, None)]).selectExpr("*", "length(text) AS version")
+    ledger = blobscan.update_ledger(history, path)
+    assert ledger.count() == 4
+    fresh = blobscan.scan_unseen(history)
+    assert spans(blobscan.findings(history, ledger)) == spans(blobscan.findings(history, fresh))
+    assert blobscan.update_ledger(history, path).count() == 4
+    more = history.union(documents([(3, "ghp_" + "A" * 36), (3, "clean now")]).selectExpr("*", "9 AS version"))
+    assert blobscan.update_ledger(more, path).count() == 5
+    monkeypatch.setitem(blobscan.RULES, "word", ("clean|token", 0))
+    ledger = blobscan.update_ledger(more, path)
+    assert ledger.count() == 10
+    fresh = blobscan.findings(more, blobscan.scan_unseen(more))
+    assert spans(blobscan.findings(more, ledger)) == spans(fresh)
+    first = next(r for r in fresh.collect() if r.doc_id == 1 and r.version == 19)
+    assert [s.kind for s in first.spans] == ["assign", "word"]
+    monkeypatch.delitem(blobscan.RULES, "assign")
+    assert all(s.kind != "assign" for r in blobscan.findings(more, ledger).collect() for s in r.spans)
 
 
 def test_findings_of_all_paths(documents):
@@ -85,19 +109,27 @@ def test_rotation(spark):
     bob = got[1, "bob"]
     assert [bob.rendered[a:b] for a, b in bob.masks] == ["yo<|im_end|>"]
     assert (ann.n_turns, ann.n_own, bob.n_own) == (4, 2, 1)
-    assert got[2, None].masks == [] and got[3, "unknown"].part is None
+    assert got[2, None].masks == [] and got[3, "unknown"].part == 0 and ann.begins == 0
     assert chat.rotate(dialogue(spark, [])).count() == 0
 
 
-def test_rotation_in_parts(spark):
-    rows = [(7, i, f"p{i % 3}", f"t{i}") for i in range(50)] * 2
-    whole = {r.speaker: r for r in chat.rotate(dialogue(spark, rows)).collect()}
-    parts = chat.rotate(dialogue(spark, rows), part_turns=8).orderBy("part").collect()
-    for who, one in whole.items():
-        own = [r for r in parts if r.speaker == who]
-        assert "".join(r.rendered for r in own) == one.rendered and one.n_turns == 100
-        cut = [r.rendered[a:b] for r in own for a, b in r.masks]
-        assert cut == [one.rendered[a:b] for a, b in one.masks]
+@pytest.mark.parametrize("number", ["turn", "1000 * turn", "NULL", "turn div 7", "-turn"])
+def test_rotation_in_parts(spark, number):
+    """Cut by position, whatever the numbers; short conversations stay whole."""
+    rows = [(7, i, f"p{i % 3}", f"t{i % 11}") for i in range(50)] * 2 + [(8, i, "a", "x") for i in range(8)]
+    rows += [(None, 5, None, None)] * 30
+    turns = dialogue(spark, rows).selectExpr("conv_id", f"CAST({number} AS BIGINT) AS turn", "role", "text")
+    whole = {(r.conv_id, r.speaker): r for r in chat.rotate(turns).collect()}
+    parts = chat.rotate(turns, part_turns=8).orderBy("part").collect()
+    assert {(r.conv_id, r.speaker) for r in parts} == set(whole)
+    for (conv, who), one in whole.items():
+        own = [r for r in parts if (r.conv_id, r.speaker) == (conv, who)]
+        assert [r.part for r in own] == list(range(-(-one.n_turns // 8)))
+        assert all(r.n_turns == 8 for r in own[:-1])
+        assert "".join(r.rendered for r in own) == one.rendered
+        assert [tuple(m) for r in own for m in r.masks] == [tuple(m) for m in one.masks]
+        assert all(one.rendered[r.begins :].startswith(r.rendered) for r in own)
+    assert sum(r.conv_id == 8 for r in parts) == 1
 
 
 def slow_top(rows, k, every):

@@ -121,3 +121,12 @@ def test_lines_of_a_long_text(documents):
     long = next(r for r in got if r.doc_id == 0)
     assert (long.n_lines, long.n_dropped) == (4000, 2000)
     assert long.text.split("\n") == [f"own {i}" for i in range(1, 4000, 2)]
+
+
+def test_lines_count_documents_not_rows(documents):
+    """Rows of one id are one document, and so are all rows without an id."""
+    docs = documents([(1, f"same\nown {i}") for i in range(10)] + [(None, "none\nx")] * 10 + [(2, "none"), (3, "none")])
+    got = lines.drop_common_lines(docs, min_documents=3).collect()
+    assert [r.n_dropped for r in got if r.doc_id == 1] == [0] * 10
+    assert [(r.text, r.n_dropped) for r in got if r.doc_id is None] == [("x", 1)] * 10
+    assert all(r.n_dropped == 1 for r in got if r.doc_id in (2, 3))

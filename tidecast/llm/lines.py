@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import BLANKS, ascii_lower, checkpointed, same
+from tidecast.llm.common import BLANKS, ascii_lower, checkpointed, same, stage
 
 
 def line_key(line: Column) -> Column:
@@ -23,8 +23,9 @@ def drop_common_lines(
     """All rows and columns, ``text`` without common lines, plus ``n_lines`` and ``n_dropped``.
 
     A line is common when its key has ``min_chars`` code points and occurs in ``min_documents``
-    rows. A missing or empty text is one empty line and comes back empty. Every input row counts
-    as one document, repeated ones too. Columns named ``n_lines`` or ``n_dropped`` are replaced.
+    documents, told apart by id: rows of one id are one document, and so are all rows without an id.
+    A missing or empty text is one empty line and comes back empty. Every input row comes back,
+    repeated ones too. Columns named ``n_lines`` or ``n_dropped`` are replaced.
 
     Keys travel as 128-bit digests. Lines are numbered in their text; the positions to drop meet
     the text again by document id and text hash, so texts are shuffled once and lines never.
@@ -41,9 +42,10 @@ def drop_common_lines(
             F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_of"), digest.alias("_keys")
         )
     )
-    # Stored, so that both sides of the join below are dealt for the join alone and a line that
-    # most documents share can be split over tasks.
-    common = checkpointed(
+    # A line in as many documents is in as many rows: few keys are left to count by document.
+    # Keys are stored, so that both sides of a join are dealt for it alone and a line that most
+    # documents share can be split over tasks.
+    often = checkpointed(
         hashed.select(F.explode(F.array_distinct("_keys")).alias("_key"))
         .where("_key IS NOT NULL")
         .groupBy("_key")
@@ -51,13 +53,17 @@ def drop_common_lines(
         .where(F.col("_rows") >= min_documents)
         .select("_key")
     )
-    gone = (
-        hashed.select("_id", "_of", F.posexplode("_keys").alias("_pos", "_key"))
-        .where("_key IS NOT NULL")
-        .join(common, "_key")
-        .groupBy("_id", "_of")
-        .agg(F.collect_set("_pos").alias("_gone"))
+    placed = hashed.select("_id", "_of", F.posexplode("_keys").alias("_pos", "_key"))
+    met = stage(placed.where("_key IS NOT NULL").join(often, "_key"), "common-lines")
+    common = checkpointed(
+        met.select("_key", "_id")
+        .distinct()
+        .groupBy("_key")
+        .agg(F.count(F.lit(1)).alias("_documents"))
+        .where(F.col("_documents") >= min_documents)
+        .select("_key")
     )
+    gone = met.join(common, "_key").groupBy("_id", "_of").agg(F.collect_set("_pos").alias("_gone"))
     # Whole rows travel as one struct: their column names cannot clash with those used here.
     placed = whole.select(
         F.struct(*[F.col(f"`{c}`") for c in whole.columns]).alias("_row"),

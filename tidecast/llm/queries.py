@@ -5,6 +5,7 @@ Each query reads whole tables, runs its operator and derives the columns of its
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from tidecast.llm import (
     topk,
     variants,
 )
+from tidecast.llm.common import shared_folder
 from tidecast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +70,8 @@ line AS (
   FROM split),
 keyed AS (SELECT *, {LOWER_SQL.format(f"trim(line, {BLANK_SQL})")} AS key FROM line),
 common AS (
-  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key
+  HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 10)
 SELECT doc_id, max(n)::BIGINT AS n_lines,
        count(*) FILTER (c.key IS NOT NULL)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), ''))
@@ -154,7 +157,8 @@ def op10(spark, folder):
 @query("op5_secret_scan")
 def op5(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = blobscan.findings(docs, blobscan.scan_unseen(docs))
+    ledger = blobscan.update_ledger(docs, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    found = blobscan.findings(docs, ledger)
     base = F.filter("spans", lambda s: s["kind"].isin(*blobscan.BASE))
     named = lambda spans: F.array_join(
         F.transform(
@@ -174,8 +178,11 @@ def op5(spark, folder):
 
 OP6_SQL = f"""
 WITH named AS (
-  SELECT conv_id, CAST(floor(turn / {chat.PART}) AS BIGINT) AS part, turn,
-         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations),
+placed AS (
+  SELECT *, (row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1)::BIGINT AS pos FROM named),
 speakers AS (
   SELECT DISTINCT c.conv_id, s.role AS speaker
   FROM (SELECT DISTINCT conv_id FROM named) c
@@ -185,19 +192,19 @@ shown AS (
   SELECT n.*, speaker, coalesce(role = speaker, false) AS own,
          '{chat.OPEN}' || CASE WHEN coalesce(role = speaker, false) THEN 'assistant'
            WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
-  FROM named n JOIN speakers s ON n.conv_id = s.conv_id),
-placed AS (
+  FROM placed n JOIN speakers s ON n.conv_id = s.conv_id),
+pieces AS (
   SELECT *, head || text || '{chat.CLOSE}' || chr(10) AS piece,
          coalesce(sum(length(head || text || '{chat.CLOSE}' || chr(10))) OVER (
-           PARTITION BY conv_id, part, speaker ORDER BY turn, role, text
+           PARTITION BY conv_id, speaker ORDER BY pos
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
   FROM shown)
-SELECT conv_id, part, speaker, count(*)::BIGINT AS n_turns,
-       count(*) FILTER (own)::BIGINT AS n_own,
-       string_agg(piece, '' ORDER BY turn, role, text) AS rendered,
+SELECT conv_id, pos // {chat.PART} AS part, speaker, count(*)::BIGINT AS n_turns,
+       count(*) FILTER (own)::BIGINT AS n_own, min(begins)::BIGINT AS begins,
+       string_agg(piece, '' ORDER BY pos) AS rendered,
        coalesce(string_agg((begins + length(head))::VARCHAR || ':' ||
          (begins + length(piece) - 1)::VARCHAR, ',' ORDER BY begins) FILTER (own), '') AS masks
-FROM placed GROUP BY conv_id, part, speaker"""
+FROM pieces GROUP BY conv_id, pos // {chat.PART}, speaker"""
 
 
 @query("op6_chat_formatting", OP6_SQL)
@@ -290,7 +297,8 @@ def op11(spark, folder):
 OP12_SQL = r"""
 WITH doc AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 lab AS (
   SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good,
          coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
