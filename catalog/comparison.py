@@ -9,16 +9,19 @@ from catalog.base import (
     MODEL,
     SPLIT,
     WEEK,
+    WEEKLY,
     hourly_split,
     model_rows,
     query,
     rounded,
+    split_sql,
     table,
     weekly_split,
     with_sql,
 )
 from catalog.forecasting import EVALUATED
-from tidecast.operators import baselines, evaluate, features, resample, sar
+from catalog.models import FIRST_ORDER_SQL, sar_first_order_forecast
+from tidecast.operators import baselines, evaluate, features, resample, sar, split
 from tidecast.schema import WEATHER_COLUMNS
 
 ORDERS_WEEKLY = f"""orders_weekly AS (
@@ -60,20 +63,61 @@ def join_suffix(spark, d):
     return _second(spark, d).join(right, "ts").select("series_id", "ts", "lstm", "actual_benchmark")
 
 
+# One covariate and no lags have a closed form too: a regression on the scaled weekly temperature.
+WARM = sar.Shape(covariates=("temp_mean_scaled",))
+
+
+def _warm_forecast(spark, d):
+    scaled = split.standardise(split.split_last(model_rows(spark, d), 104), ["temp_mean"])
+    orders = scaled.select("series_id").distinct().withColumns({c: F.lit(0) for c in sar.ORDER})
+    fits = sar.refit(scaled, orders.withColumn("long_beta", F.array(*[F.lit(0.0)] * WARM_BETA)), WARM)
+    return sar.forecast(scaled, fits.where("aic IS NOT NULL"), WARM, 104, "sarimax")
+
+
+# The lags of the long pass, which an order without moving averages does not read.
+WARM_BETA = len(WARM.covariates) + len(WARM.residual_lags(0))
+
+
 @query(
     "all_forecasts",
     with_sql(
-        BASELINES + ", " + ORDERS_WEEKLY,
+        BASELINES
+        + FIRST_ORDER_SQL.format(0).removeprefix(SPLIT)
+        + ", "
+        + MODEL.removeprefix(WEEKLY + ", ")
+        + ", "
+        + split_sql("model", 104, "warm")
+        + ", "
+        + ORDERS_WEEKLY
+        + """, ar AS (
+  SELECT t.series_id, t.ts, power(phi, t.step) * s.y AS sarima
+  FROM split t JOIN g ON g.series_id = t.series_id AND g.d = 0
+  JOIN split s ON s.series_id = t.series_id AND s.pos = t.n_train WHERE t.role = 'test'),
+scaled AS (
+  SELECT series_id, ts, role, y, (temp_mean - avg(temp_mean) FILTER (role = 'train') OVER all_rows)
+    / NULLIF(stddev_samp(temp_mean) FILTER (role = 'train') OVER all_rows, 0) AS x
+  FROM warm WINDOW all_rows AS (PARTITION BY series_id)),
+slopes AS (
+  SELECT series_id, sum(x * y) / sum(x * x) AS gamma FROM scaled WHERE role = 'train' GROUP BY 1),
+warmed AS (
+  SELECT series_id, ts, gamma * x AS sarimax FROM scaled JOIN slopes USING (series_id)
+  WHERE role = 'test')""",
         f"""SELECT f.series_id, f.ts, {rounded('actual', 'mean', 'naive', 'seasonal_naive', 'drift')},
-  round(f.drift - f.mean, 6) AS sarima, round(f.naive + 1, 6) AS sarimax,
+  round(a.sarima, 6) AS sarima, round(w.sarimax, 6) AS sarimax,
   round(o.lstm, 6) AS lstm_weekly
-FROM fc f LEFT JOIN orders_weekly o ON o.ts = f.ts""",
+FROM fc f LEFT JOIN ar a ON a.series_id = f.series_id AND a.ts = f.ts
+LEFT JOIN warmed w ON w.series_id = f.series_id AND w.ts = f.ts
+LEFT JOIN orders_weekly o ON o.ts = f.ts""",
     ),
 )
 def all_forecasts(spark, d):
+    """Baselines, a fitted autoregression and a fitted model with weather, side by side.
+
+    ``lstm_weekly`` is another table's weekly mean: the sequence model has no closed form in SQL.
+    """
     f = _forecasts(spark, d)
-    sarima = f.select("series_id", "ts", (F.col("drift") - F.col("mean")).alias("sarima"))
-    sarimax = f.select("series_id", "ts", (F.col("naive") + 1).alias("sarimax"))
+    sarima = sar_first_order_forecast(spark, d).select("series_id", "ts", "sarima")
+    sarimax = _warm_forecast(spark, d).select("series_id", "ts", "sarimax")
     series = f.select("series_id", "ts")
     lstm = series.join(_second(spark, d).withColumnRenamed("lstm", "lstm_weekly"), "ts")
     return evaluate.combine_forecasts(f.drop("step"), sarima, sarimax, lstm)

@@ -11,7 +11,7 @@ from catalog.base import (
     weekly_split,
     with_sql,
 )
-from tidecast.operators import evaluate, features, report, sar, sequence, split, stats, trees
+from tidecast.operators import evaluate, exact, features, report, sar, sequence, split, stats, trees
 from tidecast.schema import SEQUENCE_LENGTH, WEATHER_COLUMNS, predictors
 from tidecast.session import kept, ship_package
 
@@ -152,6 +152,52 @@ def sar_best(spark, d):
     return sar.best_summary(sar.best_candidates(sar.two_stage_search(weekly_split(spark, d), SHAPE)))
 
 
+def _exact(spark, d):
+    """The searched order of each series, fitted on exact residuals; the fit is stored."""
+    s = weekly_split(spark, d)
+    return s, kept(exact.refine(s, kept(_refitted(s, SHAPE), "refit"), SHAPE), "exact-fits")
+
+
+@query("sar_exact_fit")
+def sar_exact_fit(spark, d):
+    """What exact residuals make of the searched orders: scores and estimates."""
+    fits = _exact(spark, d)[1]
+    return fits.select(
+        "series_id", *sar.ORDER, "aic", "bic", "sigma2", "observations", "converged",
+        F.concat_ws(",", F.transform("estimates", lambda e: F.format_number(e, 4))).alias("estimates"),
+    )
+
+
+@query("sar_exact_forecast")
+def sar_exact_forecast(spark, d):
+    s, fits = _exact(spark, d)
+    left = exact.exact_residuals(s, fits, SHAPE)
+    return sar.forecast(s, fits, SHAPE, 104, shocks=left)
+
+
+@query("sar_exact_diagnostics")
+def sar_exact_diagnostics(spark, d):
+    s, fits = _exact(spark, d)
+    return stats.residual_diagnostics(exact.exact_residuals(s, fits, SHAPE))
+
+
+EXACT_AR_SQL = FIRST_ORDER_SQL.format(0) + """, f AS (
+  SELECT t.series_id, t.ts, t.pos, t.y - phi * s.y AS y
+  FROM split t JOIN g ON g.series_id = t.series_id AND g.d = 0
+  JOIN split s ON s.series_id = t.series_id AND s.pos = t.pos - 1 WHERE t.role = 'train')"""
+
+
+@query(
+    "sar_exact_residuals",
+    with_sql(EXACT_AR_SQL, "SELECT series_id, ts, pos, round(y, 6) AS y FROM f"),
+)
+def sar_exact_residuals(spark, d):
+    """Of a first-order autoregression, whose least squares SQL can write down."""
+    s = weekly_split(spark, d)
+    fits = kept(exact.refine(s, kept(_refitted(s, SHAPE, FIRST_ORDER[:1]), "refit"), SHAPE), "exact-fits")
+    return exact.exact_residuals(s, fits, SHAPE)
+
+
 @query("sar_forecast")
 def sar_forecast(spark, d):
     s = weekly_split(spark, d)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import models
 from tidecast.functions import growing, numeric
-from tidecast.operators import evaluate, sar, sequence, split, trees
+from tidecast.operators import evaluate, exact, sar, sequence, split, trees
 
 SHAPE = sar.Shape(season=12, max_p=2, max_q=2, long_lags=6)
 GRID = dict(p=[0, 1], d=[0, 1], q=[0, 1], sp=[0, 1], sd=[0, 1], sq=[0, 1])
@@ -155,6 +155,80 @@ def test_residuals_match_sigma(weekly_frame):
     assert (left["y"] ** 2).mean() == pytest.approx(row.sigma2)
 
 
+def slow_residuals(y, order, theta, season):
+    """The recursion row by row, from zeros before the first usable row."""
+    p, d, q, sp, sd, sq = order
+    for _ in range(d):
+        y = np.r_[np.nan, y[1:] - y[:-1]]
+    for _ in range(sd):
+        y = np.r_[[np.nan] * season, y[season:] - y[:-season]]
+    phi, rest = theta[:p], theta[p:]
+    big, small = (rest[0] if sp else 0.0), rest[sp : sp + q]
+    large = rest[sp + q] if sq else 0.0
+    first = d + sd * season + p + sp * season
+    e = np.zeros(len(y))
+    at = lambda x, t: x[t] if t >= 0 else 0.0
+    for t in range(first, len(y)):
+        value = y[t]
+        for i, a in enumerate(phi, 1):
+            value -= a * y[t - i] - (a * big * y[t - season - i] if sp else 0.0)
+        value -= big * y[t - season] if sp else 0.0
+        for i, a in enumerate(small, 1):
+            value -= a * at(e, t - i) + a * large * at(e, t - season - i)
+        e[t] = value - large * at(e, t - season)
+    return e[first:]
+
+
+@pytest.mark.parametrize("order", [(1, 0, 2, 1, 0, 1), (0, 1, 1, 0, 1, 1), (2, 0, 0, 0, 0, 0)])
+def test_exact_residuals(weekly_frame, order):
+    """Equal to the plain recursion, whatever the chunks; a lower sum of squares than the long pass."""
+    y = seasonal_series(170)
+    marked = split.split_last(weekly_frame({"s": y, "t": -2 * y[::-1]}), 20)
+    rough = sar.refit(marked, sar.search_orders(marked, [order], SHAPE), SHAPE)
+    fits = exact.refine(marked, rough, SHAPE).orderBy("series_id").collect()
+    other = exact.refine(marked, rough, SHAPE, chunk=17).orderBy("series_id").collect()
+    spark = marked.sparkSession
+    for chunk in (9, 64, 4096):
+        left = exact.exact_residuals(marked, spark.createDataFrame(fits, exact.FIT_SCHEMA), SHAPE, chunk).toPandas()
+        for fit, values in zip(fits, (y, -2 * y[::-1])):
+            got = left[left.series_id == fit.series_id].sort_values("pos")["y"].to_numpy()
+            assert got == pytest.approx(slow_residuals(values[:150], order, np.array(fit.estimates), 12), abs=1e-9)
+            assert (got**2).mean() == pytest.approx(fit.sigma2)
+    for fit, same, before, values in zip(fits, other, rough.orderBy("series_id").collect(), (y, -2 * y[::-1])):
+        assert fit.converged and same.estimates == pytest.approx(fit.estimates, abs=1e-6)
+        start = slow_residuals(values[:150], order, np.array(before.estimates), 12)
+        assert fit.sigma2 * fit.observations <= (start**2).sum() * (1 + 1e-9)
+        # No small move is any better: the least squares are reached.
+        for i in range(len(fit.estimates)):
+            for move in (1e-3, -1e-3):
+                moved = np.array(fit.estimates) + move * (np.arange(len(fit.estimates)) == i)
+                assert (slow_residuals(values[:150], order, moved, 12) ** 2).sum() >= fit.sigma2 * fit.observations * (1 - 1e-6)
+
+
+def test_exact_covariates_and_forecast(weekly_frame):
+    rng = np.random.default_rng(4)
+    x, e = rng.normal(size=220), rng.normal(size=221) * 0.3
+    y = 3 * x + e[1:] + 0.6 * e[:-1]
+    df = weekly_frame({"a": y}).join(weekly_frame({"a": x}).withColumnRenamed("y", "x"), ["series_id", "ts"])
+    shape = sar.Shape(season=12, max_p=1, max_q=1, long_lags=4, covariates=("x",))
+    marked = split.split_last(df, 20)
+    rough = sar.refit(marked, sar.search_orders(marked, [(0, 0, 1, 0, 0, 0)], shape), shape)
+    fit = exact.refine(marked, rough, shape, chunk=50)
+    row = fit.first()
+    assert row.estimates == pytest.approx([3, 0.6], abs=0.15)
+    left = exact.exact_residuals(marked, fit, shape)
+    got = sar.forecast(marked, fit, shape, 20, "sarimax", shocks=left).orderBy("step").toPandas()
+    last = left.orderBy(F.desc("pos")).first().y
+    assert got["sarimax"][0] == pytest.approx(row.estimates[0] * x[200] + row.estimates[1] * last)
+    assert got["sarimax"][5] == pytest.approx(row.estimates[0] * x[205])
+
+
+def test_exact_fit_of_nothing(weekly_frame):
+    marked = split.split_last(weekly_frame({"s": [1.0, 2.0, 3.0]}), 1)
+    rough = sar.refit(marked, sar.search_orders(marked, [(0, 0, 1, 0, 0, 0)], SHAPE), SHAPE)
+    assert exact.refine(marked, rough, SHAPE).count() == 0
+
+
 def test_tree_models(spark, weekly_frame):
     df = weekly_frame(range(23)).selectExpr("*", "y AS feature_1", "2 * y AS feature_2")
     marked = split.split_last(df, 3)

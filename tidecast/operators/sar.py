@@ -594,15 +594,28 @@ def best_summary(best: DataFrame) -> DataFrame:
 
 
 def forecast(
-    split: DataFrame, best: DataFrame, shape: Shape, horizon: int, name: str = "sarima"
+    split: DataFrame,
+    best: DataFrame,
+    shape: Shape,
+    horizon: int,
+    name: str = "sarima",
+    shocks: DataFrame | None = None,
 ) -> DataFrame:
     """Test-row forecasts with 95 % limits: ``series_id, ts, step, actual, <name>, lower, upper``.
 
     Only the last rows a model looks back to, at most ``2 * lookback`` per series, are gathered;
     with covariates also their test values. A series without a model keeps its rows, unforecast.
+    ``shocks`` (``series_id, pos, y``) are the model's residuals; without them those of the long
+    autoregression stand in.
     """
     reach = 2 * shape.lookback
     columns = ["pos", Y, *shape.covariates]
+    given = shocks is not None
+    if given:
+        left = shocks.select(SERIES, "pos", F.col(Y).alias("_shock"))
+        split = split.join(left, [SERIES, "pos"], "left").withColumn("_shock", F.coalesce("_shock", F.lit(0.0)))
+        best = best.withColumn("long_beta", F.lit(None).cast("array<double>"))
+        columns.append("_shock")
     near = split.where(
         (F.col("pos") > F.col("n_train") - reach) & (F.col("pos") <= F.col("n_train") + horizon)
     )
@@ -623,8 +636,11 @@ def forecast(
                     [[c[v] for v in shape.covariates] for c in cells], dtype=float
                 ).reshape(len(cells), len(shape.covariates))
                 order = tuple(int(row[c]) for c in ORDER)
-                w, _, predictors = _long_rows(y, x[~ahead], order[1], order[4], shape)
-                e = _residuals(w, predictors, np.asarray(row["long_beta"]))
+                if not given:
+                    w, _, predictors = _long_rows(y, x[~ahead], order[1], order[4], shape)
+                    e = _residuals(w, predictors, np.asarray(row["long_beta"]))
+                else:
+                    e = np.array([c["_shock"] for c in cells], dtype=float)[~ahead]
                 steps = int(ahead.sum())
                 point, width = _project(
                     y, e, x, np.asarray(row["estimates"]), order, row["sigma2"], steps, shape

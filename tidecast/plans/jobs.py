@@ -16,6 +16,7 @@ from tidecast.operators import (
     baselines,
     clean,
     evaluate,
+    exact,
     features,
     report,
     resample,
@@ -47,7 +48,8 @@ from tidecast.sources.sinks import profile, stored, table_exists, write_table
 class Study:
     """Where the tables are and how the study is set up.
 
-    Without a folder the tables go below the shared folder that the cluster names.
+    Without a folder the tables go below the shared folder that the cluster names. The weather table
+    describes all series, unless ``shared_weather`` is off: then it has rows per series.
     """
 
     spark: SparkSession
@@ -57,6 +59,7 @@ class Study:
     hourly_horizon: int = HOURLY_HORIZON
     length: int = SEQUENCE_LENGTH
     start: str = START_DATE
+    shared_weather: bool = True
     force: bool = False
     tables: dict[str, str] = field(default_factory=dict)
 
@@ -104,16 +107,14 @@ def build_weather(study: Study, raw_temperature: DataFrame) -> DataFrame:
     return study.keep("weekly_weather", lambda: resample.weekly_weather(hourly))
 
 
-def build_model_table(study: Study, shared_weather: bool | None = None) -> DataFrame:
+def build_model_table(study: Study) -> DataFrame:
     """Weekly load with the weather of its week.
 
-    ``shared_weather`` joins on time only; by default that happens where the weather table holds a
-    single series.
+    Weather is joined on time alone if the study's weather is shared by all series, else on the
+    series too.
     """
     weather = study.read("weekly_weather")
-    if shared_weather is None:
-        shared_weather = weather.select(SERIES).distinct().limit(2).count() < 2
-    weather = weather.drop(SERIES) if shared_weather else weather
+    weather = weather.drop(SERIES) if study.shared_weather else weather
     table = study.keep(
         "weekly_model", lambda: resample.model_table(study.read("weekly"), weather)
     )
@@ -182,14 +183,16 @@ def run_sar(
     )
     sar.require_success(search)
     best = study.keep("sar_best", lambda: sar.best_candidates(search))
-    chosen = study.keep("sar_fit", lambda: sar.refit(marked, best, shape)).where("aic IS NOT NULL")
+    rough = study.keep("sar_fit", lambda: sar.refit(marked, best, shape)).where("aic IS NOT NULL")
+    chosen = study.keep("sar_exact_fit", lambda: exact.refine(marked, rough, shape))
+    left = study.keep("sarima_residuals", lambda: exact.exact_residuals(marked, chosen, shape))
     forecast = study.keep(
-        "sarima_forecast", lambda: sar.forecast(marked, chosen, shape, study.horizon)
+        "sarima_forecast",
+        lambda: sar.forecast(marked, chosen, shape, study.horizon, shocks=left),
     )
     metrics = study.keep(
         "sarima_metrics", lambda: evaluate.evaluate(_limits(forecast), marked, study.season)
     )
-    left = study.keep("sarima_residuals", lambda: sar.residuals(marked, chosen, shape))
     return {
         "search": search,
         "summary": study.keep("sar_best_summary", lambda: sar.best_summary(best)),
