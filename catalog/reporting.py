@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog.base import (
     BASELINES,
+    HOURLY,
     HOURLY_SPLIT,
     METRICS,
     WEEKLY,
+    hourly,
     hourly_split,
     query,
     weekly,
@@ -110,11 +112,12 @@ def _ratio_sql(parts, r: str) -> str:
     return f"{top} / {below}"
 
 
-QQ_SQL = with_sql(
-    WEEKLY,
-    f""", ranked AS (
+def _qq_sql(ctes: str, source: str) -> str:
+    return with_sql(
+        ctes,
+        f""", ranked AS (
   SELECT series_id, y AS ordered, row_number() OVER (PARTITION BY series_id ORDER BY y) AS rank,
-         count(*) OVER (PARTITION BY series_id) AS n FROM weekly),
+         count(*) OVER (PARTITION BY series_id) AS n FROM {source}),
 medians AS (
   SELECT *, CASE WHEN rank = n THEN power(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - power(0.5, 1.0 / n)
               ELSE (rank - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM ranked),
@@ -128,14 +131,20 @@ SELECT series_id, rank, round(theoretical, 6) AS theoretical, round(ordered, 6)
   round(regr_slope(ordered, theoretical) OVER w, 6) AS slope,
   round(regr_intercept(ordered, theoretical) OVER w, 6) AS intercept
 FROM points WINDOW w AS (PARTITION BY series_id)""",
-)
+    )
 
 
-@query("qq", QQ_SQL)
+@query("qq", _qq_sql(WEEKLY, "weekly"))
 def qq(spark, d):
     return report.qq_table(weekly(spark, d))
 
 
+@query("qq_hourly", _qq_sql(HOURLY, "hourly"))
+def qq_hourly(spark, d):
+    """The same ranks from counted bins, for series that no task could order."""
+    return report.qq_table(hourly(spark, d), grain="hour")
+
+
 @query("top_importance")
 def top_importance(spark, d):
     return report.top_rows(importance_table(spark, d), "importance", 15, ["series_id", "model"])

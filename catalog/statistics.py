@@ -1,6 +1,6 @@
 """Autocorrelation, unit roots, decomposition and residual statistics."""
 
-from catalog.base import SPLIT, WEEKLY, query, rounded, weekly, with_sql
+from catalog.base import HOURLY, SPLIT, WEEKLY, hourly, query, rounded, weekly, with_sql
 from catalog.windows import W
 from tidecast.operators import features, stats
 
@@ -220,30 +220,29 @@ def ljung_box(spark, d):
     return stats.ljung_box(weekly(spark, d))
 
 
-HALF = "ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING"
-
-
-@query(
-    "decompose",
-    with_sql(
-        WEEKLY,
+def _decompose_sql(ctes: str, source: str, period: int) -> str:
+    """For an even period."""
+    half, after = period // 2, period // 2 + 1
+    frame = f"OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    start = f"FILTER (pos >= {after} AND pos < least({after + period}, n - {half}))"
+    end = f"FILTER (pos < n - {half} AND pos >= greatest({after}, n - {half + period}))"
+    return with_sql(
+        ctes,
         f""", t AS (
   SELECT series_id, ts, y AS observed, row_number() OVER {W} AS pos,
     count(*) OVER (PARTITION BY series_id) AS n,
-    CASE WHEN count(y) OVER (PARTITION BY series_id ORDER BY ts {HALF}) = 53 THEN
-      (sum(y) OVER (PARTITION BY series_id ORDER BY ts {HALF})
-       - 0.5 * (lag(y, 26) OVER {W} + lead(y, 26) OVER {W})) / 52.0 END AS smooth
-  FROM weekly),
+    CASE WHEN count(y) {frame} = {period + 1} THEN
+      (sum(y) {frame} - 0.5 * (lag(y, {half}) OVER {W} + lead(y, {half}) OVER {W})) / {period}.0
+    END AS smooth
+  FROM {source}),
 ends AS (
   SELECT series_id,
-    regr_slope(smooth, pos) FILTER (pos >= 27 AND pos < least(79, n - 26)) AS s1,
-    regr_intercept(smooth, pos) FILTER (pos >= 27 AND pos < least(79, n - 26)) AS s0,
-    regr_slope(smooth, pos) FILTER (pos < n - 26 AND pos >= greatest(27, n - 78)) AS e1,
-    regr_intercept(smooth, pos) FILTER (pos < n - 26 AND pos >= greatest(27, n - 78)) AS e0
+    regr_slope(smooth, pos) {start} AS s1, regr_intercept(smooth, pos) {start} AS s0,
+    regr_slope(smooth, pos) {end} AS e1, regr_intercept(smooth, pos) {end} AS e0
   FROM t GROUP BY 1),
 u AS (
-  SELECT t.*, (pos - 1) % 52 AS slot,
-    CASE WHEN smooth IS NOT NULL THEN smooth WHEN pos < 27 THEN s1 * pos + s0
+  SELECT t.*, (pos - 1) % {period} AS slot,
+    CASE WHEN smooth IS NOT NULL THEN smooth WHEN pos < {after} THEN s1 * pos + s0
          ELSE e1 * pos + e0 END AS trend
   FROM t JOIN ends USING (series_id)),
 m AS (SELECT series_id, slot, avg(observed - trend) AS v FROM u GROUP BY 1, 2),
@@ -251,12 +250,20 @@ s AS (SELECT series_id, slot, v - avg(v) OVER (PARTITION BY series_id) AS season
 SELECT series_id, ts, {rounded('observed', 'trend', 'seasonal')},
   round(observed - trend - seasonal, 6) AS residual
 FROM u JOIN s USING (series_id, slot)""",
-    ),
-)
+    )
+
+
+@query("decompose", _decompose_sql(WEEKLY, "weekly", 52))
 def decompose(spark, d):
     return stats.decompose(weekly(spark, d))
 
 
+@query("decompose_hourly", _decompose_sql(HOURLY, "hourly", 24))
+def decompose_hourly(spark, d):
+    """The daily pattern of hourly series, cut into chunks."""
+    return stats.decompose(hourly(spark, d), 24, grain="hour", chunk=256)
+
+
 @query(
     "residual_summary",
     with_sql(

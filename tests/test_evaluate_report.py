@@ -162,6 +162,22 @@ def test_qq(weekly_frame):
     assert np.allclose(three["theoretical"], [-top, 0.0, top])
 
 
+def test_qq_of_counted_bins(hourly_frame, monkeypatch):
+    """Equal to the window's ranks: repeated values, far outliers, one value alone."""
+    rng = np.random.default_rng(1)
+    values = np.r_[rng.normal(size=200).round(1), [1e9, -1e9], [0.5] * 300]
+    rows = hourly_frame({"many": values, "flat": [2.0] * 40, "one": [7.0]})
+    want = report.qq_table(rows).orderBy("series_id", "rank").toPandas()
+    for bins, run in ((4096, 1 << 16), (3, 7)):
+        monkeypatch.setattr(report, "RUN", run)
+        ranked = report.ordered_values(rows, "y", bins).orderBy("series_id", "rank").toPandas()
+        assert ranked["ordered"].tolist() == want["ordered"].tolist()
+        assert ranked["rank"].tolist() == want["rank"].tolist()
+    got = report.qq_table(rows, grain="hour").orderBy("series_id", "rank").toPandas()
+    for c in ("theoretical", "ordered", "slope", "intercept"):
+        assert np.allclose(got[c], want[c], equal_nan=True)
+
+
 def test_top_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 2.0)], "feature string, v double")
     assert [r.feature for r in report.top_rows(df, "v", 2).collect()] == ["b", "c"]

@@ -1,6 +1,7 @@
 import os
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from compare import connect, difference
 from published import TESTDATA
@@ -10,6 +11,7 @@ import __spark_entry__ as entry
 from tidecast.operators import sar
 from tidecast.plans import jobs
 from tidecast.session import checkpoint_folder
+from tidecast.sources import sinks
 
 FOLDER = f"{TESTDATA}/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tables")
@@ -82,6 +84,34 @@ def test_study(spark, tmp_path):
     assert summary[:3] == ["series_id", "order", "seasonal_order"]
 
 
+def test_stages_follow_their_inputs(spark, tmp_path, weekly_frame):
+    """A changed parameter or input rebuilds the stages below it and no other."""
+    rng = np.random.default_rng(0)
+    path = str(tmp_path / "weekly")
+    weekly_frame(rng.normal(size=120).cumsum() + 50).write.parquet(path)
+    for name in ("hourly", "daily"):
+        weekly_frame(rng.normal(size=60)).write.parquet(str(tmp_path / name))
+
+    def made():
+        return {t: os.stat(tmp_path / t / "_manifest").st_mtime_ns for t in os.listdir(tmp_path) if (tmp_path / t / "_manifest").exists()}
+
+    def run(**settings):
+        before = made()
+        study = jobs.Study(spark, str(tmp_path), horizon=20, **settings)
+        jobs.explore(study, lags=5)
+        jobs.run_benchmarks(study)
+        after = made()
+        return {t for t in after if before.get(t) != after[t]}
+
+    first = run(season=12)
+    assert {"differences", "adf", "decomposition", "weekly_summary", "benchmark_forecasts"} <= first
+    assert run(season=12) == set()
+    # The season changes differences, what is tested on them, the decomposition and the baselines.
+    assert run(season=13) == {t for t in first if not t.endswith("_summary")}
+    sinks.write_table(weekly_frame(rng.normal(size=120) + 9), path)
+    assert run(season=13) == {t for t in first if t not in ("hourly_summary", "daily_summary")}
+
+
 def test_default_folder_is_the_shared_one():
     session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: value))
     assert checkpoint_folder(session("/shared")) == "/shared"

@@ -144,3 +144,22 @@ def test_decomposition(weekly_frame, period):
     assert np.allclose(got["trend"], trend)
     assert np.allclose(got["seasonal"], seasonal)
     assert np.allclose(got["residual"], x - trend - seasonal)
+
+
+@pytest.mark.parametrize("chunk", [3, 10, 4096])
+def test_decomposition_of_chunks(hourly_frame, chunk):
+    """The same whatever the chunks, also where a chunk is shorter than the average."""
+    x = np.random.default_rng(6).normal(size=90).cumsum()
+    rows = hourly_frame({"a": x, "b": x[::-1] * 2, "c": x[:30], "short": x[:4]})
+    want = stats.decompose(rows, 8).orderBy("series_id", "ts").toPandas()
+    got = stats.decompose(rows, 8, grain="hour", chunk=chunk).orderBy("series_id", "ts").toPandas()
+    assert len(got) == 90 + 90 + 30 + 4
+    assert list(got["series_id"]) == list(want["series_id"])
+    for c in ("observed", "trend", "seasonal", "residual"):
+        assert np.allclose(got[c], want[c], equal_nan=True)
+
+
+def test_unit_root_of_a_missing_series(weekly_frame):
+    diffs = features.differences(weekly_frame({None: np.random.default_rng(1).normal(size=120)}), 12)
+    rows = stats.adf_of_differences(diffs).collect()
+    assert len(rows) == 4 and all(r.series_id is None and r.adf_statistic is not None for r in rows)

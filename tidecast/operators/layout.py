@@ -129,12 +129,13 @@ def join_series(
 
     Both sides carry a salt, on the small one repeated, so a series that holds most rows is dealt
     to many tasks, and what follows cannot take the join's partitioning for one by series alone.
-    ``spread`` is what the salt is made of, the time if not given.
+    ``spread`` is what the salt is made of, the time if not given. A missing series is one of its own.
     """
     salt = F.pmod(F.xxhash64(F.col(TS) if spread is None else spread), F.lit(SPREAD))
     parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>"))
-    salted = per_series.withColumn("_salt", parts)
-    return rows.withColumn("_salt", salt).join(salted, [SERIES, "_salt"], how).drop("_salt")
+    salted = per_series.withColumnRenamed(SERIES, "_of").withColumn("_part", parts)
+    same = F.col(SERIES).eqNullSafe(F.col("_of")) & (F.col("_salt") == F.col("_part"))
+    return rows.withColumn("_salt", salt).join(salted, same, how).drop("_salt", "_part", "_of")
 
 
 def sum_arrays(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.scalar import normal_quantile, pretty_name
 from tidecast.operators.evaluate import model_columns
-from tidecast.operators.layout import join_series
+from tidecast.operators.layout import BUCKET_DAYS, join_series
 from tidecast.operators.split import train_rows
 from tidecast.operators.stats import acf_table
 from tidecast.schema import SERIES, TS, Y
@@ -24,6 +24,9 @@ COMPARED_MODELS = (
     "lstm_weekly",
 )
 
+BINS = 4096  # bins of a series, and parts of a bin, that values are ranked in
+RUN = 1 << 16  # copies of one value that a row stands for before it is dealt
+
 
 def train_tail(split: DataFrame, rows: int, target: str = Y) -> DataFrame:
     return train_rows(split).where(F.col("pos") > F.col("n_train") - rows)
@@ -121,18 +124,69 @@ def histogram(df: DataFrame, column: str = Y, bins: int = 25) -> DataFrame:
     )
 
 
-def qq_table(df: DataFrame, column: str = Y) -> DataFrame:
-    """Ordered values of a weekly series against normal quantiles, with the fitted line.
+def ordered_values(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
+    """``series_id, ordered, rank, _n``: every known value with its rank in its series.
 
-    ``series_id, rank, theoretical, ordered, slope, intercept``.
+    Equal values are counted first; the distinct ones are dealt to bins of equal width between the
+    series' ends, and each bin again between its own. Counts of the bins give every bin its first
+    rank, so no task orders a series, nor holds the copies of one value. Rows without a series are
+    left out.
     """
-    whole = Window.partitionBy(SERIES)
-    ranked = df.where(F.col(column).isNotNull()).select(
+    known = df.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(SERIES, F.col(column).alias("ordered"))
+    values = known.agg(F.count(F.lit(1)).alias("_m"))
+
+    def dealt(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        ends = rows.groupBy(*keys).agg(F.min("ordered").alias("_lo"), F.max("ordered").alias("_hi"))
+        share = (F.col("ordered") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        slot = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(0)
+        if keys == [SERIES]:
+            joined = join_series(rows, ends, F.col("ordered"))
+        else:
+            joined = rows.join(ends, keys)
+        return joined.withColumn(name, slot.cast("int")).drop("_lo", "_hi")
+
+    placed = dealt(dealt(values, [SERIES], "_bin"), [SERIES, "_bin"], "_part")
+    parts = placed.groupBy(SERIES, "_bin", "_part").agg(F.sum("_m").alias("_rows"))
+    whole = parts.groupBy(SERIES, "_bin").agg(F.sum("_rows").alias("_rows"))
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("_rows").over(w), F.lit(0))
+    bins_from = whole.select(
         SERIES,
-        F.col(column).alias("ordered"),
-        F.row_number().over(whole.orderBy(column)).alias("rank"),
-        F.count(column).over(whole).alias("_n"),
+        "_bin",
+        before(earlier(SERIES, "_bin")).alias("_from"),
+        F.sum("_rows").over(Window.partitionBy(SERIES)).alias("_n"),
     )
+    parts_from = parts.select(SERIES, "_bin", "_part", before(earlier(SERIES, "_bin", "_part")).alias("_more"))
+    inside = earlier(SERIES, "_bin", "_part", "ordered")
+    counted = placed.withColumn("_less", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
+    met = counted.join(parts_from, [SERIES, "_bin", "_part"]).join(bins_from, [SERIES, "_bin"])
+    first = F.col("_from") + F.col("_more") + F.col("_less")
+    # Copies of a value are told off in runs, and the runs dealt anew, before each gets its row.
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / RUN)))
+    runs = met.select(SERIES, "ordered", "_n", "_m", first.alias("_first"), run.alias("_run"))
+    runs = runs.repartition(SERIES, "ordered", "_run")
+    last = F.least(F.col("_m"), (F.col("_run") + 1) * RUN)
+    copy = F.explode(F.sequence(F.col("_run") * RUN + 1, last)).alias("_copy")
+    told = runs.select(SERIES, "ordered", "_n", "_first", copy)
+    return told.select(SERIES, "ordered", (F.col("_first") + F.col("_copy")).alias("rank"), "_n")
+
+
+def qq_table(df: DataFrame, column: str = Y, grain: str = "week") -> DataFrame:
+    """Ordered values against normal quantiles, with the fitted line.
+
+    ``series_id, rank, theoretical, ordered, slope, intercept``. A weekly or daily series is ordered
+    in one window; one of a finer grain by ``ordered_values``.
+    """
+    if BUCKET_DAYS[grain] is None:
+        whole = Window.partitionBy(SERIES)
+        ranked = df.where(F.col(column).isNotNull()).select(
+            SERIES,
+            F.col(column).alias("ordered"),
+            F.row_number().over(whole.orderBy(column)).alias("rank"),
+            F.count(column).over(whole).alias("_n"),
+        )
+    else:
+        ranked = ordered_values(df, column)
     top = F.pow(F.lit(0.5), 1.0 / F.col("_n"))
     median = (
         F.when(F.col("rank") == F.col("_n"), top)
@@ -140,13 +194,12 @@ def qq_table(df: DataFrame, column: str = Y) -> DataFrame:
         .otherwise((F.col("rank") - 0.3175) / (F.col("_n") + 0.365))
     )
     points = ranked.withColumn("theoretical", normal_quantile(median))
-    return points.select(
-        SERIES,
-        "rank",
-        "theoretical",
-        "ordered",
-        F.regr_slope("ordered", "theoretical").over(whole).alias("slope"),
-        F.regr_intercept("ordered", "theoretical").over(whole).alias("intercept"),
+    lines = points.groupBy(SERIES).agg(
+        F.regr_slope("ordered", "theoretical").alias("slope"),
+        F.regr_intercept("ordered", "theoretical").alias("intercept"),
+    )
+    return join_series(points, lines, F.col("rank")).select(
+        SERIES, "rank", "theoretical", "ordered", "slope", "intercept"
     )
 
 

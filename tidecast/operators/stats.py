@@ -18,7 +18,6 @@ from tidecast.operators.layout import (
     join_series,
     over_series,
     positions,
-    series_window,
     sum_arrays,
 )
 from tidecast.schema import SERIES, TS, Y, require_columns
@@ -412,68 +411,77 @@ def adf_of_differences(diffs: DataFrame, target: str = Y, grain: str = "week") -
     stacked = diffs.unpivot([SERIES, TS], list(names), "_kind", "_value").where(
         "_value IS NOT NULL"
     )
-    keyed = stacked.select(
-        F.concat_ws("\x1f", SERIES, "_kind").alias(SERIES), TS, F.col("_value").alias(Y)
-    )
-    parts = F.split(F.col(SERIES), "\x1f")
-    tested = adf_test(keyed, grain=grain).withColumn("series", parts[1]).withColumn(SERIES, parts[0])
+    # Both names as one text, in which a missing series stays missing and no two pairs are alike.
+    pair = F.to_json(F.struct(F.col(SERIES).alias("s"), F.col("_kind").alias("k")))
+    keyed = stacked.select(pair.alias(SERIES), TS, F.col("_value").alias(Y))
+    parts = F.from_json(F.col(SERIES), "s string, k string")
+    tested = adf_test(keyed, grain=grain).withColumn("_pair", parts)
+    tested = tested.withColumn("series", F.col("_pair.k")).withColumn(SERIES, F.col("_pair.s")).drop("_pair")
     labels = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     return tested.withColumn("series", labels[F.col("series")])
 
 
-def decompose(df: DataFrame, period: int = 52, target: str = Y) -> DataFrame:
-    """Additive seasonal decomposition of weekly or daily series.
+def decompose(
+    df: DataFrame, period: int = 52, target: str = Y, grain: str = "week", chunk: int = CHUNK
+) -> DataFrame:
+    """Additive seasonal decomposition.
 
     Trend: centred moving average, its ends extended by a line through the nearest ``period``
     trend points (at the end, those before the last one). Seasonal: mean detrended value per slot
-    of the period, centred on zero.
+    of the period, centred on zero. Averages run over chunks of positions, lines and slots are
+    aggregates per series, so no task holds a series of a fine grain; results do not depend on the
+    chunk size.
     """
-    kept = df.where(F.col(target).isNotNull()).select(SERIES, TS, F.col(target).alias("observed"))
-    w = series_window()
+    known = df.where(F.col(target).isNotNull()).select(SERIES, TS, F.col(target).alias("observed"))
     half = period // 2
+    placed = positions(known, grain)
+    # A row goes to every chunk in which some average reads it, before or behind.
+    index = F.col("pos") - 1
+    last_chunk = F.floor((F.col("n") - 1) / F.lit(chunk))
+    first, last = (
+        F.greatest(F.floor((index - half) / F.lit(chunk)), F.lit(0)),
+        F.least(F.floor((index + half) / F.lit(chunk)), last_chunk),
+    )
+    cut = placed.withColumn("_chunk", F.explode(F.sequence(first, last)))
+    w = Window.partitionBy(SERIES, "_chunk").orderBy("pos")
     frame = w.rowsBetween(-half, half)
     total = F.sum("observed").over(frame)
     if period % 2 == 0:
         ends = F.lag("observed", half).over(w) + F.lead("observed", half).over(w)
         total = total - 0.5 * ends
     full = F.count("observed").over(frame) == 2 * half + 1
-    whole = Window.partitionBy(SERIES)
-    smooth = kept.withColumns(
-        {
-            "pos": F.row_number().over(w).cast("double"),
-            "n": F.count("observed").over(whole).cast("double"),
-            "_trend": F.when(full, total / float(period)),
-        }
+    smooth = (
+        cut.withColumn("_trend", F.when(full, total / float(period)))
+        .where(F.floor(index / F.lit(chunk)) == F.col("_chunk"))
+        .select(SERIES, TS, "observed", F.col("pos").cast("double"), F.col("n").cast("double"), "_trend")
     )
-    first, last = F.lit(half + 1.0), F.col("n") - half
-    near_start = (F.col("pos") >= first) & (F.col("pos") < F.least(first + period, last))
-    near_end = (F.col("pos") < last) & (F.col("pos") >= F.greatest(first, last - period))
+    begin, end = F.lit(half + 1.0), F.col("n") - half
+    near_start = (F.col("pos") >= begin) & (F.col("pos") < F.least(begin + period, end))
+    near_end = (F.col("pos") < end) & (F.col("pos") >= F.greatest(begin, end - period))
 
-    def line(condition: Column) -> tuple[Column, Column]:
+    def line(condition: Column, name: str) -> list[Column]:
         y = F.when(condition, F.col("_trend"))
         x = F.when(condition, F.col("pos"))
-        return F.regr_slope(y, x).over(whole), F.regr_intercept(y, x).over(whole)
+        return [F.regr_slope(y, x).alias(f"{name}1"), F.regr_intercept(y, x).alias(f"{name}0")]
 
-    s_slope, s_icept = line(near_start)
-    e_slope, e_icept = line(near_end)
-    fitted = smooth.withColumns({"_s1": s_slope, "_s0": s_icept, "_e1": e_slope, "_e0": e_icept})
+    lines = smooth.groupBy(SERIES).agg(*line(near_start, "_s"), *line(near_end, "_e"))
     trend = (
         F.when(F.col("_trend").isNotNull(), F.col("_trend"))
-        .when(F.col("pos") < first, F.col("_s1") * F.col("pos") + F.col("_s0"))
+        .when(F.col("pos") < begin, F.col("_s1") * F.col("pos") + F.col("_s0"))
         .otherwise(F.col("_e1") * F.col("pos") + F.col("_e0"))
     )
-    slots = fitted.withColumn("trend", trend).withColumn(
-        "_slot", F.pmod(F.col("pos").cast("long") - 1, F.lit(period))
+    slot = F.pmod(F.col("pos").cast("long") - 1, F.lit(period))
+    fitted = join_series(smooth, lines).select(
+        SERIES, TS, "observed", trend.alias("trend"), slot.cast("int").alias("_slot")
     )
-    # Mean per slot and the mean of the slot means, both inside the series' own partition.
     detrended = F.col("observed") - F.col("trend")
-    per_slot = F.array(
-        *[F.avg(F.when(F.col("_slot") == k, detrended)).over(whole) for k in range(period)]
+    means = fitted.groupBy(SERIES, "_slot").agg(F.avg(detrended).alias("_mean"))
+    seasons = means.groupBy(SERIES).agg(
+        F.map_from_entries(F.collect_list(F.struct("_slot", "_mean"))).alias("_means"),
+        (F.sum("_mean") / float(period)).alias("_centre"),
     )
-    means = slots.withColumn("_means", per_slot)
-    centre = F.aggregate("_means", F.lit(0.0), lambda a, v: a + v) / float(period)
-    season = F.col("_means")[F.col("_slot").cast("int")] - centre
-    return means.select(
+    season = F.col("_means")[F.col("_slot")] - F.col("_centre")
+    return join_series(fitted, seasons).select(
         SERIES,
         TS,
         "observed",

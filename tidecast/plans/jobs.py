@@ -1,7 +1,8 @@
 """The study as stored stages: each reads tables under one folder and writes its own there.
 
-A stage whose table is already complete is read back unless forced. Writing between stages is
-also what keeps plans short and lets a lost executor recompute one stage only.
+A stage's table is read back if it was made of the same: input files, parameters, code. A change
+rebuilds the stages below it and no other. Writing between stages is also what keeps plans short and
+lets a lost executor recompute one stage only.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from tidecast.schema import (
 )
 from tidecast.session import checkpoint_folder, ship_package
 from tidecast.sources.readers import read_temperature
-from tidecast.sources.sinks import profile, stored, table_exists, write_table
+from tidecast.sources.sinks import manifest, profile, stored, table_exists, write_table
 
 
 @dataclass
@@ -79,9 +80,10 @@ class Study:
             raise FileNotFoundError(f"Stage table not found: {self.path(name)}")
         return self.spark.read.parquet(self.path(name))
 
-    def keep(self, name: str, build) -> DataFrame:
+    def keep(self, name: str, build, /, *inputs: DataFrame, **parameters) -> DataFrame:
+        """The stored table ``name``, built again if its inputs, parameters or code have changed."""
         self.tables[name] = self.path(name)
-        return stored(self.spark, self.path(name), build, self.force)
+        return stored(self.spark, self.path(name), build, self.force, manifest(inputs, parameters))
 
     def export_csv(self, name: str) -> str:
         """A CSV copy of a stored table, next to it."""
@@ -93,18 +95,18 @@ class Study:
 
 def build_series(study: Study, raw: DataFrame) -> dict[str, DataFrame]:
     """Clean hourly load, and its daily and weekly means."""
-    hourly = study.keep("hourly", lambda: clean.clean_load(raw, study.start))
+    hourly = study.keep("hourly", lambda: clean.clean_load(raw, study.start), raw, start=study.start)
     return {
         "hourly": hourly,
-        "daily": study.keep("daily", lambda: resample.daily_mean(hourly)),
-        "weekly": study.keep("weekly", lambda: resample.weekly_mean(hourly)),
-        "profile": study.keep("profile", lambda: profile(hourly, TS, Y, (SERIES,))),
+        "daily": study.keep("daily", lambda: resample.daily_mean(hourly), hourly),
+        "weekly": study.keep("weekly", lambda: resample.weekly_mean(hourly), hourly),
+        "profile": study.keep("profile", lambda: profile(hourly, TS, Y, (SERIES,)), hourly),
     }
 
 
 def build_weather(study: Study, raw_temperature: DataFrame) -> DataFrame:
     hourly = read_temperature(raw_temperature)
-    return study.keep("weekly_weather", lambda: resample.weekly_weather(hourly))
+    return study.keep("weekly_weather", lambda: resample.weekly_weather(hourly), raw_temperature)
 
 
 def build_model_table(study: Study) -> DataFrame:
@@ -116,14 +118,14 @@ def build_model_table(study: Study) -> DataFrame:
     weather = study.read("weekly_weather")
     weather = weather.drop(SERIES) if study.shared_weather else weather
     table = study.keep(
-        "weekly_model", lambda: resample.model_table(study.read("weekly"), weather)
+        "weekly_model", lambda: resample.model_table(study.read("weekly"), weather), study.read("weekly"), weather
     )
     return require_rows(table, "Merged weekly load and weather table")
 
 
 def build_feature_table(study: Study) -> DataFrame:
     return study.keep(
-        "weekly_features", lambda: features.feature_table(study.read("weekly_model"))
+        "weekly_features", lambda: features.feature_table(study.read("weekly_model")), study.read("weekly_model")
     )
 
 
@@ -137,32 +139,37 @@ def explore(study: Study, lags: int = 60) -> dict[str, DataFrame]:
         f"{g}_summary": study.keep(
             f"{g}_summary",
             lambda g=g: stats.summary_statistics(study.read(g), bounded=g != "hourly"),
+            study.read(g),
         )
         for g in ("hourly", "daily", "weekly")
     }
-    diffs = study.keep("differences", lambda: features.differences(weekly, study.season))
+    diffs = study.keep("differences", lambda: features.differences(weekly, study.season), weekly, season=study.season)
     out["differences"] = diffs
-    out["adf"] = study.keep("adf", lambda: stats.adf_of_differences(diffs))
+    out["adf"] = study.keep("adf", lambda: stats.adf_of_differences(diffs), diffs)
     for column in (Y, "first_difference", "seasonal_difference"):
         for name, table in (("acf", stats.acf_table), ("pacf", stats.pacf_table)):
             key = f"{name}_{column}"
             out[key] = study.keep(
-                key, lambda table=table, column=column: table(diffs, lags, column)
+                key, lambda table=table, column=column: table(diffs, lags, column), diffs, lags=lags
             )
     out["decomposition"] = study.keep(
-        "decomposition", lambda: stats.decompose(weekly, study.season)
+        "decomposition", lambda: stats.decompose(weekly, study.season), weekly, season=study.season
     )
     return out
 
 
 def run_benchmarks(study: Study) -> dict[str, DataFrame]:
     marked = split.split_last(study.read("weekly"), study.horizon)
+    weeks = dict(horizon=study.horizon, season=study.season)
     forecasts = study.keep(
-        "benchmark_forecasts", lambda: baselines.baseline_forecasts(marked, study.season)
+        "benchmark_forecasts", lambda: baselines.baseline_forecasts(marked, study.season), marked, **weeks
     )
     metrics = study.keep(
         "benchmark_metrics",
         lambda: evaluate.rank_models(evaluate.evaluate(forecasts, marked, study.season)),
+        forecasts,
+        marked,
+        **weeks,
     )
     return {"forecasts": forecasts, "metrics": metrics}
 
@@ -177,30 +184,46 @@ def run_sar(
     """Two-stage order search, forecast, metrics, best-model summary and residual diagnostics."""
     shape = shape or sar.Shape(season=study.season)
     marked = split.split_last(study.read("weekly"), study.horizon)
-    grams = study.keep("sar_grams", lambda: sar.model_grams(marked, shape))
+    weeks = dict(horizon=study.horizon, shape=shape)
+    grams = study.keep("sar_grams", lambda: sar.model_grams(marked, shape), marked, **weeks)
     search = study.keep(
-        "sar_search", lambda: sar.two_stage_search(marked, shape, stage_one, grams=grams)
+        "sar_search",
+        lambda: sar.two_stage_search(marked, shape, stage_one, grams=grams),
+        grams,
+        stage_one=stage_one,
+        **weeks,
     )
     sar.require_success(search)
-    best = study.keep("sar_best", lambda: sar.best_candidates(search))
-    rough = study.keep("sar_fit", lambda: sar.refit(marked, best, shape)).where("aic IS NOT NULL")
-    chosen = study.keep("sar_exact_fit", lambda: exact.refine(marked, rough, shape))
-    left = study.keep("sarima_residuals", lambda: exact.exact_residuals(marked, chosen, shape))
+    best = study.keep("sar_best", lambda: sar.best_candidates(search), search)
+    rough = study.keep("sar_fit", lambda: sar.refit(marked, best, shape), marked, best, **weeks)
+    rough = rough.where("aic IS NOT NULL")
+    chosen = study.keep("sar_exact_fit", lambda: exact.refine(marked, rough, shape), marked, rough, **weeks)
+    left = study.keep(
+        "sarima_residuals", lambda: exact.exact_residuals(marked, chosen, shape), marked, chosen, **weeks
+    )
     forecast = study.keep(
         "sarima_forecast",
         lambda: sar.forecast(marked, chosen, shape, study.horizon, shocks=left),
+        marked,
+        chosen,
+        left,
+        **weeks,
     )
     metrics = study.keep(
-        "sarima_metrics", lambda: evaluate.evaluate(_limits(forecast), marked, study.season)
+        "sarima_metrics",
+        lambda: evaluate.evaluate(_limits(forecast), marked, study.season),
+        forecast,
+        marked,
+        **weeks,
     )
     return {
         "search": search,
-        "summary": study.keep("sar_best_summary", lambda: sar.best_summary(best)),
+        "summary": study.keep("sar_best_summary", lambda: sar.best_summary(best), best),
         "forecast": forecast,
         "metrics": metrics,
         "residuals": left,
         "diagnostics": study.keep(
-            "sarima_diagnostics", lambda: stats.residual_diagnostics(left)
+            "sarima_diagnostics", lambda: stats.residual_diagnostics(left), left
         ),
     }
 
@@ -212,29 +235,43 @@ def run_sarx(study: Study, columns: Sequence[str] = WEATHER_COLUMNS) -> dict[str
     marked = split.split_last(study.read("weekly_model"), study.horizon)
     scaled = split.standardise(marked, columns)
     orders = study.read("sar_best").select(SERIES, *sar.ORDER)
+    weeks = dict(horizon=study.horizon, shape=shape)
     searched = study.keep(
-        "sarx_search", lambda: sar.fit_candidates(sar.model_grams(scaled, shape), orders, shape)
+        "sarx_search",
+        lambda: sar.fit_candidates(sar.model_grams(scaled, shape), orders, shape),
+        scaled,
+        orders,
+        **weeks,
     )
     best = study.keep(
-        "sarx_fit", lambda: sar.refit(scaled, searched.where("aic IS NOT NULL"), shape)
-    )
+        "sarx_fit",
+        lambda: sar.refit(scaled, searched.where("aic IS NOT NULL"), shape),
+        scaled,
+        searched,
+        **weeks,
+    ).where("aic IS NOT NULL")
     forecast = study.keep(
         "sarimax_forecast",
-        lambda: sar.forecast(
-            scaled, best.where("aic IS NOT NULL"), shape, study.horizon, "sarimax"
-        ),
-    )
-    metrics = study.keep(
-        "sarimax_metrics", lambda: evaluate.evaluate(_limits(forecast), marked, study.season)
+        lambda: sar.forecast(scaled, best, shape, study.horizon, "sarimax"),
+        scaled,
+        best,
+        **weeks,
     )
     return {
         "forecast": forecast,
-        "metrics": metrics,
+        "metrics": study.keep(
+            "sarimax_metrics",
+            lambda: evaluate.evaluate(_limits(forecast), marked, study.season),
+            forecast,
+            marked,
+            **weeks,
+        ),
         "coefficients": study.keep(
-            "sarimax_coefficients",
-            lambda: sar.coefficient_table(best.where("aic IS NOT NULL"), shape),
+            "sarimax_coefficients", lambda: sar.coefficient_table(best, shape), best, shape=shape
+        ),
+        "scaling": study.keep(
+            "sarimax_scaling", lambda: split.scaling_table(marked, columns), marked, columns=columns, **weeks
         ),
-        "scaling": study.keep("sarimax_scaling", lambda: split.scaling_table(marked, columns)),
     }
 
 
@@ -252,18 +289,29 @@ def run_trees(
         "random_forest": forest_grid or trees.FOREST_GRID,
         "gradient_boosting": boost_grid or trees.BOOST_GRID,
     }
-    fits = study.keep("feature_fits", lambda: trees.tree_fits(marked, names, grids, splits))
-    search = study.keep("feature_search", lambda: trees.tree_scores(fits, grids, splits))
+    tuned = dict(horizon=study.horizon, grids=grids, splits=splits)
+    fits = study.keep("feature_fits", lambda: trees.tree_fits(marked, names, grids, splits), marked, **tuned)
+    search = study.keep("feature_search", lambda: trees.tree_scores(fits, grids, splits), fits, **tuned)
     forecasts = study.keep(
-        "feature_forecasts", lambda: trees.searched_forecasts(marked, fits, search, grids)
+        "feature_forecasts",
+        lambda: trees.searched_forecasts(marked, fits, search, grids),
+        marked,
+        fits,
+        search,
+        **tuned,
     )
     return {
         "feature_forecasts": forecasts,
         "feature_metrics": study.keep(
-            "feature_metrics", lambda: evaluate.evaluate(forecasts, marked, study.season)
+            "feature_metrics",
+            lambda: evaluate.evaluate(forecasts, marked, study.season),
+            forecasts,
+            marked,
+            season=study.season,
+            **tuned,
         ),
         "feature_importance": study.keep(
-            "feature_importance", lambda: trees.searched_importances(fits, search, names)
+            "feature_importance", lambda: trees.searched_importances(fits, search, names), fits, search, names=names
         ),
         "feature_search": search,
     }
@@ -272,19 +320,26 @@ def run_trees(
 def run_sequence(study: Study, name: str = "lstm") -> dict[str, DataFrame]:
     """Sequence search on hourly data and the rolling one-step forecast of the test hours."""
     marked = split.split_last(study.read("hourly"), study.hourly_horizon, grain="hour")
-    grams = study.keep("sequence_grams", lambda: sequence.sequence_grams(marked, study.length))
-    fits = study.keep("sequence_fits", lambda: sequence.search(grams, study.length))
+    hours = dict(horizon=study.hourly_horizon, length=study.length)
+    grams = study.keep(
+        "sequence_grams", lambda: sequence.sequence_grams(marked, study.length), marked, **hours
+    )
+    fits = study.keep("sequence_fits", lambda: sequence.search(grams, study.length), grams, **hours)
     best = sequence.best_fit(fits)
     forecast = study.keep(
         "sequence_forecast",
         lambda: sequence.rolling_forecast(marked, best, study.length, name),
+        marked,
+        fits,
+        name=name,
+        **hours,
     )
     return {
-        "search": study.keep("sequence_search", lambda: sequence.search_table(fits)),
-        "history": study.keep("sequence_history", lambda: sequence.training_history(best)),
+        "search": study.keep("sequence_search", lambda: sequence.search_table(fits), fits),
+        "history": study.keep("sequence_history", lambda: sequence.training_history(best), fits),
         "forecast": forecast,
         "metrics": study.keep(
-            "sequence_metrics", lambda: sequence.hourly_metrics(forecast, name)
+            "sequence_metrics", lambda: sequence.hourly_metrics(forecast, name), forecast, name=name
         ),
     }
 
@@ -298,10 +353,15 @@ def build_comparison(study: Study, name: str = "lstm") -> dict[str, DataFrame]:
             evaluate.weekly_forecasts(study.read("sequence_forecast"), ["actual", name]),
             "Weekly sequence forecast",
         ),
+        study.read("sequence_forecast"),
+        name=name,
     )
     sequence_metrics = study.keep(
         "sequence_weekly_metrics",
         lambda: evaluate.sequence_weekly_metrics(weekly_sequence, benchmark, name),
+        weekly_sequence,
+        benchmark,
+        name=name,
     )
     pieces = [
         ("benchmark_metrics", "operational"),
@@ -317,6 +377,7 @@ def build_comparison(study: Study, name: str = "lstm") -> dict[str, DataFrame]:
     comparison = study.keep(
         "model_comparison",
         lambda: evaluate.rank_models(evaluate.compare_models(evaluate.union_tables(*tagged))),
+        *tagged,
     )
     renamed = weekly_sequence.select(SERIES, TS, F.col(name).alias("lstm_weekly"))
     combined = study.keep(
@@ -330,11 +391,16 @@ def build_comparison(study: Study, name: str = "lstm") -> dict[str, DataFrame]:
             ),
             renamed,
         ),
+        benchmark,
+        study.read("sarima_forecast"),
+        study.read("sarimax_forecast"),
+        study.read("feature_forecasts"),
+        renamed,
     )
     return {
         "comparison": comparison,
         "forecasts": combined,
-        "panel": study.keep("comparison_panel", lambda: report.comparison_panel(combined)),
+        "panel": study.keep("comparison_panel", lambda: report.comparison_panel(combined), combined),
     }
 
 
