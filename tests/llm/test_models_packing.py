@@ -1,8 +1,12 @@
+import dataclasses
 import math
+import os
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidecast.llm import langid, lm, packing
@@ -127,34 +131,98 @@ def test_lm_base_counts(spark, documents, model):
         assert got[i].n_known == sum(train[x] > 0 for x in tokens) and got[i].score < 0
 
 
-def test_lm_is_a_distribution(model):
-    """After any history the probabilities of all tokens sum to one."""
-    lex, coder = model.lexicon, lm.Coder(model.lexicon.tokens)
-    head = lm.head_units(lex.tokens)
-    for history in (b"the", b"der hund", b""):
-        units = lm.stream([coder.code(history.split()).tobytes()], head)[1]
-        _, rows = lm.encode(units, lex.classes)
-        x = lm.logits(model.weights, lex.bias, rows[:, -1:])
-        p = np.exp(x[0]) / np.exp(x[0]).sum()
-        inside = np.bincount(lex.classes[head], 10.0**lex.inside, lm.CLASSES)
-        open_ = np.arange(lm.GROUPS * lm.BANDS, lm.END_CLASS)
-        inside[open_] += lm.ALPHA / 10.0 ** lex.below[open_]
-        inside[lm.END_CLASS] = 1
-        used = inside > 0
-        assert np.allclose(inside[used], 1)
-        assert p[used].sum() > 0.9
-
-
-def test_lm_texts_do_not_see_each_other(model):
+def coded_texts(model, some):
     lex, coder = model.lexicon, lm.Coder(model.lexicon.tokens)
-    head = lm.head_units(lex.tokens)
-    texts = [b"the dog and", b"", b"der hund unseen ist", b"x", b"la maison"] * 3
-    coded = [coder.code(t.split()).tobytes() for t in texts]
-    whole = lm.log_scores(coded, head, lex, model.weights)
-    for i, t in enumerate(coded):
-        one = lm.log_scores([t], head, lex, model.weights)
-        for k in whole:
-            assert one[k][0] == pytest.approx(whole[k][i])
+    words = [t.lower().encode().split() for t in some]
+    codes = [coder.code(w) for w in words]
+    sums = [np.array([zlib.crc32(w[i]) for i in np.flatnonzero(c < 0)], "<u4").tobytes() for w, c in zip(words, codes)]
+    return lm.read_run([c.tobytes() for c in codes], sums, lm.head_units(lex.tokens), lex)
+
+
+def slow_replies(train, asked):
+    """Counts of the training run's keys, and what they say of the asked run's, without Spark."""
+    counts = np.bincount(train.place, minlength=len(train.keys))
+    keys = np.unique(np.concatenate([train.keys, asked.keys]))
+    n = np.zeros(len(keys))
+    n[np.searchsorted(keys, train.keys)] = counts
+    return lm.mix(keys, n)[:, np.searchsorted(keys, asked.keys)]
+
+
+def test_lm_is_a_distribution(model):
+    """After any history the probabilities of all tokens sum to one, but for classes without any."""
+    lex, train = model.lexicon, coded_texts(model, [t for _, t, *_ in corpus(None, 240)])
+    words = [t.decode() for t in lex.tokens]
+    # Of unseen tokens, one per class that takes them.
+    fresh = {int(lex.classes[lm.suffix_unit(w.encode())]): w for w in (f"zz{i}q" for i in range(3000))}
+    for history in ("the", "der hund", ""):
+        at = len(history.split())
+        some = [f"{history} {w}" for w in [*words, *fresh.values()]] + [history]
+        run = coded_texts(model, some)
+        scores = lm.place_scores(run, slow_replies(train, run), lex, model.weights)
+        first = np.cumsum(run.sizes) - run.sizes
+        total = (10 ** scores[first + at]).sum()
+        assert 0.9 < total < 1.001
+
+
+def test_lm_replies_equal_plain_counts(spark, documents, model):
+    """Scores through the sharded table against counts of one run in memory."""
+    some = ["the dog and", "", "der hund unseen ist", "x", "la maison the dog", "the dog and the dog and"]
+    run = coded_texts(model, some)
+    train = coded_texts(model, [t for _, t, *_ in corpus(None, 240)])
+    want = lm.score_run(run, slow_replies(train, run), model.lexicon, model.weights)
+    got = {r.doc_id: r for r in lm.score(documents(some), model, ["doc_id"]).collect()}
+    assert [got[i].score for i in range(len(some))] == pytest.approx(want["score"].tolist(), rel=1e-5)
+    shards = dataclasses.replace(model, shards=16)
+    again = {r.doc_id: r.score for r in lm.score(documents(some), shards, ["doc_id"]).collect()}
+    assert [again[i] for i in range(len(some))] == pytest.approx(want["score"].tolist(), rel=1e-5)
+
+
+def test_lm_does_not_depend_on_the_tasks(spark, documents):
+    """The same model and scores from 1, 8 and 64 training tasks."""
+    from llm_tables import DOCS
+
+    train, asked = spark.createDataFrame(corpus(None, 160), DOCS), documents([t for _, t, *_ in corpus(None, 200)][160:])
+    results = []
+    for n in (1, 8, 64):
+        made = lm.train(train.repartition(n))
+        rows = lm.score(asked.repartition(n), made, ["doc_id"]).collect()
+        results.append({r.doc_id: r.score for r in rows})
+    for other in results[1:]:
+        assert other == pytest.approx(results[0], rel=1e-6)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_lm_beats_a_bigram(spark):
+    """Per held-out token, against a textbook bigram with absolute discounting."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: [None, *r.text.lower().encode().split(), None] for r in docs.collect()}
+    held = {i for i in texts if i % 5 == 0}
+    ones, pairs, kinds, before = Counter(), Counter(), Counter(), Counter()
+    for i in texts.keys() - held:
+        ones.update(texts[i][1:])
+        for pair in zip(texts[i], texts[i][1:]):
+            kinds[pair[0]] += pair not in pairs
+            pairs[pair] += 1
+            before[pair[0]] += 1
+    n, v = sum(ones.values()), len(ones)
+
+    def bigram(a, b):
+        base = (ones[b] + 0.1) / (n + 0.1 * (v + 1))
+        if not before[a]:
+            return base
+        return max(pairs[a, b] - 0.75, 0) / before[a] + 0.75 * kinds[a] / before[a] * base
+
+    plain = sum(math.log10(bigram(a, b)) for i in held for a, b in zip(texts[i], texts[i][1:]))
+    made = lm.train(docs.where("doc_id % 5 <> 0"))
+    got = lm.score(docs.where("doc_id % 5 = 0"), made, ["doc_id"]).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > plain > got[1]
+
+
+def test_lm_keys_survive_packing():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1))
+    assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
+    assert (lm.unpack(lm.pack(keys), "<u8") == keys).all()
 
 
 def test_lm_learns_from_context(documents, model):

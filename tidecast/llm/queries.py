@@ -278,9 +278,9 @@ def op2(spark, folder):
         "doc_id", (remainder(10) == 0).alias("held_out"), "text"
     )
     counts, lex = lm.count(docs.where("NOT held_out"))
-    coded = lm.code_texts(docs, lex.tokens, ["doc_id", "held_out"], "text")
-    model = lm.fit(coded.where("NOT held_out"), counts, lex)
-    return lm.score_coded(coded, model, ["doc_id", "held_out"])
+    coded = lm.code_texts(docs, lex.tokens, ["doc_id", "held_out"], "text", ~F.col("held_out"))
+    model = lm.fit(coded, counts, lex)
+    return lm.score_coded(coded, model, ["doc_id", "held_out"], taught=True)
 
 
 @query("op11_quality")
