@@ -131,50 +131,55 @@ def test_lm_base_counts(spark, documents, model):
         assert got[i].n_known == sum(train[x] > 0 for x in tokens) and got[i].score < 0
 
 
-def coded_texts(model, some):
+def places(model, some):
+    """Codes, units and sizes of texts, and the keys of their places and rare tokens."""
     lex, coder = model.lexicon, lm.Coder(model.lexicon.tokens)
     words = [t.lower().encode().split() for t in some]
-    codes = [coder.code(w) for w in words]
-    sums = [np.array([zlib.crc32(w[i]) for i in np.flatnonzero(c < 0)], "<u4").tobytes() for w, c in zip(words, codes)]
-    return lm.read_run([c.tobytes() for c in codes], sums, lm.head_units(lex.tokens), lex)
+    flat = [w for own in words for w in own]
+    coded = coder.code(flat)
+    codes, units, sizes = lm.stream(coded, np.array([*map(len, words)]), lm.head_units(lex.tokens))
+    sums = np.array([zlib.crc32(flat[i]) for i in np.flatnonzero(coded < 0)], "<u4")
+    return codes, units, sizes, *lm.pair_keys(codes, lm.classes_of(units, lex.classes), sizes, sums)
 
 
-def slow_replies(train, asked):
-    """Counts of the training run's keys, and what they say of the asked run's, without Spark."""
-    counts = np.bincount(train.place, minlength=len(train.keys))
-    keys = np.unique(np.concatenate([train.keys, asked.keys]))
-    n = np.zeros(len(keys))
-    n[np.searchsorted(keys, train.keys)] = counts
-    return lm.mix(keys, n)[:, np.searchsorted(keys, asked.keys)]
+def slow_scores(model, train, some):
+    """Scores of every place from counts in memory, and the sizes."""
+    *_, pairs, own = places(model, train)
+    codes, units, sizes, asked, alone = places(model, some)
+    keys = np.unique(np.concatenate([pairs, own, asked, alone]))
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, np.searchsorted(keys, np.concatenate([pairs, own])), 1)
+    told = lm.sums_of(keys, n)
+    at, rare = np.searchsorted(keys, asked), np.searchsorted(keys, alone)
+    return codes, sizes, lm.place_scores(codes, units, told[:, at], told[0, rare], model.lexicon, model.weights)
+
+
+TRAIN = [t for _, t, *_ in corpus(None, 240)]
 
 
 def test_lm_is_a_distribution(model):
     """After any history the probabilities of all tokens sum to one, but for classes without any."""
-    lex, train = model.lexicon, coded_texts(model, [t for _, t, *_ in corpus(None, 240)])
+    lex = model.lexicon
     words = [t.decode() for t in lex.tokens]
     # Of unseen tokens, one per class that takes them.
     fresh = {int(lex.classes[lm.suffix_unit(w.encode())]): w for w in (f"zz{i}q" for i in range(3000))}
     for history in ("the", "der hund", ""):
         at = len(history.split())
         some = [f"{history} {w}" for w in [*words, *fresh.values()]] + [history]
-        run = coded_texts(model, some)
-        scores = lm.place_scores(run, slow_replies(train, run), lex, model.weights)
-        first = np.cumsum(run.sizes) - run.sizes
-        total = (10 ** scores[first + at]).sum()
+        _, sizes, scores = slow_scores(model, TRAIN, some)
+        total = (10 ** scores[np.cumsum(sizes) - sizes + at]).sum()
         assert 0.9 < total < 1.001
 
 
-def test_lm_replies_equal_plain_counts(spark, documents, model):
-    """Scores through the sharded table against counts of one run in memory."""
+def test_lm_replies_equal_plain_counts(documents, model):
+    """Scores through the sharded table against counts in memory."""
     some = ["the dog and", "", "der hund unseen ist", "x", "la maison the dog", "the dog and the dog and"]
-    run = coded_texts(model, some)
-    train = coded_texts(model, [t for _, t, *_ in corpus(None, 240)])
-    want = lm.score_run(run, slow_replies(train, run), model.lexicon, model.weights)
-    got = {r.doc_id: r for r in lm.score(documents(some), model, ["doc_id"]).collect()}
-    assert [got[i].score for i in range(len(some))] == pytest.approx(want["score"].tolist(), rel=1e-5)
-    shards = dataclasses.replace(model, shards=16)
-    again = {r.doc_id: r.score for r in lm.score(documents(some), shards, ["doc_id"]).collect()}
-    assert [again[i] for i in range(len(some))] == pytest.approx(want["score"].tolist(), rel=1e-5)
+    codes, sizes, scores = slow_scores(model, TRAIN, some)
+    want = lm.score_run(codes, sizes, scores, model.lexicon)["score"].tolist()
+    for shards in (model.shards, 16):
+        asked = dataclasses.replace(model, shards=shards)
+        got = {r.doc_id: r.score for r in lm.score(documents(some), asked, ["doc_id"]).collect()}
+        assert [got[i] for i in range(len(some))] == pytest.approx(want)
 
 
 def test_lm_does_not_depend_on_the_tasks(spark, documents):

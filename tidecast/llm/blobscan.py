@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import batches, texts
+from tidecast.llm.common import batches, checkpointed, texts
 
 # The base kinds, in their order, then the added ones. A pattern with a group is
 # held to the length of the group, one without to the length of the match.
@@ -163,7 +163,8 @@ def findings(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFram
         valid, lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]).alias("nth"), s["kind"], s["end"])
     )
     current = F.arrays_overlap("rule_versions", F.array(*map(F.lit, present.values())))
-    known = (
+    # Stored, so that a blob that most paths carry can be split over tasks in the join.
+    known = checkpointed(
         ledger.where(current)
         .groupBy(F.col("blob").alias("_blob"))
         .agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("_placed"))
