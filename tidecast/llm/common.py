@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast import session
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # The six ASCII white-space characters, as a set for btrim.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,11 +23,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, a temporary one only if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine alone
+    may leave it unset; it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(session.shared_folder(spark))
     return context.getCheckpointDir()
 
 
