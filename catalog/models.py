@@ -271,13 +271,19 @@ def tree_importance(spark, d):
     return importance_table(spark, d)
 
 
+HIDDEN = sequence.Hidden()
+
+
 def _sequence_fits(s):
-    """Sequences of a week of hours; a series too short for one has an error text and no forecast."""
-    return sequence.search(sequence.sequence_grams(s, SEQUENCE_LENGTH), SEQUENCE_LENGTH)
+    """Linear models and hidden layers on sequences of a week of hours; a series too short for one
+    has an error text and no forecast."""
+    grams = sequence.sequence_grams(s, SEQUENCE_LENGTH, hidden=HIDDEN)
+    return sequence.search(grams, SEQUENCE_LENGTH, hidden=HIDDEN)
 
 
 def _rolling_forecast(s):
-    return sequence.rolling_forecast(s, sequence.best_fit(_sequence_fits(s)), SEQUENCE_LENGTH)
+    best = sequence.best_fit(_sequence_fits(s))
+    return sequence.rolling_forecast(s, best, SEQUENCE_LENGTH, hidden=HIDDEN)
 
 
 @query(

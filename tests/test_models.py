@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -296,6 +299,105 @@ def test_sequence_gram_equals_stored_sequences(hourly_frame):
         assert np.allclose(numeric.square(flat), x.T @ x)
 
 
+def plain_inputs(values, hidden):
+    """Constant, values and hidden units of one sequence, unit by unit."""
+    out, below = [1.0, *values], [v - 0.5 for v in values]
+    for weights, offsets in hidden.projections(len(values)):
+        below = [
+            math.tanh(sum(b * w for b, w in zip(below, weights[:, j])) + offsets[j])
+            for j in range(weights.shape[1])
+        ]
+        out += below
+    return out
+
+
+def logistic_map(n, noise=0.02):
+    """A series whose next value is a parabola of the last one: no line forecasts it."""
+    rng, y = np.random.default_rng(5), [0.3]
+    for _ in range(n - 1):
+        y.append(float(np.clip(3.8 * y[-1] * (1 - y[-1]) + rng.normal(0, noise), 0, 1)))
+    return y
+
+
+@pytest.mark.parametrize("chunk", [37, 4096])
+def test_hidden_layers_equal_plain_loops(hourly_frame, chunk):
+    hidden = sequence.Hidden((3, 5), 2)
+    marked = split.split_last(hourly_frame(logistic_map(160)), 20, grain="hour")
+    gram = sequence.sequence_grams(marked, 4, chunk=chunk, hidden=hidden).collect()[0]
+    rows = sequence.supervised_sequences(marked, 4).orderBy("pos").toPandas()
+    for part, flat in zip(("train", "validation"), np.split(np.array(gram.gram), 2)):
+        r = rows[rows.part == part]
+        x = np.array([[t, *plain_inputs(q, hidden)] for t, q in zip(r["target"], r["sequence"])])
+        assert np.allclose(numeric.square(flat), x.T @ x)
+    # A forecast is the chosen read-out of the same inputs.
+    grams = sequence.sequence_grams(marked, 4, chunk=chunk, hidden=hidden)
+    fits = sequence.search(grams, 4, hidden=hidden)
+    deep = fits.where("units = 3 AND layers = 2 AND dropout = 0.2 AND penalty = 0.001")
+    fit = deep.collect()[0]
+    own = hidden.columns(4, 3, 2)
+    assert own.tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 12]
+    tests = sequence.rolling_sequences(marked, 4).orderBy("ts").toPandas()
+    scale = split.range_scales(marked).collect()[0]
+    want = [np.array(plain_inputs(q, hidden))[own] @ np.array(fit.weights) for q in tests["sequence"]]
+    got = sequence.rolling_forecast(marked, deep, 4, chunk=chunk, hidden=hidden)
+    made = got.orderBy("ts").toPandas()["lstm"]
+    assert np.allclose(made, np.array(want) * scale.scale_range + scale.scale_min)
+
+
+def test_smaller_layers_are_the_first_units_of_larger_ones():
+    small, large = sequence.Hidden((4,), 2), sequence.Hidden((4, 9), 2)
+    (_, _), (second, _) = large.projections(6)
+    assert not second[4:, :4].any() and second[:4, :4].all() and second[:, 4:].all()
+    assert [w.shape for w, _ in small.projections(6)] == [(6, 4), (4, 4)]
+    assert sequence.LINEAR.projections(6) == [] and sequence.LINEAR.columns(6, 0, 0).tolist() == list(range(7))
+
+
+def test_search_prefers_a_hidden_layer_only_where_a_line_fails(hourly_frame):
+    hidden = sequence.Hidden()
+    t = np.arange(900)
+    rng = np.random.default_rng(1)
+    line = 20 + 5 * np.sin(2 * np.pi * t / 24) + rng.normal(0, 0.2, 900)
+    frame = hourly_frame({"line": line, "map": logistic_map(900), "short": line[:30]})
+    marked = split.split_last(frame, 100, grain="hour")
+    fits = sequence.search(sequence.sequence_grams(marked, 6, hidden=hidden), 6, hidden=hidden)
+    table = sequence.search_table(fits).toPandas()
+    assert set(table.groupby("series_id")["candidate"].count()) == {8 + 2 * 2 * 2 * 3}
+    linear, deep = (
+        table[(table.units > 0) == kind].groupby("series_id")["best_validation_loss"].min() for kind in (False, True)
+    )
+    assert deep["map"] < 0.5 * linear["map"]
+    best = sequence.best_fit(fits)
+    scores = {}
+    for name, chosen in (("all", best), ("line", sequence.best_fit(fits.where("units = 0")))):
+        fc = sequence.rolling_forecast(marked, chosen, 6, hidden=hidden)
+        scores[name] = {r.series_id: r.RMSE for r in sequence.hourly_metrics(fc).collect()}
+    assert scores["all"]["map"] < 0.7 * scores["line"]["map"]
+    assert scores["all"]["line"] < 1.1 * scores["line"]["line"]
+
+
+def test_dropout_is_the_average_over_all_ways_to_drop():
+    """The ridge by odds and mean squares is the expected loss, added up over every mask."""
+    rng = np.random.default_rng(2)
+    x, y, drop = rng.normal(size=(40, 3)), rng.normal(size=40), 0.2
+    w = rng.normal(size=3)
+    expected = 0.0
+    for mask in itertools.product((0, 1), repeat=3):
+        chance = np.prod([1 - drop if m else drop for m in mask])
+        expected += chance * np.mean((y - (x * np.array(mask) / (1 - drop)) @ w) ** 2)
+    ridge = drop / (1 - drop) * np.mean(x * x, axis=0)
+    assert expected == pytest.approx(np.mean((y - x @ w) ** 2) + ridge @ w**2)
+    both = np.column_stack([y, np.ones(40), x])
+    g = both.T @ both
+    noise = np.array([0.0, *[drop / (1 - drop)] * 3])
+    weights, _, _ = sequence._train(g, 40, g, 40, 0.0, (30, 30, 0.0), noise)
+    design = both[:, 1:]
+    solved = np.linalg.solve(design.T @ design / 40 + np.diag(noise * np.mean(design**2, axis=0)), design.T @ y / 40)
+    kept, _, _ = sequence._train(g, 40, g, 40, 0.0, (30, 30, 0.0))
+    assert np.allclose(kept, np.linalg.lstsq(design, y, rcond=None)[0])
+    assert np.linalg.norm(solved[1:]) < np.linalg.norm(kept[1:])
+    assert np.mean((y - design @ weights) ** 2) <= np.mean((y - design @ solved) ** 2) + 1e-9
+
+
 def test_early_stopping_keeps_the_best_weights():
     rng = np.random.default_rng(0)
     x, v = (np.column_stack([np.ones(60), rng.normal(size=(60, 8))]) for _ in range(2))
@@ -475,7 +577,8 @@ def test_sequence_queries_read_a_week(hourly_frame):
     y = np.sin(np.arange(700) * 2 * np.pi / 168) + rng.normal(0, 0.1, 700)
     marked = split.split_last(hourly_frame({"long": y.tolist(), "short": y[:300].tolist()}), 168, grain="hour")
     fits = models._sequence_fits(marked).collect()
-    want = sequence.search(sequence.sequence_grams(marked, 168), 168).collect()
+    hidden = sequence.Hidden()
+    want = sequence.search(sequence.sequence_grams(marked, 168, hidden=hidden), 168, hidden=hidden).collect()
     assert fits == want
     got = models._rolling_forecast(marked)
     assert got.where("lstm IS NOT NULL").groupBy("series_id").count().collect() == [("long", 168)]

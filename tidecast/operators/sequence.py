@@ -1,15 +1,18 @@
-"""Hourly sequence forecaster: scale, cut sequences, search a ridge penalty, forecast one step.
-
-A model reads the previous ``length`` scaled values. Its squared loss on any set of sequences is
-a quadratic form in one cross-product matrix, so Spark makes a single pass that sums a training
-and a validation matrix per series; training epochs, validation losses and the whole search are
-then computed from those two matrices. Sequences are never stored: each block of a series is cut
-into them inside its task.
+"""Hourly sequence forecaster: scale, cut sequences, search a model, forecast one step.
+
+A model reads the previous ``length`` scaled values, and with them the answers of hidden layers
+whose projections are drawn once from a seed; only its read-out is trained. The squared loss of a
+read-out on any set of sequences is a quadratic form in one cross-product matrix, so Spark makes a
+single pass that sums a training and a validation matrix per series; training epochs, validation
+losses and the whole search are then computed from those two matrices. Smaller layers are the first
+units of larger ones, so candidates of all sizes are parts of the same two matrices. Sequences are
+never stored: each block of a series is cut into them inside its task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,93 @@ PATIENCE = 4
 MIN_DELTA = 1e-5
 VALIDATION = 0.15
 PENALTIES = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)
+# What the search tries of a hidden layer.
+UNITS = (32, 64)
+LAYERS = (1, 2)
+DROPOUT = (0.1, 0.2)
+HIDDEN_PENALTIES = (1e-5, 1e-3, 1e-1)
+
+# Spread of what a hidden unit adds up before its tanh, for inputs of unit spread.
+GAIN = 3.0
+
+
+@dataclass(frozen=True)
+class Hidden:
+    """Hidden tanh layers with fixed random projections, drawn from ``seed``.
+
+    All layers have ``max(units)`` units. A unit of a later layer reads the units below it that
+    belong to the smallest size it is part of, so a layer of any size in ``units`` is the first
+    units of the largest. ``layers=0`` is no hidden layer: the linear model alone.
+    """
+
+    units: tuple[int, ...] = UNITS
+    layers: int = max(LAYERS)
+    seed: int = 42
+
+    @property
+    def width(self) -> int:
+        return max(self.units, default=0) if self.layers else 0
+
+    def projections(self, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Weights and offsets of each layer for sequences of ``length`` values."""
+        rng = np.random.default_rng([self.seed, length])
+        sizes = np.sort(np.asarray(self.units, dtype=int))
+        out = []
+        for layer in range(self.layers if self.width else 0):
+            if layer == 0:
+                reads = np.ones((length, self.width), bool)
+            else:
+                own = sizes[np.searchsorted(sizes, np.arange(self.width), side="right")]
+                reads = np.arange(self.width)[:, None] < own[None, :]
+            drawn = rng.normal(size=reads.shape) * reads
+            out.append((drawn * GAIN / np.sqrt(reads.sum(axis=0)), rng.uniform(-1, 1, self.width)))
+        return out
+
+    def columns(self, length: int, units: int, layers: int) -> np.ndarray:
+        """Where a candidate's inputs lie: constant and values, then its units layer by layer."""
+        first = 1 + length + self.width * np.arange(layers)[:, None]
+        return np.concatenate([np.arange(1 + length), (first + np.arange(units)).ravel()])
+
+
+LINEAR = Hidden((), 0)
+
+
+def _inputs(matrix: np.ndarray, projections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The columns of ``_windows`` and then the answers of each hidden layer."""
+    # Scaled values lie in 0..1; the first layer reads them around their middle.
+    parts, below = [matrix], matrix[:, 2:] - 0.5
+    for weights, offsets in projections:
+        below = np.tanh(below @ weights + offsets)
+        parts.append(below)
+    return np.column_stack(parts) if len(parts) > 1 else matrix
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """``dropout`` falls on hidden units; ``penalty`` is the ridge of all weights but the constant."""
+
+    units: int
+    layers: int
+    dropout: float
+    penalty: float
+
+
+def candidates(
+    hidden: Hidden = LINEAR,
+    penalties: Sequence[float] = PENALTIES,
+    dropout: Sequence[float] = DROPOUT,
+    hidden_penalties: Sequence[float] = HIDDEN_PENALTIES,
+) -> list[Candidate]:
+    """The linear models first, then every size, depth, dropout and penalty of ``hidden``."""
+    linear = [Candidate(0, 0, 0.0, p) for p in penalties]
+    deep = [
+        Candidate(u, n, d, p)
+        for u in hidden.units
+        for n in range(1, hidden.layers + 1)
+        for d in dropout
+        for p in hidden_penalties
+    ]
+    return linear + deep
 
 
 def supervised_sequences(
@@ -82,8 +172,13 @@ def sequence_grams(
     length: int = SEQUENCE_LENGTH,
     fraction: float = VALIDATION,
     chunk: int = CHUNK,
+    hidden: Hidden = LINEAR,
 ) -> DataFrame:
-    """``series_id, train_rows, validation_rows, gram`` with both matrices in one array."""
+    """``series_id, train_rows, validation_rows, gram`` with both matrices in one array.
+
+    Rows and columns of a matrix: target, constant, values, then the units of ``hidden``.
+    """
+    layers = hidden.projections(length)
     rows = train_rows(scale_range(split)).withColumn("n", F.col("n_train"))
     cut = blocks(rows, length, ["scaled"], [], chunk)
 
@@ -94,7 +189,7 @@ def sequence_grams(
             for row in pdf.itertuples(index=False):
                 sid, start, n, pos, _, scaled = row
                 held = int(max(n - length, 0) * fraction)
-                matrix = _windows(np.asarray(scaled, dtype=float), length)
+                matrix = _inputs(_windows(np.asarray(scaled, dtype=float), length), layers)
                 target = np.asarray(pos)[length:] if len(matrix) else np.zeros(0)
                 own = target > start
                 late = target > n - held
@@ -111,12 +206,19 @@ def sequence_grams(
     return sum_arrays(parts, [SERIES], "gram", ["train_rows", "validation_rows"])
 
 
-def _train(g: np.ndarray, rows: int, v: np.ndarray, held: int, penalty: float, limits):
-    """Conjugate-gradient epochs on the ridge loss with early stopping; best weights are kept."""
+def _train(
+    g: np.ndarray, rows: int, v: np.ndarray, held: int, penalty: float, limits,
+    noise: np.ndarray | float = 0.0,
+):
+    """Conjugate-gradient epochs on the ridge loss with early stopping; best weights are kept.
+
+    ``noise`` is the odds of each input being dropped: the squared loss averaged over all ways to
+    drop inputs (the others scaled up) is the plain one plus a ridge of odds times mean square.
+    """
     epochs, patience, min_delta = limits
     xx, xy, yy = g[1:, 1:] / rows, g[1:, 0] / rows, g[0, 0] / rows
     vxx, vxy, vyy = v[1:, 1:] / held, v[1:, 0] / held, v[0, 0] / held
-    ridge = np.full(len(xy), penalty)
+    ridge = penalty + noise * np.diag(xx)
     ridge[0] = 0.0
     system = xx + np.diag(ridge)
     weights = np.zeros(len(xy))
@@ -143,7 +245,8 @@ def _train(g: np.ndarray, rows: int, v: np.ndarray, held: int, penalty: float, l
 
 
 SEARCH_SCHEMA = (
-    f"{SERIES} string, candidate int, sequence_length int, penalty double, "
+    f"{SERIES} string, candidate int, sequence_length int, units int, layers int, "
+    "dropout double, penalty double, "
     "epochs_completed int, best_validation_loss double, error string, "
     "weights array<double>, history array<struct<epoch:int,loss:double,val_loss:double>>"
 )
@@ -156,8 +259,13 @@ def search(
     epochs: int = EPOCHS,
     patience: int = PATIENCE,
     min_delta: float = MIN_DELTA,
+    hidden: Hidden = LINEAR,
 ) -> DataFrame:
-    """One row per series and penalty; series without enough rows get an error text."""
+    """One row per series and candidate; series without enough rows get an error text.
+
+    ``hidden`` must be what the matrices were made with.
+    """
+    tried = candidates(hidden, penalties)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in SEARCH_SCHEMA.split(", ")]
@@ -168,14 +276,18 @@ def search(
             ):
                 half = len(flat) // 2
                 g, v = numeric.square(flat[:half]), numeric.square(flat[half:])
-                for i, penalty in enumerate(penalties):
-                    head = (sid, i + 1, length, penalty)
+                for i, c in enumerate(tried):
+                    head = (sid, i + 1, length, c.units, c.layers, c.dropout, c.penalty)
                     if rows < 1 or held < 1:
                         text = "the validation part is empty"
                         out.append((*head, None, None, text, None, None))
                         continue
+                    own = hidden.columns(length, c.units, c.layers)
+                    part = np.ix_(*[np.concatenate([[0], own + 1])] * 2)
+                    noise = np.where(own > length, c.dropout / (1 - c.dropout), 0.0)
                     weights, history, loss = _train(
-                        g, rows, v, held, penalty, (epochs, patience, min_delta)
+                        g[part], rows, v[part], held, c.penalty,
+                        (epochs, patience, min_delta), noise,
                     )
                     cells = [dict(zip(("epoch", "loss", "val_loss"), h)) for h in history]
                     out.append((*head, len(history), loss, "", weights, cells))
@@ -208,21 +320,23 @@ def rolling_forecast(
     length: int = SEQUENCE_LENGTH,
     name: str = "lstm",
     chunk: int = CHUNK,
+    hidden: Hidden = LINEAR,
 ) -> DataFrame:
     """One-step forecast of every test row from the actual ``length`` rows before it.
 
     ``series_id, ts, actual, <name>`` in the units of the series; a row with too little history,
     or a series without a model, has no forecast.
     """
+    layers = hidden.projections(length)
     carry = ["n_train", "scale_min", "scale_range"]
     near = split.where(F.col("pos") > F.col("n_train") - length)
     cut = blocks(near_scaled(near, split), length, ["scaled"], carry, chunk)
-    work = join_series(cut, best.select(SERIES, "weights"), F.col("start"), "left")
+    work = join_series(cut, best.select(SERIES, "units", "layers", "weights"), F.col("start"), "left")
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                sid, start, _, n_train, low, span, pos, ts, values, weights = row
+                sid, start, _, n_train, low, span, pos, ts, values, units, depth, weights = row
                 pos, values = np.asarray(pos), np.asarray(values, dtype=float)
                 keep = (pos > start) & (pos > n_train)
                 if not keep.any():
@@ -230,7 +344,8 @@ def rolling_forecast(
                 matrix = _windows(values, length)
                 guess = np.full(len(pos), np.nan)
                 if len(matrix) and weights is not None:
-                    guess[length:] = matrix[:, 1:] @ np.asarray(weights)
+                    own = 1 + hidden.columns(length, int(units), int(depth))
+                    guess[length:] = _inputs(matrix, layers)[:, own] @ np.asarray(weights)
                 yield pd.DataFrame(
                     {
                         SERIES: sid,

@@ -320,15 +320,24 @@ def run_trees(
 def run_sequence(study: Study, name: str = "lstm") -> dict[str, DataFrame]:
     """Sequence search on hourly data and the rolling one-step forecast of the test hours."""
     marked = split.split_last(study.read("hourly"), study.hourly_horizon, grain="hour")
-    hours = dict(horizon=study.hourly_horizon, length=study.length)
+    hidden = sequence.Hidden()
+    hours = dict(horizon=study.hourly_horizon, length=study.length, hidden=repr(hidden))
     grams = study.keep(
-        "sequence_grams", lambda: sequence.sequence_grams(marked, study.length), marked, **hours
+        "sequence_grams",
+        lambda: sequence.sequence_grams(marked, study.length, hidden=hidden),
+        marked,
+        **hours,
+    )
+    fits = study.keep(
+        "sequence_fits",
+        lambda: sequence.search(grams, study.length, hidden=hidden),
+        grams,
+        **hours,
     )
-    fits = study.keep("sequence_fits", lambda: sequence.search(grams, study.length), grams, **hours)
     best = sequence.best_fit(fits)
     forecast = study.keep(
         "sequence_forecast",
-        lambda: sequence.rolling_forecast(marked, best, study.length, name),
+        lambda: sequence.rolling_forecast(marked, best, study.length, name, hidden=hidden),
         marked,
         fits,
         name=name,
