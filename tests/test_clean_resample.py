@@ -146,6 +146,22 @@ def test_missing_file_is_an_error(spark, tmp_path):
         readers.read_wide_csv(spark, str(tmp_path / "none.csv"))
 
 
+def test_folder_of_csv_files_with_other_headers_is_an_error(spark, tmp_path):
+    head, name = "utc_timestamp", "XX_load_actual_entsoe_transparency"
+    (tmp_path / "a.csv").write_text(f"{head},{name},other\n2020-01-01T00:00:00Z,1,9\n")
+    (tmp_path / "b.csv").write_text(f"{head},{name},other\n2020-01-01T01:00:00Z,2,9\n")
+    read = dict(candidates=[name], timestamp_column=head)
+    got = readers.read_wide_csv(spark, str(tmp_path), **read)
+    assert sorted(r.load_mw for r in got.collect()) == ["1", "2"]
+    (tmp_path / "c.csv").write_text(f"{head},other,{name}\n2020-01-01T02:00:00Z,9,3\n")
+    for table in (
+        readers.read_wide_csv(spark, str(tmp_path), **read),
+        readers.read_wide_csv_all(spark, str(tmp_path), timestamp_column=head, needle="load"),
+    ):
+        with pytest.raises(Exception, match="(?i)header"):
+            table.collect()
+
+
 def test_write_unless_present(spark, weekly_frame, tmp_path):
     path, calls = str(tmp_path / "t"), []
 

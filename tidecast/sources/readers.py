@@ -58,9 +58,10 @@ def read_wide_csv(
 ) -> DataFrame:
     """Two columns of a wide CSV as text: ``timestamp`` and ``load_mw``, with the file order.
 
-    Only the header is read to choose the load column.
+    Only the header is read to choose the load column. A file of a folder whose header differs in
+    names or order is an error, never read by the first file's header.
     """
-    wide = spark.read.csv(path, header=True)
+    wide = spark.read.csv(path, header=True, enforceSchema=False)
     require_columns(wide, [timestamp_column])
     column = resolve_column(wide.columns, candidates, prefix, needle)
     return wide.select(
@@ -77,8 +78,8 @@ def read_wide_csv_all(
     timestamp_column: str = TIMESTAMP_COLUMN,
     needle: str = LOAD_NEEDLE,
 ) -> DataFrame:
-    """Every load column of a wide CSV as its own series, in one scan."""
-    wide = spark.read.csv(path, header=True)
+    """Every load column of a wide CSV as its own series, in one scan; headers must agree."""
+    wide = spark.read.csv(path, header=True, enforceSchema=False)
     columns = [c for c in wide.columns if needle in c]
     if not columns:
         raise ValueError(f"No column contains {needle!r}")
