@@ -1,4 +1,4 @@
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,28 @@ def test_positions_over_time_buckets(hourly_frame):
     }
 
 
+@pytest.mark.parametrize("grain", ["minute", "second", "millisecond"])
+def test_finer_grains_cut_finer_and_rank_alike(spark, grain):
+    """The same positions as one window per series, across hours, midnight and 1970."""
+    rng = np.random.default_rng(4)
+    start = datetime(1969, 12, 31, 23, 50)
+    offsets = np.sort(rng.choice(30 * 60_000, 1200, replace=False)).tolist()
+    rows = [("hot", start + timedelta(milliseconds=o), float(i)) for i, o in enumerate(offsets)]
+    rows += [("slow", start + timedelta(hours=7 * i), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double")
+    got = layout.positions(df.orderBy(F.rand(1)), grain)
+    assert got.count() == 1240 and got.where("pos <> y + 1").count() == 0
+    assert {(r.series_id, r.n) for r in got.select("series_id", "n").distinct().collect()} == {
+        ("hot", 1200),
+        ("slow", 40),
+    }
+    bucket = layout.time_bucket(layout.BUCKET_SECONDS[grain]).alias("bucket")
+    sizes = df.where("series_id = 'hot'").groupBy(bucket).count().toPandas()
+    assert len(sizes) == {"minute": 2, "second": 2, "millisecond": 30}[grain]
+    lagged = layout.over_series(df, lambda w: {"before": F.lag("y", 3).over(w)}, 3, grain, 100)
+    assert lagged.where("y >= 3 AND (before IS NULL OR before <> y - 3)").count() == 0
+
+
 def test_differences(weekly_frame):
     got = features.differences(weekly_frame(range(60))).orderBy("ts").collect()
     assert got[0].first_difference is None and got[1].first_difference == 1

@@ -26,25 +26,45 @@ CHUNK = 4096
 # Parts that the rows of one series are dealt into for a join with one row per series.
 SPREAD = 64
 
-# Days per time bucket; None means one window per series.
-BUCKET_DAYS = {"week": None, "day": None, "hour": 28, "minute": 1}
+DAY = 86_400
+
+# Seconds per time bucket; None means one window per series. With one row per time step a bucket
+# holds at most 672, 1,440, 3,600 or 60,000 rows.
+BUCKET_SECONDS = {
+    "week": None,
+    "day": None,
+    "hour": 28 * DAY,
+    "minute": DAY,
+    "second": DAY // 24,
+    "millisecond": 60,
+}
 
 
 def series_window() -> WindowSpec:
     return Window.partitionBy(SERIES).orderBy(TS)
 
 
+def time_bucket(seconds: int) -> Column:
+    """Number of the stretch of ``seconds`` that a row's time lies in."""
+    inside = F.hour(TS) * 3600 + F.minute(TS) * 60 + F.second(TS)
+    since = F.unix_date(F.to_date(TS)).cast("long") * DAY + inside
+    return F.floor(since / F.lit(seconds))
+
+
 def positions(df: DataFrame, grain: str = "week") -> DataFrame:
-    """Add ``pos`` (1, 2, ... by time within the series) and ``n`` (rows of the series)."""
-    days = BUCKET_DAYS[grain]
-    if days is None:
+    """Add ``pos`` (1, 2, ... by time within the series) and ``n`` (rows of the series).
+
+    ``grain`` is the finest step of the times; it decides how finely a series is cut, never the result.
+    """
+    seconds = BUCKET_SECONDS[grain]
+    if seconds is None:
         return df.withColumns(
             {
                 "pos": F.row_number().over(series_window()).cast("long"),
                 "n": F.count(F.lit(1)).over(Window.partitionBy(SERIES)),
             }
         )
-    bucketed = df.withColumn("_bucket", F.floor(F.unix_date(F.to_date(TS)) / F.lit(days)))
+    bucketed = df.withColumn("_bucket", time_bucket(seconds))
     counts = bucketed.groupBy(SERIES, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     past = Window.partitionBy(SERIES).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -86,7 +106,7 @@ def over_series(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Add window columns that look at most ``lookback`` rows back within the series."""
-    if BUCKET_DAYS[grain] is None:
+    if BUCKET_SECONDS[grain] is None:
         return df.withColumns(columns(series_window()))
     placed = df if {"pos", "n"} <= set(df.columns) else positions(df, grain)
     cut = with_halo(placed, lookback, chunk)

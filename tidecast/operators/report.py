@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.scalar import normal_quantile, pretty_name
 from tidecast.operators.evaluate import model_columns
-from tidecast.operators.layout import BUCKET_DAYS, join_series
+from tidecast.operators.layout import BUCKET_SECONDS, join_series
 from tidecast.operators.split import train_rows
 from tidecast.operators.stats import acf_table
 from tidecast.schema import SERIES, TS, Y
@@ -177,7 +177,7 @@ def qq_table(df: DataFrame, column: str = Y, grain: str = "week") -> DataFrame:
     ``series_id, rank, theoretical, ordered, slope, intercept``. A weekly or daily series is ordered
     in one window; one of a finer grain by ``ordered_values``.
     """
-    if BUCKET_DAYS[grain] is None:
+    if BUCKET_SECONDS[grain] is None:
         whole = Window.partitionBy(SERIES)
         ranked = df.where(F.col(column).isNotNull()).select(
             SERIES,
