@@ -171,6 +171,24 @@ def test_lm_is_a_distribution(model):
         assert 0.9 < total < 1.001
 
 
+def test_lm_weights_meet_their_constraints(spark):
+    """Expected counts, from plain softmax in float64, are the observed ones less the prior's share."""
+    from llm_tables import DOCS
+
+    made = lm.train(spark.createDataFrame(corpus(None, 240), DOCS).repartition(3))
+    head = lm.head_units(made.lexicon.tokens)
+    seen, told = np.zeros((2, lm.ROWS, lm.CLASSES))
+    for row in made.coded.select("lengths", "codes").collect():
+        _, units, _ = lm.stream(lm.unpack(bytes(row.codes), "<i4"), np.array(row.lengths), head)
+        own, rows = lm.encode(units, made.lexicon.classes)
+        odds = np.exp(made.lexicon.bias + made.weights.astype(np.float64)[rows].sum(0))
+        for r in rows:
+            np.add.at(seen, (r, own), 1)
+            np.add.at(told, r, odds / odds.sum(1, keepdims=True))
+    off = np.abs(told + made.weights - seen).sum() / seen.sum()
+    assert off < 0.025
+
+
 def test_lm_replies_equal_plain_counts(documents, model):
     """Scores through the sharded table against counts in memory."""
     some = ["the dog and", "", "der hund unseen ist", "x", "la maison the dog", "the dog and the dog and"]

@@ -2,8 +2,8 @@
 
 P(token | context) = P(class | context) * P(token | class, token before). The first factor's
 background is a softmax over a fixed number of classes with hashed n-gram and skip features, trained
-by iterative scaling: each step sums observed and expected counts over all tasks, so the weights do
-not depend on how the texts are dealt. On top of it, and within a class, every pair of neighbours
+by iterative scaling under a Gaussian prior until its constraints are met: each round sums expected
+counts over all tasks, so the weights do not depend on how the texts are dealt. On top of it, and within a class, every pair of neighbours
 that training has seen is a hashed feature. These features do not overlap, so their constraint, that
 a pair's expected count is its discounted observed one, is met in closed form. Their table grows with
 the corpus; it is dealt by hash, and texts ask it through a shuffle.
@@ -49,8 +49,12 @@ HASHED = 8192
 # skip); the hashed pair of words before.
 OFFSETS = (0, UNITS + 1, UNITS + 1 + PAIRS, UNITS + 1 + 2 * PAIRS)
 ROWS = UNITS + 1 + 2 * PAIRS + HASHED
-BATCH = 8192
-STEP, FIRST, PRIOR, STEPS = 0.4, 0.45, 4.0, 1  # iterative scaling: exponents, prior counts, rounds
+FEATURES = len(OFFSETS)  # of every place
+BATCH, ADDED = 8192, 32768
+# Iterative scaling: its exponent while that helps, else 1 / FEATURES, which always does; the prior's
+# variance; and the share of the observed counts by which the constraints may be missed in the end.
+STEP, VARIANCE, MISSED = 0.4, 1.0, 0.02
+PSEUDO = 4.0  # counts that keep a first guess finite
 # Pairs of neighbours: bits of the word before and of the class in a key; what is taken off counts.
 BEFORE_BITS, CLASS_BITS, TOKEN_BITS = 34, 6, 24
 ALONE = (1 << CLASS_BITS) - 1  # the class that marks the key of a token by itself
@@ -339,18 +343,22 @@ def with_classes(lex: Lexicon, counts: DataFrame, met: np.ndarray) -> Lexicon:
 def encode(units: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(classes, feature rows) of a stream of units; nothing before a text's start is seen."""
     own = classes_of(units, classes)
+    begin = np.concatenate([[0], np.flatnonzero(units == UNITS) + 1])
+    begin = begin[begin < len(units)]
 
-    def back(x: np.ndarray, start: int, closed: np.ndarray | None = None) -> np.ndarray:
+    def back(x: np.ndarray, start: int) -> np.ndarray:
         """One place back, ``start`` where that leaves the text."""
-        before = np.concatenate([[start], x[:-1]])
-        return before if closed is None else np.where(closed, start, before)
-
-    one = back(np.where(units == UNITS, START, own), START)
-    two = back(one, START, one == START)
-    three = back(two, START, two == START)
-    four = back(three, START, three == START)
+        before = np.empty_like(x)
+        before[1:] = x[:-1]
+        before[begin] = start
+        return before
+
+    one = back(own, START)
+    two = back(one, START)
+    three = back(two, START)
+    four = back(three, START)
     word = back(units, UNITS)
-    second = back(word, UNITS, word == UNITS)
+    second = back(word, UNITS)
     wide = CLASSES + 1
     mixed = second.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
     hashed = (mixed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(51)
@@ -372,38 +380,45 @@ def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     for r in rows[1:]:
         out += np.take(weights, r, axis=0)
     np.exp(out, out=out)
-    out /= out.sum(1, keepdims=True)
+    out /= np.einsum("ij->i", out)[:, None]
     return out
 
 
 def add_up(sums: np.ndarray, rows: np.ndarray, cells: np.ndarray) -> None:
-    """Add each place's cells to the sums of its feature rows."""
-    # Numbers of 16 bits are sorted by digits.
-    for r in rows.astype(np.int16 if ROWS < 1 << 15 else np.int64):
-        order = np.argsort(r, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(r[order]) > 0])
-        sums[r[order[at]]] += np.add.reduceat(np.take(cells, order, axis=0), at)
+    """Add each place's cells to the sums of its feature rows; ``sums`` has a row per class."""
+    by_class = np.ascontiguousarray(cells.T, np.float64)
+    for r, first, end in zip(rows, OFFSETS, (*OFFSETS[1:], ROWS)):
+        at = r - first
+        for total, cell in zip(sums, by_class):
+            total[first:end] += np.bincount(at, cell, end - first)
 
 
 def class_sums(coded: DataFrame, lex: Lexicon, weights: np.ndarray | None) -> np.ndarray:
-    """Per feature row and class, how often the class came (no weights), or was expected to come."""
-    shared = coded.sparkSession.sparkContext.broadcast((lex, weights))
+    """Per feature row and class, how often the class came (no weights), or was expected to come.
+
+    Every task hands on a table of fixed size, so the runs are dealt to as many tasks as keep the
+    cluster busy, whatever the corpus.
+    """
+    context = coded.sparkSession.sparkContext
+    shared = context.broadcast((head_units(lex.tokens), lex.classes, lex.bias, weights))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, weights = shared.value
-        head, sums = head_units(lex.tokens), np.zeros((ROWS, CLASSES))
+        head, known, bias, weights = shared.value
+        sums = np.zeros((ROWS, CLASSES))
+        told = np.zeros((CLASSES, ROWS))
         for b in parts:
             for i in range(len(b)):
                 _, units, _, taught = read_texts(b, i, head)
-                classes, rows = encode(units, lex.classes)
+                classes, rows = encode(units, known)
                 classes, rows = classes[taught], rows[:, taught]
                 if weights is None:
                     for r in rows:
                         sums += np.bincount(r * CLASSES + classes, minlength=sums.size).reshape(sums.shape)
                     continue
-                for at in range(0, len(classes), BATCH):
-                    part = rows[:, at : at + BATCH]
-                    add_up(sums, part, softmax(weights, lex.bias, part))
+                for at in range(0, len(classes), ADDED):
+                    part = rows[:, at : at + ADDED]
+                    add_up(told, part, softmax(weights, bias, part))
+        sums += told.T
         schema = pa.schema([("chunk", pa.int32()), ("cell", pa.binary())])
         parts = [sums[at : at + ROWS_AT_ONCE] for at in range(0, ROWS, ROWS_AT_ONCE)]
         yield from batches({"chunk": range(len(parts)), "cell": [*map(pack, parts)]}, schema)
@@ -417,27 +432,46 @@ def class_sums(coded: DataFrame, lex: Lexicon, weights: np.ndarray | None) -> np
         yield from batches({"chunk": list(held), "cell": [*map(pack, held.values())]}, schema)
 
     kind = "chunk int, cell binary"
-    found = coded.select("learns", "lengths", "codes").mapInArrow(run, kind)
+    dealt = coded.select("learns", "lengths", "codes").coalesce(2 * context.defaultParallelism)
+    found = dealt.mapInArrow(run, kind)
     # A table of fixed size, ROWS x CLASSES, whatever the corpus.
     rows = found.repartition("chunk").mapInArrow(total, kind).collect()
     cells = [unpack(bytes(r.cell), "<f8") for r in sorted(rows, key=lambda r: r.chunk)]
     return np.concatenate(cells).reshape(ROWS, CLASSES) if cells else np.zeros((ROWS, CLASSES))
 
 
+def scaled(seen: np.ndarray, told: np.ndarray, weights: np.ndarray, step: float, share: np.ndarray) -> np.ndarray:
+    """What to add to each weight: the d at which told * exp(d / step) + (weight + d) / VARIANCE is seen."""
+    d = step * np.log((seen + PSEUDO * share) / (told + PSEUDO * share))
+    for _ in range(12):  # Newton's method; the sum grows with d and is convex
+        grown = told * np.exp(d / step)
+        d -= np.clip((grown + (weights + d) / VARIANCE - seen) / (grown / step + 1 / VARIANCE), -1, 1)
+    return d
+
+
+def missed(seen: np.ndarray, told: np.ndarray, weights: np.ndarray) -> float:
+    """By how much of the observed counts the constraints are missed."""
+    return float(np.abs(told + weights / VARIANCE - seen).sum() / max(1.0, seen.sum()))
+
+
 def scale_weights(coded: DataFrame, lex: Lexicon) -> np.ndarray:
     """Class weights by iterative scaling over all coded texts.
 
-    Every step multiplies a weight by a power of observed over expected counts; before the first one
-    the classes are expected at their overall rates.
+    Maximum entropy under a Gaussian prior: a feature's expected count plus its weight over the
+    variance is its observed count. Rounds go on until all counts together miss that by less than
+    MISSED; each asks every training place for its expected classes. Before the first one the weights
+    are zero and the classes expected at their overall rates.
     """
     share = np.exp(lex.bias.astype(np.float64))
     seen = class_sums(coded, lex, None)
-    gain = np.log((seen + PRIOR * share) / (seen.sum(1, keepdims=True) * share + PRIOR * share))
-    weights = (FIRST * gain).astype(np.float32)
-    for _ in range(STEPS):
-        told = class_sums(coded, lex, weights)
-        weights += (STEP * np.log((seen + PRIOR * share) / (told + PRIOR * share))).astype(np.float32)
-    return weights
+    told, weights, step, last = seen.sum(1, keepdims=True) * share, np.zeros((ROWS, CLASSES)), STEP, math.inf
+    while (off := missed(seen, told, weights)) > MISSED:
+        if off > last:
+            step = 1 / FEATURES
+        last = off
+        weights += scaled(seen, told, weights, step, share)
+        told = class_sums(coded, lex, weights.astype(np.float32))
+    return weights.astype(np.float32)
 
 
 # ------------------------------------------------------------------------- pairs of neighbours
@@ -499,7 +533,7 @@ def unpack_keys(cell: bytes) -> np.ndarray:
 
 
 def classes_of(units: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return np.where(units == UNITS, END_CLASS, classes[np.minimum(units, UNITS - 1)])
+    return np.append(classes, END_CLASS)[units]
 
 
 def shard_bits(shards: int) -> np.uint64:
