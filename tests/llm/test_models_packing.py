@@ -248,6 +248,16 @@ def test_lm_keys_survive_packing():
     assert (lm.unpack(lm.pack(keys), "<u8") == keys).all()
 
 
+def test_lm_keys_of_real_texts_pack_closely(model):
+    """Runs send keys in fewer bytes than differences of hashes take."""
+    *_, pairs, own = places(model, TRAIN)
+    keys = np.unique(np.concatenate([pairs, own]))
+    cell = lm.pack_keys(keys)
+    assert (lm.unpack_keys(cell) == keys).all()
+    assert len(cell) < 2.5 * len(keys)
+    assert (lm.unpack_keys(lm.pack_keys(keys[:1])) == keys[:1]).all()
+
+
 def test_lm_learns_from_context(documents, model):
     rng = np.random.default_rng(5)
     own = [" ".join(rng.choice(SAMPLES[x].split(), 30)) for x in SAMPLES for _ in range(5)]

@@ -420,17 +420,18 @@ def class_sums(coded: DataFrame, lex: Lexicon, weights: np.ndarray | None) -> np
                     add_up(told, part, softmax(weights, bias, part))
         sums += told.T
         schema = pa.schema([("chunk", pa.int32()), ("cell", pa.binary())])
-        parts = [sums[at : at + ROWS_AT_ONCE] for at in range(0, ROWS, ROWS_AT_ONCE)]
+        parts = [sums[at : at + ROWS_AT_ONCE].astype(kept) for at in range(0, ROWS, ROWS_AT_ONCE)]
         yield from batches({"chunk": range(len(parts)), "cell": [*map(pack, parts)]}, schema)
 
     def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in parts:
             for chunk, cell in zip(b.column("chunk").to_pylist(), b.column("cell").to_pylist()):
-                held[chunk] = held.get(chunk, 0) + unpack(cell, "<f8")
+                held[chunk] = held.get(chunk, 0) + unpack(cell, kept).astype("<f8")
         schema = pa.schema([("chunk", pa.int32()), ("cell", pa.binary())])
         yield from batches({"chunk": list(held), "cell": [*map(pack, held.values())]}, schema)
 
+    kept = "<f8" if weights is None else "<f4"  # counts are exact, expected ones of that precision
     kind = "chunk int, cell binary"
     dealt = coded.select("learns", "lengths", "codes").coalesce(2 * context.defaultParallelism)
     found = dealt.mapInArrow(run, kind)
@@ -490,7 +491,8 @@ def pair_keys(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all places (word before, class, token), and of the rare tokens by themselves.
 
-    The upper bits are the word's before, so the pairs of one word lie together when sorted.
+    The upper bits are the word's before, so the pairs of one word lie together when sorted. The
+    lower ones are a head token's rank, which packs closer than a hash, or another bit and a hash.
     """
     name = codes.astype(np.int64)
     rare = (codes < 0) & (codes != STOP)
@@ -498,16 +500,18 @@ def pair_keys(
     token = mixed(name)
     before = np.concatenate([token[:1], token[:-1]])
     before[np.cumsum(sizes) - sizes] = mixed(np.array([1 << 50]))[0]
-    high, low = np.uint64(64 - BEFORE_BITS), np.uint64(64 - TOKEN_BITS)
-    place = np.uint64(TOKEN_BITS)
-    pairs = (before >> high << high) | (classes.astype(np.uint64) << place) | (token >> low)
+    high, place = np.uint64(64 - BEFORE_BITS), np.uint64(TOKEN_BITS)
+    hashed = np.uint64(1 << (TOKEN_BITS - 1))
+    low = np.maximum(name, 0).astype(np.uint64)
     own = token[rare]
-    return pairs, (own >> high << high) | (np.uint64(ALONE) << place) | (own >> low)
+    low[rare] = hashed | own & (hashed - np.uint64(1))
+    pairs = (before >> high << high) | (classes.astype(np.uint64) << place) | low
+    return pairs, (own >> high << high) | (np.uint64(ALONE) << place) | low[rare]
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(values: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values; the order of all, and where among the distinct each of them is."""
-    order = np.argsort(values)
+    order = np.argsort(values, kind=kind)
     ranked = values[order]
     new = np.ones(len(values), bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -522,14 +526,29 @@ def starts(of: np.ndarray) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of all of them, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+    """Sorted keys: the words before as differences, how many keys each has, and their lower bits as
+    differences within a word."""
+    bits = np.uint64(64 - BEFORE_BITS)
+    words = keys >> bits
+    at = starts(words)
+    steps = np.diff(words[at], prepend=np.uint64(0))
+    lower = keys.astype("<u4") & np.uint32((1 << int(bits)) - 1)
+    inner = lower.copy()
+    inner[1:] -= lower[:-1]
+    inner[at] = lower[at]
+    parts = [[len(at)], np.diff(at, append=len(keys)), steps, steps >> np.uint64(32)]
+    return pack(np.concatenate([*(np.asarray(p).astype("<u4") for p in parts), inner]))
 
 
 def unpack_keys(cell: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64)[:, 0])
+    numbers = unpack(cell, "<u4")
+    n = int(numbers[0])
+    sizes, lower, upper, inner = np.split(numbers[1:], [n, 2 * n, 3 * n])
+    words = np.cumsum(lower | upper.astype(np.uint64) << np.uint64(32)) << np.uint64(64 - BEFORE_BITS)
+    sizes = sizes.astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    run = np.cumsum(inner, dtype=np.uint64)
+    return run + np.repeat(words - run[at] + inner[at], sizes)
 
 
 def classes_of(units: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -646,7 +665,7 @@ def answer(asked: DataFrame, shards: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             each = [unpack_keys(k) for _, k, _ in held]
-            keys, _, place = distinct(np.concatenate(each))
+            keys, _, place = distinct(np.concatenate(each), "stable")  # which merges sorted ones
             counts = np.concatenate([unpack(c, "<u4") for _, _, c in held])
             said = sums_of(keys, np.bincount(place, counts, len(keys)).astype(np.int64))
             ends = np.cumsum([len(k) for k in each])
