@@ -248,14 +248,19 @@ def test_lm_keys_survive_packing():
     assert (lm.unpack(lm.pack(keys), "<u8") == keys).all()
 
 
-def test_lm_keys_of_real_texts_pack_closely(model):
-    """Runs send keys in fewer bytes than differences of hashes take."""
-    *_, pairs, own = places(model, TRAIN)
-    keys = np.unique(np.concatenate([pairs, own]))
+def test_lm_keys_pack_closely():
+    """Head tokens are told by rank, so a run's keys take less than differences of hashes do."""
+    codes = np.random.default_rng(3).zipf(1.2, 300_000) % 50_000
+    sizes = np.full(100, 3000)
+    codes[np.cumsum(sizes) - 1] = lm.STOP
+    pairs, own = lm.pair_keys(codes, np.zeros(len(codes), np.int64), sizes, np.zeros(0, np.int64))
+    assert (pairs.astype(np.int64)[codes >= 0] % (1 << lm.TOKEN_BITS) == codes[codes >= 0]).all() and not len(own)
+    keys = np.unique(pairs)
     cell = lm.pack_keys(keys)
     assert (lm.unpack_keys(cell) == keys).all()
-    assert len(cell) < 2.5 * len(keys)
     assert (lm.unpack_keys(lm.pack_keys(keys[:1])) == keys[:1]).all()
+    steps = lm.pack(np.diff(np.unique(lm.mixed(pairs)), prepend=np.uint64(0)))
+    assert len(cell) < 0.8 * len(steps)
 
 
 def test_lm_learns_from_context(documents, model):
@@ -335,6 +340,29 @@ def test_neighbours_come_first():
     assert [u for u, _, _ in windows[1]] == [1, 3]
 
 
+@pytest.mark.parametrize("wide", [1, 16, 10**6])
+@pytest.mark.parametrize("terms", [None, 7])
+def test_scores_equal_plain_bm25(monkeypatch, wide, terms):
+    """Whether a token of many units has a row of its own or postings; no unit's tokens are sorted
+    before it asks."""
+    monkeypatch.setattr(packing, "WIDE", wide)
+    rng = np.random.default_rng(4)
+    units = [(rng.zipf(1.3, n) % 300).astype("<u2") for n in rng.integers(1, 80, 60)]
+    idf, mean = rng.random(300), float(np.mean([len(u) for u in units]))
+    index = packing.Index(units, idf, mean, terms)
+    counts = [Counter(u.tolist()) for u in units]
+
+    def weight(t, u):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(units[u]) / mean)
+        return idf[t] * counts[u][t] * (packing.K1 + 1) / (counts[u][t] + norm)
+
+    for asks in (0, 17, 59):
+        query = sorted(counts[asks], key=lambda t: (-weight(t, asks), t))[:terms]
+        assert index.query(asks) == query
+        want = [sum(weight(t, u) for t in query if counts[u][t]) for u in range(len(units))]
+        assert index.scores(asks).tolist() == pytest.approx(want)
+
+
 def test_seeds_ask_with_all_tokens(documents):
     """Here the tokens shared with the neighbour are lighter than 100 others of the seed."""
     encoder = packing.Encoder(PATH, 2)

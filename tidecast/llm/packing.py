@@ -18,6 +18,7 @@ from tidecast.llm.common import batches, stage
 K1, B = 1.2, 0.75
 FULL, REST, STATS = 0, 1, 2
 SHARDS_PER_TASK = 16
+WIDE = 16  # a token in more than one of so many units of a shard gets a row of its own
 
 # Texts that need no Unicode rule beyond Latin-1.
 SIMPLE = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*").fullmatch
@@ -192,7 +193,7 @@ def tokenise(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str,
             id_type, out = b.schema.field("doc_id").type, [[] for _ in schema]
             coded = chain.from_iterable(map(encoder.encode, runs(b.column("text").to_pylist())))
             for key, ids in zip(b.column("doc_id").to_pylist(), coded):
-                holding[np.unique(ids)] += 1
+                holding[ids] += 1  # once for an id, however often it comes
                 rows, total, n = rows + 1, total + len(ids), len(ids)
                 for at in range(0, n, window):
                     part = ids[at : at + window]
@@ -236,27 +237,52 @@ class Index:
     """BM25 postings of a shard's units, ordered by token."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None):
-        held = [np.unique(u, return_counts=True) for u in units]
-        sizes = np.array([len(t) for t, _ in held])
-        owner = np.repeat(np.arange(len(units)), sizes)
-        token = np.concatenate([t for t, _ in held]).astype(np.int64)
-        tf = np.concatenate([c for _, c in held]).astype(np.float64)
-        norm = K1 * (1 - B + B * np.array([len(u) for u in units]) / mean)
+        lengths = np.array([len(u) for u in units])
+        key = np.repeat(np.arange(len(units)) * len(idf), lengths) + np.concatenate(units)
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        owner, token = np.divmod(key[at], len(idf))
+        tf = np.diff(at, append=len(key)).astype(np.float64)
+        norm = K1 * (1 - B + B * lengths / mean)
         weight = idf[token] * tf * (K1 + 1) / (tf + norm[owner])
-        order = np.argsort(token, kind="stable")
+        # Numbers of 16 bits are sorted by digits.
+        order = np.argsort(token.astype(np.uint16) if len(idf) <= 1 << 16 else token, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.at = np.r_[0, np.cumsum(np.bincount(token, minlength=len(idf)))]
-        ends = np.cumsum(sizes)
-        self.queries = []
-        for a, b in zip(ends - sizes, ends):
-            heavy = np.argsort(-weight[a:b], kind="stable")[:query_terms]
-            self.queries.append(token[a:b][heavy])
+        self.own = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(units)))]
+        self.token, self.heavy, self.query_terms = token, weight, query_terms
+        # Tokens of many units have a weight for every unit, most of them zero.
+        self.wide: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(np.diff(self.at) * WIDE > len(units)).tolist():
+            row = self.wide[t] = np.zeros(len(units))
+            a, b = self.at[t], self.at[t + 1]
+            row[self.owner[a:b]] = self.weight[a:b]
+
+    def query(self, unit: int) -> list[int]:
+        """A unit's tokens, heaviest first."""
+        a, b = self.own[unit], self.own[unit + 1]
+        return self.token[a:b][np.argsort(-self.heavy[a:b], kind="stable")[: self.query_terms]].tolist()
 
     def scores(self, unit: int) -> np.ndarray:
-        cuts = [(self.at[t], self.at[t + 1]) for t in self.queries[unit]]
-        owner = np.concatenate([self.owner[a:b] for a, b in cuts])
-        weight = np.concatenate([self.weight[a:b] for a, b in cuts])
-        return np.bincount(owner, weight, len(self.queries))
+        """Sums of the query's weights, added token by token in its order."""
+        out, at, some = np.zeros(len(self.own) - 1), self.at, []
+
+        def flush():
+            owner = np.concatenate([self.owner[a:b] for a, b in some])
+            np.add.at(out, owner, np.concatenate([self.weight[a:b] for a, b in some]))
+            some.clear()
+
+        for t in self.query(unit):
+            row = self.wide.get(t)
+            if row is None:
+                some.append((at[t], at[t + 1]))
+                continue
+            if some:
+                flush()
+            out += row
+        if some:
+            flush()
+        return out
 
 
 def pack_units(
