@@ -1,10 +1,12 @@
 import dataclasses
 import math
 import os
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +265,67 @@ def test_lm_keys_pack_closely():
     assert len(cell) < 0.8 * len(steps)
 
 
+def test_lm_words_are_plain_splits(monkeypatch):
+    """However many texts are split at once; only ASCII blanks part words, only A-Z are lower-cased."""
+    rng = np.random.default_rng(2)
+    some = ["", None, " \t\n\x0b\x0c\r", "AÉ b\x1cd\x85E\u3000f ", "\x00 x\x00Y", "Haus " * 40]
+    some += ["".join(rng.choice([*"aB \t\n\r\x0b\x0c\x1c\x1fÉ\u2003\u3000"], n)) for n in rng.integers(0, 40, 300)]
+    want = [(t or "").encode().lower().split() for t in some]
+    for column in (pa.array(some), pa.array(["x y", *some]).slice(1), pa.array(some).cast(pa.binary())):
+        for size in (1, 60, 1 << 22):
+            monkeypatch.setattr(lm, "TEXT_BYTES", size)
+            got = []
+            for words, lengths in lm.words_of(pa.record_batch([column], ["t"]), "t"):
+                ends = np.cumsum(lengths).tolist()
+                got += [words.to_pylist()[e - n : e] for e, n in zip(ends, lengths.tolist())]
+            assert got == want
+
+
+def test_lm_coding_costs_less_than_asking_a_dictionary():
+    """Of a head as large as in use; the two are measured in turns, their best times compared."""
+    rng = np.random.default_rng(4)
+    tokens = [b"w%d" % i for i in rng.permutation(lm.HEAD)]
+    text = b" ".join(tokens[i] for i in rng.integers(0, lm.HEAD, 300_000)).decode()
+    coder, rank, times = lm.Coder(tokens), {t: i for i, t in enumerate(tokens)}, ([], [])
+    batch = pa.record_batch([pa.array([text])], ["t"])
+    for _ in range(5):
+        begin = time.process_time()
+        words = text.encode().lower().split()
+        want = np.fromiter((rank.get(w, -1) for w in words), np.int32, len(words))
+        middle = time.process_time()
+        got = np.concatenate([coder.code(words) for words, _ in lm.words_of(batch, "t")])
+        times[0].append(middle - begin), times[1].append(time.process_time() - middle)
+        assert (got == want).all()
+    assert min(times[1]) < min(times[0])
+
+
+def test_lm_runs_are_cut_where_they_are_full(spark):
+    """Runs go on over the parts in which a batch is split; rare words keep their rows."""
+    words = 300_000
+    some = [*["haus " * words] * 5, None, "der hund rar", "", *["haus " * words] * 3, "seltsam"]
+    docs = spark.createDataFrame([*enumerate(some)], "doc_id int, text string").coalesce(1)
+    rows = sorted(lm.code_texts(docs, [b"haus", b"der"], ["doc_id"], "text").collect(), key=lambda r: r.run)
+    assert [[k.doc_id for k in r.kept] for r in rows] == [[0, 1], [2, 3], [4, 5, 6, 7, 8], [9, 10], [11]]
+    flat = [n for r in rows for n in r.lengths]
+    assert flat == [len((t or "").split()) for t in some]
+    number = {k._lm_row: k.doc_id for r in rows for k in r.kept}
+    tails = [(number[t._lm_of], bytes(t.token)) for r in rows for t in r.tails]
+    assert tails == [(6, b"hund"), (6, b"rar"), (11, b"seltsam")]
+    sums = [x for r in rows for x in lm.unpack(bytes(r.sums), "<u4").tolist()]
+    assert sums == [zlib.crc32(t) for _, t in tails]
+    codes = np.concatenate([lm.unpack(bytes(r.codes), "<i4") for r in rows])
+    assert codes[codes != 0].tolist() == [1, *(-lm.suffix_unit(t) for _, t in tails)]
+
+
+def test_lm_softmax_is_that_of_summed_weights():
+    rng = np.random.default_rng(6)
+    weights = rng.normal(0, 3, (lm.ROWS, lm.CLASSES)).astype(np.float32)
+    bias = rng.normal(-3, 1, lm.CLASSES).astype(np.float32)
+    rows = np.stack([rng.integers(x, y, 500) for x, y in zip(lm.OFFSETS, (*lm.OFFSETS[1:], lm.ROWS))])
+    odds = np.exp(bias + weights.astype(np.float64)[rows].sum(0))
+    assert np.allclose(lm.softmax(lm.odds_of(weights, bias), rows), odds / odds.sum(1, keepdims=True), rtol=1e-5)
+
+
 def test_lm_learns_from_context(documents, model):
     rng = np.random.default_rng(5)
     own = [" ".join(rng.choice(SAMPLES[x].split(), 30)) for x in SAMPLES for _ in range(5)]

@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.llm.common import batches, checkpointed, stage, texts
+from tidecast.llm.common import batches, checkpointed, stage
 
 ALPHA = 0.1
 END = b""  # the end of a text; no word is empty
@@ -62,6 +61,8 @@ DISCOUNT, CLASS_DISCOUNT = 0.75, 0.5
 SHARD_TOKENS = 1 << 20
 ROWS_AT_ONCE = 512  # rows of the table of class sums that travel together
 RUN_WORDS = 1 << 19  # of a run of texts, which is read and asks the table at once
+TEXT_BYTES = 1 << 22  # of texts that are split at once, a longer text alone
+COUNTED = 300_000  # distinct tokens that a task counts before it hands them on
 
 
 def suffix_unit(token: bytes) -> int:
@@ -92,20 +93,37 @@ class Lexicon:
         return math.log10(self.total + ALPHA * (self.distinct + 1))
 
 
-class Coder(dict):
+class Coder:
     """Token to its rank in the head; the code of any other is minus its suffix unit."""
 
     def __init__(self, tokens: list[bytes]):
-        super().__init__((t, i) for i, t in enumerate(tokens))
+        self.known = pa.array(tokens, pa.binary())
 
-    def code(self, words: list[bytes]) -> np.ndarray:
+    def code(self, words: pa.Array | list[bytes]) -> np.ndarray:
         """Codes of words; those of rare ones are below zero."""
-        found = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        found = np.array(pc.fill_null(pc.index_in(words, value_set=self.known), -1))
         rare = np.flatnonzero(found < 0)
-        found[rare] = [-suffix_unit(words[i]) for i in rare.tolist()]
+        found[rare] = [-suffix_unit(w) for w in words.take(pa.array(rare)).to_pylist()]
         return found
 
 
+def words_of(b: pa.RecordBatch, name: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Lower-cased words of the texts of a batch, and how many each text has, TEXT_BYTES at a time.
+
+    A missing text has none. Only A-Z are lower-cased, and only the six ASCII blanks part words.
+    """
+    column = pc.fill_null(b.column(name).cast(pa.binary()), b"").view(pa.string())
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    begin = starts(np.cumsum(sizes, dtype=np.int64) // TEXT_BYTES).tolist()
+    for first, end in zip(begin, [*begin[1:], len(column)]):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(first, end - first)))
+        words = parts.flatten().view(pa.binary())  # with empty ones at blank ends
+        real = pc.greater(pc.binary_length(words), 0)
+        before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        yield words.filter(real), np.diff(before[parts.offsets.to_numpy()])
+
+
 def head_units(tokens: list[bytes]) -> np.ndarray:
     """The unit of each head token, by rank."""
     return np.array([i if i < TOP else suffix_unit(t) for i, t in enumerate(tokens)], np.int64)
@@ -132,19 +150,21 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
-        counts: Counter = Counter()
-
-        def flush():
-            yield from batches({"token": list(counts), "n": list(counts.values())}, schema, 1 << 16)
-            counts.clear()
-
+        ends, held = 0, schema.empty_table()
         for b in parts:
-            for t in texts(b, "text"):
-                counts.update(t.lower().split())
-                counts[END] += 1
-                if len(counts) > 300_000:
-                    yield from flush()
-        yield from flush()
+            ends += len(b)
+            for words, _ in words_of(b, "text"):
+                new = pa.Table.from_arrays(words.value_counts().flatten(), schema=schema)
+                held = pa.concat_tables([held, new])
+                if len(held) > 2 * COUNTED:
+                    sums = held.group_by("token", use_threads=False).aggregate([("n", "sum")])
+                    held = sums.select(["token", "n_sum"]).rename_columns(schema.names)
+                if len(held) > COUNTED:
+                    yield from held.to_batches(1 << 16)
+                    held = schema.empty_table()
+        yield from held.to_batches(1 << 16)
+        if ends:
+            yield from batches({"token": [END], "n": [ends]}, schema)
 
     rows = docs.mapInArrow(run, "token binary, n long")
     return rows.groupBy("token").agg(F.sum("n").alias("n"))
@@ -216,37 +236,44 @@ def code_texts(
 
         coder, row = Coder(shared.value), TaskContext.get().partitionId() << 40
 
-        def flush(b: pa.RecordBatch, first: int, own: list[np.ndarray], rare: list[list[bytes]]) -> pa.RecordBatch:
-            part = b.slice(first, len(own))
-            numbers = pa.array(np.arange(row + first, row + first + len(own)))
-            kept = pa.StructArray.from_arrays([*[part.column(c) for c in carry], numbers], [*carry, "_lm_row"])
-            codes = np.concatenate(own)
-            sums = np.array([zlib.crc32(w) for words in rare for w in words], "<u4")
-            tails = [{"_lm_of": row + first + i, "token": w} for i, words in enumerate(rare) for w in words]
-            ends = pa.array([0, len(own)], pa.int32())
+        def flush(b: pa.RecordBatch, first: int, held: list[tuple]) -> pa.RecordBatch:
+            codes, lengths = (np.concatenate(x) for x in list(zip(*held))[:2])
+            words = pa.concat_arrays([rare for *_, rare in held])
+            part = b.slice(first, len(lengths))
+            rows = np.arange(row + first, row + first + len(lengths))
+            kept = pa.StructArray.from_arrays([*[part.column(c) for c in carry], pa.array(rows)], [*carry, "_lm_row"])
+            sums = np.array([*map(zlib.crc32, words.to_pylist())], "<u4")
+            of = pa.array(np.repeat(rows, lengths)[codes < 0])
+            tails = pa.StructArray.from_arrays([of, words], fields=list(tail_type))
+            ends = pa.array([0, len(lengths)], pa.int32())
             cells = [
                 pa.array([row + first]),
                 pa.ListArray.from_arrays(ends, kept),
                 pa.ListArray.from_arrays(ends, part.column("_lm_learns")),
-                pa.array([[*map(len, own)]], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(ends, pa.array(lengths)),
                 pa.array([pack(codes.astype("<i4"))]),
                 pa.array([pack(sums)]),
-                pa.array([tails], pa.list_(tail_type)),
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), tails),
             ]
             return pa.RecordBatch.from_arrays(cells, schema.names)
 
         for b in parts:
-            first, total, own, rare = 0, 0, [], []
-            for i, t in enumerate(texts(b, "_lm_text")):
-                words = t.lower().split()
-                own.append(coder.code(words))
-                rare.append([words[j] for j in np.flatnonzero(own[-1] < 0).tolist()])
-                total += len(words)
-                if total >= RUN_WORDS:
-                    yield flush(b, first, own, rare)
-                    first, total, own, rare = i + 1, 0, [], []
-            if own:
-                yield flush(b, first, own, rare)
+            first, total, held = 0, 0, []
+            for words, lengths in words_of(b, "_lm_text"):
+                codes, ends, i = coder.code(words), np.cumsum(lengths), 0
+                while i < len(lengths):
+                    # Up to the text with which the run is full.
+                    at = int(ends[i] - lengths[i])
+                    j = min(int(np.searchsorted(ends, at + RUN_WORDS - total)) + 1, len(lengths))
+                    own, n = codes[at : ends[j - 1]], int(ends[j - 1]) - at
+                    held.append((own, lengths[i:j], words.slice(at, n).filter(pa.array(own < 0))))
+                    total, i = total + n, j
+                    if total >= RUN_WORDS:
+                        yield flush(b, first, held)
+                        first += sum(len(x) for _, x, _ in held)
+                        total, held = 0, []
+            if held:
+                yield flush(b, first, held)
             row += len(b)
 
     return stage(source.mapInArrow(run, schema), "codes")
@@ -373,13 +400,21 @@ def encode(units: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own, rows
 
 
-def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Class probabilities. Scaled weights are logs of bounded counts, far from where exp overflows."""
-    out = np.take(weights, rows[0], axis=0)
-    out += bias
+def odds_of(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """What each feature row multiplies the classes' odds by; rows of the word before hold the bias.
+
+    Weights are logs of bounded counts, far from where exp overflows.
+    """
+    out = np.exp(weights)
+    out[: OFFSETS[1]] *= np.exp(bias)
+    return out
+
+
+def softmax(odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Class probabilities of places, given ``odds_of`` the weights and the places' feature rows."""
+    out = np.take(odds, rows[0], axis=0)
     for r in rows[1:]:
-        out += np.take(weights, r, axis=0)
-    np.exp(out, out=out)
+        out *= np.take(odds, r, axis=0)
     out /= np.einsum("ij->i", out)[:, None]
     return out
 
@@ -404,20 +439,20 @@ def class_sums(coded: DataFrame, lex: Lexicon, weights: np.ndarray | None) -> np
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, known, bias, weights = shared.value
+        odds = None if weights is None else odds_of(weights, bias)
         sums = np.zeros((ROWS, CLASSES))
         told = np.zeros((CLASSES, ROWS))
         for b in parts:
             for i in range(len(b)):
                 _, units, _, taught = read_texts(b, i, head)
-                classes, rows = encode(units, known)
-                classes, rows = classes[taught], rows[:, taught]
-                if weights is None:
+                classes, rows = encode(units[taught], known)
+                if odds is None:
                     for r in rows:
                         sums += np.bincount(r * CLASSES + classes, minlength=sums.size).reshape(sums.shape)
                     continue
                 for at in range(0, len(classes), ADDED):
                     part = rows[:, at : at + ADDED]
-                    add_up(told, part, softmax(weights, bias, part))
+                    add_up(told, part, softmax(odds, part))
         sums += told.T
         schema = pa.schema([("chunk", pa.int32()), ("cell", pa.binary())])
         parts = [sums[at : at + ROWS_AT_ONCE].astype(kept) for at in range(0, ROWS, ROWS_AT_ONCE)]
@@ -730,10 +765,10 @@ def place_scores(
     if len(lex.inside):
         inside[known] = lex.inside[codes[known]]
     inside[rare] = np.log10(alone + ALPHA) - lex.below[own[rare]]
-    out = np.empty(len(own))
+    out, odds = np.empty(len(own)), odds_of(weights, lex.bias)
     for at in range(0, len(own), BATCH):
         part = slice(at, at + BATCH)
-        x = softmax(weights, lex.bias, rows[:, part])
+        x = softmax(odds, rows[:, part])
         a, b, a_class, b_class = mix(told[:, part])
         a[stop[part]], b[stop[part]] = 1, 0  # the end is alone in its class
         background = x[np.arange(len(x)), own[part]]
