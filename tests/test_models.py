@@ -344,6 +344,20 @@ def test_hidden_layers_equal_plain_loops(hourly_frame, chunk):
     assert np.allclose(made, np.array(want) * scale.scale_range + scale.scale_min)
 
 
+def test_grams_do_not_depend_on_the_order_of_blocks(hourly_frame):
+    """Neither do the models fitted to them; blocks that are summed as they come differ in the last bits."""
+    hidden = sequence.Hidden((3, 5), 2)
+    marked = split.split_last(hourly_frame(logistic_map(160)), 20, grain="hour")
+    made = [sequence.sequence_grams(marked.repartition(n), 4, chunk=7, hidden=hidden).collect()[0] for n in (1, 9)]
+    assert made[0].gram == made[1].gram
+    rng = np.random.default_rng(1)
+    blocks = [numeric.gram(rng.random((7, 16))) for _ in range(40)]
+    cut = [numeric.exact_parts(b) for b in blocks]
+    sums = {sum(cut[i] for i in rng.permutation(40)).tobytes() for _ in range(20)}
+    assert len(sums) == 1 and len({sum(blocks[i] for i in rng.permutation(40)).tobytes() for _ in range(20)}) > 1
+    assert np.allclose(sum(np.split(sum(cut), 2)), sum(blocks), rtol=1e-14)
+
+
 def test_smaller_layers_are_the_first_units_of_larger_ones():
     small, large = sequence.Hidden((4,), 2), sequence.Hidden((4, 9), 2)
     (_, _), (second, _) = large.projections(6)

@@ -176,7 +176,8 @@ def sequence_grams(
 ) -> DataFrame:
     """``series_id, train_rows, validation_rows, gram`` with both matrices in one array.
 
-    Rows and columns of a matrix: target, constant, values, then the units of ``hidden``.
+    Rows and columns of a matrix: target, constant, values, then the units of ``hidden``. Sums over
+    blocks do not depend on their order, so models fitted to them are the same in every run.
     """
     layers = hidden.projections(length)
     rows = train_rows(scale_range(split)).withColumn("n", F.col("n_train"))
@@ -195,7 +196,7 @@ def sequence_grams(
                 late = target > n - held
                 train, tail = matrix[own & ~late], matrix[own & late]
                 flat = np.concatenate([numeric.gram(train), numeric.gram(tail)])
-                sums.add((sid,), (len(train), len(tail)), flat)
+                sums.add((sid,), (len(train), len(tail)), numeric.exact_parts(flat))
                 if sums.full():
                     yield pd.DataFrame(sums.drain(), columns=names)
         yield pd.DataFrame(sums.drain(), columns=names)
@@ -203,7 +204,10 @@ def sequence_grams(
     parts = cut.mapInPandas(
         partial, f"{SERIES} string, train_rows long, validation_rows long, gram array<double>"
     )
-    return sum_arrays(parts, [SERIES], "gram", ["train_rows", "validation_rows"])
+    sums = sum_arrays(parts, [SERIES], "gram", ["train_rows", "validation_rows"])
+    half = (F.size("gram") / 2).cast("int")
+    upper, lower = F.slice("gram", 1, half), F.slice("gram", half + 1, half)
+    return sums.withColumn("gram", F.zip_with(upper, lower, lambda a, b: a + b))
 
 
 def _train(
